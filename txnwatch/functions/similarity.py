@@ -59,3 +59,7 @@ def jaro_winkler(left: pd.Series, right: pd.Series) -> pd.Series:
     for _, rows in size.groupby(np.ceil(np.log2(size.clip(lower=1)))).groups.items():
         out.loc[rows] = jaro_winkler_block(left.loc[rows], right.loc[rows])
     return out
+
+
+# Marked so that a filter on the score does not make Spark compute it a second time.
+jaro_winkler = jaro_winkler.asNondeterministic()

@@ -12,23 +12,25 @@ from pyspark.sql import functions as F
 
 
 def scaled_row_number(df: DataFrame, partition: list[str], bucket: list[Column], order: list[Column],
-                      name: str = "rank") -> DataFrame:
+                      name: str = "rank", limit: int | None = None) -> DataFrame:
     """Exact ``row_number() over (partition by … order by bucket…, order…)`` as a bigint.
 
-    ``bucket`` must be ascending-sortable and must come first in the wanted order.
+    ``bucket`` must be ascending-sortable and must come first in the wanted order. With a ``limit``, buckets
+    that begin past it are dropped before anything is ranked.
     """
-    cuts = [f"__cut{i}" for i in range(len(bucket))]
-    parts = [f"__part{i}" for i in range(len(partition))]
-    keyed = df.withColumns({c: b for c, b in zip(cuts, bucket)} | {p: F.col(c) for p, c in zip(parts, partition)})
-    whole = Window.partitionBy(*parts).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy(*parts, *cuts).count().select(
-        *[F.col(c).alias(f"{c}_o") for c in parts + cuts],
-        F.coalesce(F.sum("count").over(whole), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*parts, *cuts).orderBy(*order)
-    numbered = keyed.withColumn("__rn", F.row_number().over(inside))
-    same = [F.col(c).eqNullSafe(F.col(f"{c}_o")) for c in parts + cuts]
-    joined = numbered.join(offsets, on=same, how="inner")
-    return joined.select(*df.columns, (F.col("__rn") + F.col("__before")).cast("bigint").alias(name))
+    cuts = [f"cut{i}" for i in range(len(bucket))]
+    parts = [F.col(c).alias(f"part{i}") for i, c in enumerate(partition)]
+    # One struct as group key: equal nulls match, and join and window agree on the partitioning.
+    keyed = df.withColumn("__g", F.struct(*parts, *[b.alias(c) for b, c in zip(bucket, cuts)]))
+    before = Window.partitionBy(*[f"__o.part{i}" for i in range(len(parts))]).orderBy(*[f"__o.{c}" for c in cuts])
+    offsets = keyed.groupBy(F.col("__g").alias("__o")).count().select(
+        "__o", F.coalesce(F.sum("count").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    joined = keyed.join(offsets, F.col("__g") == F.col("__o"))
+    if limit is not None:
+        joined = joined.filter(F.col("__before") < limit)
+    place = F.row_number().over(Window.partitionBy("__g").orderBy(*order)) + F.col("__before")
+    ranked = joined.select(*df.columns, place.cast("bigint").alias(name))
+    return ranked if limit is None else ranked.filter(F.col(name) <= limit)
 
 
 def top_n(df: DataFrame, partition: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
@@ -46,5 +48,4 @@ def newest_n(df: DataFrame, key: str, ts: str, n: int, tie: str, seconds: int =
     counts, only the bucket in which the limit falls needs ranks."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     bucket = -F.floor(micros / F.lit(seconds * 1_000_000))
-    ranked = scaled_row_number(df, [key], [bucket], [F.col(ts).desc(), F.col(tie).desc()], "recency")
-    return ranked.filter(F.col("recency") <= n)
+    return scaled_row_number(df, [key], [bucket], [F.col(ts).desc(), F.col(tie).desc()], "recency", n)

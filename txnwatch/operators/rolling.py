@@ -1,15 +1,18 @@
 """Rolling per-key features over trailing event-time windows ``(t - W, t]``.
 
 The obvious ``rangeBetween`` frame has two faults at scale: one hot key is one task, and a sliding frame
-is aggregated anew for every row. This module uses time buckets of ``grain`` seconds instead:
+is aggregated anew for every row. This module works in steps instead:
 
-* every row is also sent, as a slim *expiry* event, to the bucket where it leaves a window;
-* inside a (key, bucket) partition all results are running aggregates, so cost is linear;
-* what earlier buckets contribute comes from a small per-(key, bucket) summary.
+* rows of one key at one instant share their result, so they are first reduced to instants (before any
+  shuffle); what follows is as large as the clock is fine, however many rows a key has;
+* instants are spread over time buckets of ``grain`` seconds. Each is also sent, as an *expiry*, to the
+  bucket where it leaves a window, so that all results inside a (key, bucket) are running aggregates;
+* what earlier buckets contribute comes from a small per-(key, bucket) summary;
+* the results are joined back to the rows on (key, instant).
 
 Counts, sums and distinct counts are ``carry + arrivals - expiries``. A maximum cannot be subtracted, so
-it combines the part of the row's own bucket up to it, the whole buckets in between, and the part of the
-oldest bucket that has not expired. A value counts as newly distinct when its previous occurrence has
+it combines the part of the instant's own bucket up to it, the whole buckets in between, and the part of
+the oldest bucket that has not expired. A value counts as newly distinct when its previous occurrence has
 left the window, and stops counting when it expires without a next occurrence.
 """
 
@@ -25,38 +28,40 @@ WINDOWS = {"1h": HOUR, "24h": DAY}
 _US = 1_000_000
 
 
-def _pair_buckets(rows: DataFrame, sum_cols: list[str], max_cols: list[str]) -> DataFrame:
+def _pair_buckets(points: DataFrame, sum_cols: list[str], max_cols: list[str]) -> DataFrame:
     """Per (key, distinct value, bucket): measures, first and last time, and the neighbouring buckets' times.
 
-    Aggregated before the shuffle; a (key, value) pair has at most one row per bucket from here on.
+    A (key, value) pair has at most one row per bucket from here on.
     """
     across = Window.partitionBy("k", "dv").orderBy("b")
-    summary = rows.groupBy("k", "dv", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
-        *[F.sum(f"s_{n}").alias(f"s_{n}") for n in sum_cols],
-        *[F.max(f"m_{n}").alias(f"m_{n}") for n in max_cols])
+    summary = points.groupBy("kdb").agg(
+        *_measures(sum_cols, max_cols), F.min("t").alias("first_t"), F.max("t").alias("last_t")).select("*", "kdb.*")
     return summary.withColumns({
         "before": F.lag("last_t").over(across), "after": F.lead("first_t").over(across), "next_b": F.lead("b").over(across)})
 
 
-def _occurrence_times(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+def _occurrence_times(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """Adds ``prev_t`` and ``next_t`` of the same (key, distinct value); the window is cut by bucket."""
-    edges = pairs.select("k", "dv", "b", "before", "after")
-    inside = Window.partitionBy("k", "dv", "b").orderBy("t")
-    return (rows.join(edges, ["k", "dv", "b"], "left")
+    inside = Window.partitionBy("kdb").orderBy("t")
+    return (points.join(pairs.select("kdb", "before", "after"), "kdb")
             .withColumns({"prev_t": F.coalesce(F.lag("t").over(inside), "before"),
                           "next_t": F.coalesce(F.lead("t").over(inside), "after")})
             .drop("before", "after"))
 
 
+def _measures(sum_cols: list[str], max_cols: list[str], extra: tuple[str, ...] = ()) -> list[Column]:
+    return [*[F.sum(c).alias(c) for c in ("n", *[f"s_{n}" for n in sum_cols], *extra)],
+            *[F.max(f"m_{n}").alias(f"m_{n}") for n in max_cols]]
+
+
 def rolling_features(df: DataFrame, key: str, ts: str, windows: dict[str, int] | None = None,
                      sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None,
                      distinct: tuple[str, Column] | None = None, count: str | None = "txn_count",
                      grain: int = HOUR) -> DataFrame:
     """Adds ``<name>_<window>`` for a count, sums, maxima and one distinct count per window.
 
-    Rows at the same instant see each other. Every window must be a multiple of ``grain``; a smaller grain
-    spreads a dense key over more tasks.
+    Rows at the same instant see each other; rows without a time get nulls. Every window must be a multiple
+    of ``grain``; a smaller grain spreads a dense key over more tasks.
     """
     windows, sums, maxes = windows or WINDOWS, sums or {}, maxes or {}
     if any(w % grain for w in windows.values()):
@@ -65,49 +70,54 @@ def rolling_features(df: DataFrame, key: str, ts: str, windows: dict[str, int] |
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     sum_cols, max_cols = list(sums), list(maxes)
     rows = df.select(
-        F.col(key).alias("k"), t.alias("t"), F.floor(t / F.lit(grain * _US)).alias("b"),
+        F.col(key).alias("k"), t.alias("t"), F.floor(t / F.lit(grain * _US)).alias("b"), F.lit(1).alias("n"),
         *[F.coalesce(c, F.lit(0)).alias(f"s_{n}") for n, c in sums.items()],
         *[c.alias(f"m_{n}") for n, c in maxes.items()],
-        *([distinct[1].alias("dv")] if distinct else []),
-        F.struct(*[F.col(c) for c in df.columns]).alias("row"))
+        *([distinct[1].alias("dv")] if distinct else [])).filter(F.col("t").isNotNull())
     if distinct:
-        pairs = _pair_buckets(rows, sum_cols, max_cols)
+        # Structs as keys: equal nulls match, and the joins agree with the windows on the partitioning.
+        points = rows.groupBy(F.struct("k", "dv", "b").alias("kdb"), "t").agg(*_measures(sum_cols, max_cols))
+        pairs = _pair_buckets(points, sum_cols, max_cols)
         carried = _carry(pairs, steps, sum_cols, max_cols, True)
-        rows = _occurrence_times(rows, pairs)
+        points = _occurrence_times(points, pairs)
+        seen = F.col("kdb.dv").isNotNull()
         for label, w in windows.items():
-            starts = F.col("dv").isNotNull() & (F.col("prev_t").isNull() | (F.col("prev_t") <= F.col("t") - w * _US))
-            ends = F.col("dv").isNotNull() & (F.col("next_t").isNull() | (F.col("next_t") >= F.col("t") + w * _US))
-            rows = rows.withColumns({f"on_{label}": starts.cast("int"), f"off_{label}": ends.cast("int")})
+            starts = seen & (F.col("prev_t").isNull() | (F.col("prev_t") <= F.col("t") - w * _US))
+            ends = seen & (F.col("next_t").isNull() | (F.col("next_t") >= F.col("t") + w * _US))
+            points = points.withColumns({f"on_{label}": starts.cast("int"), f"off_{label}": ends.cast("int")})
+        flags = tuple(f"{side}_{label}" for label in windows for side in ("on", "off"))
+        instants = points.groupBy("kdb.k", "kdb.b", "t").agg(*_measures(sum_cols, max_cols, flags))
     else:
-        carried = _carry(rows.withColumn("n", F.lit(1)), steps, sum_cols, max_cols, False)
-    events = _events(rows, windows, steps, sum_cols, max_cols, bool(distinct))
-    joined = events.join(
-        carried.withColumnsRenamed({"k": "k_c", "b": "b_c"}),
-        on=F.col("k").eqNullSafe(F.col("k_c")) & F.col("b").eqNullSafe(F.col("b_c")), how="inner")
-    # Expiry events in a bucket without rows of its own have nothing to report on, so losing them is fine.
+        instants = rows.groupBy("k", "b", "t").agg(*_measures(sum_cols, max_cols))
+        carried = _carry(instants, steps, sum_cols, max_cols, False)
+    events = _events(instants, windows, steps)
+    # Expiries in a bucket without arrivals have nothing to report on, so losing them is fine.
+    joined = events.join(carried, "kb")
     own = F.col("kind") == 0
-    upto = Window.partitionBy("k", "b").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    later = Window.partitionBy("k", "b").orderBy(F.col("pos").desc(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("kb").orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy("kb").orderBy(F.col("pos").desc(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     made: dict[str, Column] = {}
     for i, label in enumerate(windows, start=1):
         expiry = F.col("kind") == i
 
-        def net(arrive: Column, leave: Column, is_expiry: Column = expiry) -> Column:
-            return F.sum(F.when(own, arrive).when(is_expiry, -leave)).over(upto)
+        def net(arrive: str, leave: str, is_expiry: Column = expiry) -> Column:
+            return F.sum(F.when(own, F.col(arrive)).when(is_expiry, -F.col(leave))).over(upto)
 
         if count:
-            made[f"{count}_{label}"] = (F.col(f"c_n_{label}") + net(F.lit(1), F.lit(1))).cast("bigint")
+            made[f"{count}_{label}"] = (F.col(f"c_n_{label}") + net("n", "n")).cast("bigint")
         for n in sum_cols:
-            made[f"{n}_{label}"] = F.col(f"c_s_{n}_{label}") + net(F.col(f"s_{n}"), F.col(f"s_{n}"))
+            made[f"{n}_{label}"] = F.col(f"c_s_{n}_{label}") + net(f"s_{n}", f"s_{n}")
         for n in max_cols:
             made[f"{n}_{label}"] = F.greatest(
                 F.max(F.when(own, F.col(f"m_{n}"))).over(upto),
                 F.col(f"c_m_{n}_{label}"),
                 F.max(F.when(expiry, F.col(f"m_{n}"))).over(later))
         if distinct:
-            made[f"{distinct[0]}_{label}"] = (
-                F.col(f"c_d_{label}") + net(F.col(f"on_{label}"), F.col(f"off_{label}"))).cast("bigint")
-    return joined.withColumns(made).filter(own).select("row.*", *made)
+            made[f"{distinct[0]}_{label}"] = (F.col(f"c_d_{label}") + net(f"on_{label}", f"off_{label}")).cast("bigint")
+    features = joined.withColumns(made).filter(own).select(F.struct(F.col("kb.k").alias("k"), F.col("pos").alias("t")).alias("__kt"), *made)
+    # Left join with the rows on the left: a hot instant's rows are split at run time.
+    back = F.struct(F.col(key).alias("k"), t.alias("t")) == F.col("__kt")
+    return df.join(features, back, "left").select(*[df[c] for c in df.columns], *made)
 
 
 def _carry(parts: DataFrame, steps: dict[str, int], sum_cols: list[str], max_cols: list[str], distinct: bool) -> DataFrame:
@@ -127,15 +137,13 @@ def _carry(parts: DataFrame, steps: dict[str, int], sum_cols: list[str], max_col
                          *[(F.when(seen, 1).otherwise(0) if g == f"off_{label}" else F.lit(0)).alias(g) for g in gone])
                 for label, k in steps.items()]
         parts = parts.select("k", F.explode(F.array(here, *ends)).alias("e")).select("k", "e.*")
-    per_bucket = parts.groupBy("k", "b").agg(
-        *[F.sum(m).alias(m) for m in ["n", *[f"s_{n}" for n in sum_cols], *(["on"] if distinct else []), *gone]],
-        *[F.max(f"m_{n}").alias(f"m_{n}") for n in max_cols])
+    per_bucket = parts.groupBy("k", "b").agg(*_measures(sum_cols, max_cols, ("on", *gone) if distinct else ()))
     whole = Window.partitionBy("k").orderBy("b")
 
     def before(col: str, back: int) -> Column:
         return F.coalesce(F.sum(col).over(whole.rangeBetween(Window.unboundedPreceding, -back)), F.lit(0))
 
-    out = [F.col("k"), F.col("b")]
+    out = [F.struct("k", "b").alias("kb")]
     for label, k in steps.items():
         out.append((before("n", 1) - before("n", k + 1)).alias(f"c_n_{label}"))
         out += [(before(f"s_{n}", 1) - before(f"s_{n}", k + 1)).alias(f"c_s_{n}_{label}") for n in sum_cols]
@@ -147,20 +155,16 @@ def _carry(parts: DataFrame, steps: dict[str, int], sum_cols: list[str], max_col
     return per_bucket.select(*out)
 
 
-def _events(rows: DataFrame, windows: dict[str, int], steps: dict[str, int], sum_cols: list[str],
-            max_cols: list[str], distinct: bool) -> DataFrame:
-    """One arrival per row (kind 0, with the row itself) and one slim expiry per row and window (kind i)."""
-    slim = [f"s_{n}" for n in sum_cols] + [f"m_{n}" for n in max_cols]
-    flags = [f"{side}_{label}" for label in windows for side in ("on", "off")] if distinct else []
-    row_type = rows.schema["row"].dataType
-    arrivals = [F.lit(0).alias("kind"), F.col("t").alias("pos"), F.col("b").alias("b"), F.col("row").alias("row")]
-    expiries = [
-        F.struct(F.lit(i).alias("kind"), (F.col("t") + windows[label] * _US).alias("pos"),
-                 (F.col("b") + steps[label]).alias("b"), F.lit(None).cast(row_type).alias("row"))
-        for i, label in enumerate(windows, start=1)]
-    each = F.explode(F.array(F.struct(*arrivals), *expiries)).alias("e")
-    out = rows.select("k", *slim, *flags, each).select("k", *slim, *flags, "e.*")
-    return out.filter((F.col("kind") == 0) | F.col("pos").isNotNull())
+def _events(instants: DataFrame, windows: dict[str, int], steps: dict[str, int]) -> DataFrame:
+    """One arrival per instant (kind 0) and one expiry per instant and window (kind i)."""
+    rest = [c for c in instants.columns if c not in ("k", "b", "t")]
+
+    def move(kind: int, seconds: int, buckets: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), (F.col("t") + seconds * _US).alias("pos"),
+                        F.struct(F.col("k"), (F.col("b") + buckets).alias("b")).alias("kb"))
+
+    moves = [move(0, 0, 0), *[move(i, w, steps[label]) for i, (label, w) in enumerate(windows.items(), start=1)]]
+    return instants.select(*rest, F.explode(F.array(*moves)).alias("e")).select(*rest, "e.*")
 
 
 def rolling_transactions(txn: DataFrame, windows: dict[str, int] | None = None, grain: int = HOUR) -> DataFrame:

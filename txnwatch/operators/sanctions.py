@@ -74,20 +74,24 @@ def _shared_floor(len_a: Column, len_b: Column, factor: float) -> Column:
     return F.ceil(F.lit(factor) * len_a * len_b / (len_a + len_b) - F.lit(_EPS))
 
 
-def _join_keys(df: DataFrame, text: str, factor: float, own: str, other: str) -> DataFrame:
-    """One row per join key: (own length, partner length, character) or the three leading characters."""
+def _join_keys(df: DataFrame, text: str, factor: float, own: str, other: str, partners: Column | None = None) -> DataFrame:
+    """One row per join key: (own length, partner length, character) or the three leading characters.
+
+    ``partners`` lists the lengths that occur on the other side.
+    """
     size = F.col("size")
     coded = df.withColumns({"size": F.length(text), "chars": _rare_first_chars(F.col(text))})
     lengths = F.sequence(F.ceil(size * F.lit(factor - 1.0) - F.lit(_EPS)).cast("int"),
                          F.floor(size / F.lit(factor - 1.0) + F.lit(_EPS)).cast("int"))
+    coded = coded.withColumn("lengths", lengths if partners is None else F.array_intersect(lengths, partners))
     by_char = F.flatten(F.transform(
-        F.filter(lengths, lambda n: (n >= 1) & (_shared_floor(size, n, factor) <= F.least(size, n))),
+        F.filter(F.col("lengths"), lambda n: (n >= 1) & (_shared_floor(size, n, factor) <= F.least(size, n))),
         lambda n: F.transform(
             F.slice(F.col("chars"), F.lit(1), (size - _shared_floor(size, n, factor) + 1).cast("int")),
             lambda c: F.struct(size.alias(own), n.alias(other), c.cast("string").alias("part")))))
     head = F.struct(F.lit(0).alias(own), F.lit(0).alias(other), F.substring(text, 1, 3).alias("part"))
     keys = F.when(size >= 3, F.concat(by_char, F.array(head))).otherwise(by_char)
-    return coded.withColumn("key", F.explode(keys)).select("*", "key.*").drop("key")
+    return coded.withColumn("key", F.explode(keys)).select("*", "key.*").drop("key", "lengths")
 
 
 def similar_pairs(names: DataFrame, listed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -97,7 +101,8 @@ def similar_pairs(names: DataFrame, listed: DataFrame, threshold: float = THRESH
     factor = _floor_factor(threshold)
     if factor <= 1.0:
         raise ValueError("the candidate bound needs a threshold above 0.734")
-    left = _join_keys(names.select("norm"), "norm", factor, "len_a", "len_b").withColumnsRenamed({"size": "size_a", "chars": "chars_a"})
+    lengths = listed.agg(F.collect_set(F.length("norm"))).scalar()
+    left = _join_keys(names.select("norm"), "norm", factor, "len_a", "len_b", lengths).withColumnsRenamed({"size": "size_a", "chars": "chars_a"})
     right = (_join_keys(listed.select(F.col("norm").alias("listed_norm")), "listed_norm", factor, "len_b", "len_a")
              .withColumnsRenamed({"size": "size_b", "chars": "chars_b"}))
     met = left.join(right, ["len_a", "len_b", "part"])

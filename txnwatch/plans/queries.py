@@ -238,10 +238,10 @@ def sanction_best_match(spark, sf):
     return _match(sanctions.best_matches(table(spark, sf, "screen_name"), table(spark, sf, "sanction_name")))
 
 
-@query("sanction_unrelated", sql.best_match("SELECT c_name AS name FROM customer UNION SELECT reverse(p_name) FROM part"))
-def sanction_unrelated(spark, sf):
+@query("sanction_swapped", sql.best_match("SELECT c_name AS name FROM customer UNION SELECT concat(substr(p_name, 2, 1), substr(p_name, 1, 1), substr(p_name, 3)) FROM part"))
+def sanction_swapped(spark, sf):
     names = table(spark, sf, "customer").select(F.col("c_name").alias("name")).unionByName(
-        table(spark, sf, "part").select(F.reverse("p_name").alias("name")))
+        table(spark, sf, "part").select(F.expr("concat(substr(p_name, 2, 1), substr(p_name, 1, 1), substr(p_name, 3))").alias("name")))
     return _match(sanctions.best_matches(names, table(spark, sf, "sanction_name")))
 
 
