@@ -15,15 +15,10 @@ from txnwatch.operators.normalize import rejected_rows, valid_rows
 def overwrite_partitions(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Replaces only the partitions present in ``df``; columns are matched by name.
 
-    Rows are spread on the partition columns plus a salt, so a full day is many tasks and files.
+    Spark rebalances by the partition columns: small days share a task, a large day is cut into many.
     """
     by = by or ["dt"]
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c not in by]), F.lit(_files_per_partition(df)))
-    (df.repartition(*by, salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
-
-
-def _files_per_partition(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    (df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
 
 def sorted_store(df: DataFrame, path: str, order: list[str], month_of: str) -> None:
