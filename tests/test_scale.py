@@ -85,13 +85,14 @@ def test_newest_n(spark, skewed):
     assert sorted(want.collect()) == sorted(got.collect())
 
 
-def test_anchored_dedup_equals_fold(spark):
+@pytest.mark.parametrize("hot_instants", [1_000_000, 200, 5])
+def test_anchored_dedup_equals_fold(spark, hot_instants):
     rng = random.Random(3)
     rows = []
     for i in range(1500):
         hot = i % 3 == 0
         at = T0 + pd.Timedelta(milliseconds=rng.randrange(3 * 86_400_000))
-        rows.append((f"A{i:05}", f"T{i}", "HOT" if hot else f"C{rng.randrange(30)}", f"R{rng.randrange(2)}", rng.choice(["LOW", "HIGH", "CRITICAL"]),
+        rows.append((f"A{i:05}", f"T{i}", "HOT" if hot else (None if i % 40 == 1 else f"C{rng.randrange(30)}"), f"R{rng.randrange(2)}", rng.choice(["LOW", "HIGH", "CRITICAL"]),
                      "RULE", at.to_pydatetime()))
     alerts = spark.createDataFrame(rows, "alert_id string, txn_id string, customer_id string, rule_id string, severity string, alert_type string, created_at timestamp")
     want = set()
@@ -108,7 +109,7 @@ def test_anchored_dedup_equals_fold(spark):
                 first, n = r, 0
             n += 1
         want.add((*key, first[0], n))
-    got = {(r.customer_id, r.rule_id, r.alert_id, r.alert_count) for r in dedup.dedup_anchored(alerts).collect()}
+    got = {(r.customer_id, r.rule_id, r.alert_id, r.alert_count) for r in dedup.dedup_anchored(alerts, hot_instants=hot_instants).collect()}
     assert got == want
 
 

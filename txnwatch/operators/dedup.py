@@ -43,55 +43,133 @@ def dedup_tumbling(alerts: DataFrame, minutes: int = 30) -> DataFrame:
     return _flat(merged, ["customer_id", "rule_id", "window_start", "window_end"], extra)
 
 
-def _anchor_scan(span: int):
-    """Walks sorted (customer, rule, instant) rows and emits the group anchors.
+KEYS = ["customer_id", "rule_id"]
+# A key with more distinct instants than this is worked on in time blocks, by many tasks.
+HOT_INSTANTS = 1_000_000
+BLOCK_SPANS = 16
 
-    Jumps from anchor to anchor by binary search and keeps only the last anchor between batches, so memory
-    does not depend on how many rows a key has.
-    """
+
+def _chain(t: np.ndarray, begin: int, span: int) -> list[int]:
+    """Positions of the anchors in ascending instants, from position ``begin`` on."""
+    out = []
+    while begin < len(t):
+        out.append(begin)
+        begin = int(np.searchsorted(t, t[begin] + span))
+    return out
+
+
+def _same(a, b) -> bool:
+    return b is not None and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+
+
+def _anchor_scan(span: int):
+    """Walks sorted (customer, rule, instant) rows and emits the group anchors; only the end of the last
+    group is kept between batches."""
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key, limit = None, 0
         for batch in batches:
             out = []
-            for key, run in batch.groupby(["customer_id", "rule_id"], sort=False, dropna=False):
+            for key, run in batch.groupby(KEYS, sort=False, dropna=False):
                 t = run["t"].to_numpy()
-                at = int(np.searchsorted(t, limit)) if _same(key, last_key) else 0
-                while at < len(t):
-                    limit = int(t[at]) + span
-                    out.append((*key, int(t[at])))
-                    at = int(np.searchsorted(t, limit))
+                found = _chain(t, int(np.searchsorted(t, limit)) if _same(key, last_key) else 0, span)
+                if found or not _same(key, last_key):
+                    limit = int(t[found[-1]]) + span
+                out += [(*key, int(t[i])) for i in found]
                 last_key = key
-            yield pd.DataFrame(out, columns=["customer_id", "rule_id", "anchor"])
+            yield pd.DataFrame(out, columns=[*KEYS, "anchor"])
     return scan
 
 
-def _same(a, b) -> bool:
-    return b is not None and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
+def _block_exits(span: int):
+    """For one block of a hot key: every instant the walk can enter it by, and the time it leaves after.
 
-
-def dedup_anchored(alerts: DataFrame, minutes: int = 30) -> DataFrame:
+    The walk reaches a block less than one span after its start, or else by the first instant there is; all
+    entries jump through the block together.
+    """
+    def exits(block: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(block["t"].to_numpy())
+        entries = int(np.searchsorted(t, int(block["block"].iloc[0]) * span * BLOCK_SPANS + span)) + 1
+        at = np.arange(min(entries, len(t)))
+        leaves = t[at] + span
+        while True:
+            onward = np.searchsorted(t, leaves)
+            inside = onward < len(t)
+            if not inside.any():
+                break
+            leaves = np.where(inside, t[np.minimum(onward, len(t) - 1)] + span, leaves)
+        return pd.DataFrame({**{k: block[k].iloc[0] for k in (*KEYS, "block")}, "entry": t[at], "leaves": leaves})
+    return exits
+
+
+def _walk_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Follows each key from block to block over the sorted entries and emits the entry used in each block."""
+    last_key, last_block, limit = None, None, 0
+    for batch in batches:
+        out = []
+        for (c, r, block), run in batch.groupby([*KEYS, "block"], sort=False, dropna=False):
+            if not _same((c, r), last_key):
+                last_key, last_block, limit = (c, r), None, run["entry"].iloc[0]
+            if block == last_block:
+                continue
+            at = int(np.searchsorted(run["entry"].to_numpy(), limit))
+            if at < len(run):
+                out.append((c, r, block, int(run["entry"].iloc[at])))
+                last_block, limit = block, int(run["leaves"].iloc[at])
+        yield pd.DataFrame(out, columns=[*KEYS, "block", "entry"])
+
+
+def _block_anchors(span: int):
+    def anchors(block: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
+        if block.empty or entered.empty:
+            return pd.DataFrame({**{k: pd.Series(dtype=object) for k in KEYS}, "anchor": pd.Series(dtype="int64")})
+        t = np.sort(block["t"].to_numpy())
+        found = _chain(t, int(np.searchsorted(t, int(entered["entry"].iloc[0]))), span)
+        return pd.DataFrame({**{k: block[k].iloc[0] for k in KEYS}, "anchor": t[found]})
+    return anchors
+
+
+def _anchors(instants: DataFrame, span: int, hot_instants: int) -> DataFrame:
+    """Group anchors per (customer, rule).
+
+    Ordinary keys are scanned by one task each. A hot key is cut into time blocks: what a block does to the
+    walk is worked out for all blocks at once, the walk itself then only visits the blocks' entries (a small
+    part of the instants), and the anchors are again found in all blocks at once.
+    """
+    out_type = "customer_id string, rule_id string, anchor bigint"
+    both = F.struct(*KEYS)
+    hot = instants.groupBy(both.alias("hot")).count().filter(F.col("count") > hot_instants).select("hot")
+    calm = instants.join(hot, both == F.col("hot"), "left_anti")
+    scanned = calm.repartition(*KEYS).sortWithinPartitions(*KEYS, "t").mapInPandas(_anchor_scan(span), out_type)
+    busy = instants.join(hot, both == F.col("hot"), "left_semi").withColumn("block", F.floor(F.col("t") / F.lit(span * BLOCK_SPANS)))
+    by_block = [*KEYS, "block"]
+    exits = busy.groupBy(*by_block).applyInPandas(
+        _block_exits(span), "customer_id string, rule_id string, block bigint, entry bigint, leaves bigint")
+    entered = exits.repartition(*KEYS).sortWithinPartitions(*by_block, "entry").mapInPandas(
+        _walk_blocks, "customer_id string, rule_id string, block bigint, entry bigint")
+    found = busy.groupBy(*by_block).cogroup(entered.groupBy(*by_block)).applyInPandas(_block_anchors(span), out_type)
+    return scanned.unionByName(found)
+
+
+def dedup_anchored(alerts: DataFrame, minutes: int = 30, hot_instants: int = HOT_INSTANTS) -> DataFrame:
     """Alerts of a customer and rule join the group whose first alert is at most ``minutes`` whole minutes
     before; the next one starts a new group.
 
-    Finding the anchors is sequential by nature, so it runs on the distinct instants only (reduced before
-    the shuffle) as one streaming scan per key. Everything else is an equi-join on time slots as long as a
-    group, in each of which at most one group starts, and a partial aggregate.
+    Only finding the anchors is sequential, so that part sees nothing but distinct instants, reduced before
+    the shuffle. Everything else is an equi-join on time slots as long as a group, in each of which at most
+    one group starts, and a partial aggregate.
     """
     span = (minutes + 1) * _MINUTE
     timed = alerts.withColumn("t", F.unix_micros(F.col("created_at").cast("timestamp")))
-    keys = ["customer_id", "rule_id"]
-    instants = timed.filter(F.col("t").isNotNull()).select(*keys, "t").distinct()
-    anchors = (instants.repartition(*keys).sortWithinPartitions(*keys, "t")
-               .mapInPandas(_anchor_scan(span), "customer_id string, rule_id string, anchor bigint"))
+    instants = timed.filter(F.col("t").isNotNull()).select(*KEYS, "t").distinct()
     slot = F.floor(F.col("anchor") / F.lit(span))
-    placed = anchors.select(F.col("customer_id").alias("c"), F.col("rule_id").alias("r"), "anchor",
-                            F.explode(F.array(slot, slot + 1)).alias("s"))
+    placed = _anchors(instants, span, hot_instants).select(
+        F.explode(F.array(slot, slot + 1)).alias("s"), F.struct(*KEYS).alias("g"), "anchor")
     t = F.col("t")
-    same = (F.col("customer_id").eqNullSafe(F.col("c")) & F.col("rule_id").eqNullSafe(F.col("r"))
-            & (F.floor(t / F.lit(span)) == F.col("s")) & (t >= F.col("anchor")) & (t < F.col("anchor") + F.lit(span)))
+    same = ((F.struct(*[F.col(k) for k in KEYS]) == F.col("g")) & (F.floor(t / F.lit(span)) == F.col("s"))
+            & (t >= F.col("anchor")) & (t < F.col("anchor") + F.lit(span)))
     extra = [c for c in ("rule_desc",) if c in alerts.columns]
-    merged = timed.join(placed, same).groupBy(*keys, "anchor").agg(*_merged(extra))
-    return _flat(merged, keys, extra)
+    merged = timed.join(placed, same).groupBy(*KEYS, "anchor").agg(*_merged(extra))
+    return _flat(merged, KEYS, extra)
 
 
 def correlate(alerts: DataFrame, party: str) -> DataFrame:

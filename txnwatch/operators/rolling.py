@@ -18,7 +18,7 @@ left the window, and stops counting when it expires without a next occurrence.
 
 from __future__ import annotations
 
-from functools import reduce
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,13 +167,29 @@ def _events(instants: DataFrame, windows: dict[str, int], steps: dict[str, int])
     return instants.select(*rest, F.explode(F.array(*moves)).alias("e")).select(*rest, "e.*")
 
 
+def _cents(amount: Column) -> Column:
+    """Money with two decimals as a whole number: running sums then stay in machine integers."""
+    return (amount * 100).cast("bigint")
+
+
+def _money(cents: Column) -> Column:
+    return (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
+
+
+def rolling_amounts(txn: DataFrame, windows: dict[str, int] | None = None, grain: int = HOUR,
+                    distinct: tuple[str, Column] | None = None, amounts: dict[str, Column] | None = None,
+                    maxes: bool = True) -> DataFrame:
+    """Trailing count, totals and maxima of money columns per customer, as decimal(18,2)."""
+    amounts = {"": F.col("amount_usd")} if amounts is None else amounts
+    totals = {f"{name}total_amount": _cents(c) for name, c in amounts.items()}
+    tops = {f"{name}max_amount": _cents(c) for name, c in amounts.items()} if maxes else {}
+    out = rolling_features(txn, "customer_id", "ts", windows, sums=totals, maxes=tops, distinct=distinct, grain=grain)
+    return out.withColumns({f"{c}_{w}": _money(F.col(f"{c}_{w}")) for c in (*totals, *tops) for w in windows or WINDOWS})
+
+
 def rolling_transactions(txn: DataFrame, windows: dict[str, int] | None = None, grain: int = HOUR) -> DataFrame:
     """Trailing count, total, maximum and distinct counterparties per customer."""
-    labels = list(windows or WINDOWS)
-    out = rolling_features(
-        txn, "customer_id", "ts", windows, sums={"total_amount": F.col("amount_usd")},
-        maxes={"max_amount": F.col("amount_usd")}, distinct=("unique_counterparties", F.col("counterparty_id")), grain=grain)
-    return out.withColumns({f"total_amount_{w}": F.col(f"total_amount_{w}").cast("decimal(18,2)") for w in labels})
+    return rolling_amounts(txn, windows, grain, distinct=("unique_counterparties", F.col("counterparty_id")))
 
 
 def window_stats(df: DataFrame, keys: list[str], amount: Column, threshold: float) -> DataFrame:
@@ -224,7 +240,3 @@ def tumbling_stats(txn: DataFrame, length: str, approximate: bool = False) -> Da
         F.max("amount_usd").alias("max_amount"), parties.alias("unique_counterparties"),
     ).select("customer_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
              "txn_count", "total_amount", "max_amount", "unique_counterparties")
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -38,7 +38,7 @@ def condition(field: str, operator: str, value: Any) -> dict:
 
 def rule_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
     """Rules written as Python literals as a rule table."""
-    lines = spark.createDataFrame([(json.dumps(r),) for r in rules], "value string")
+    lines = spark.createDataFrame([(json.dumps(r),) for r in rules], "value string").coalesce(1)
     return lines.select(F.from_json("value", RULE).alias("r")).select("r.*")
 
 
@@ -198,6 +198,6 @@ def hourly_baseline(txn: DataFrame, until: Column, days: int = 30) -> DataFrame:
 
 def rapid_in_out(rolled: DataFrame, window: str = "24h", keep_below: float = 0.1) -> DataFrame:
     """Rows whose trailing deposits were withdrawn again but for less than ``keep_below`` of them."""
-    came, left = F.col(f"in_amount_{window}").cast("double"), F.col(f"out_amount_{window}").cast("double")
+    came, left = F.col(f"in_total_amount_{window}").cast("double"), F.col(f"out_total_amount_{window}").cast("double")
     kept = (came - left) / came
     return rolled.filter((came > 0) & (left > 0) & (kept < F.lit(keep_below)) & (kept >= 0))

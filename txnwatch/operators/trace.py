@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.operators.ranking import top_n
@@ -11,24 +11,29 @@ from txnwatch.session import cut_lineage
 DEFAULT_HOPS, MOST_HOPS, EDGES_PER_HOP = 5, 10, 100
 
 
-def strongest_edges(edges: DataFrame, forward: bool = True, n: int = EDGES_PER_HOP) -> DataFrame:
-    """Per customer its ``n`` largest payments out (forward) or in (backward), as one sorted array.
-
-    Ranking drops all but ``n`` rows per customer before the shuffle, so arrays and hot customers stay bounded.
-    """
+def _ranked_edges(edges: DataFrame, forward: bool, n: int) -> DataFrame:
+    """The ``n`` largest payments per customer; all others are dropped before the shuffle, so a hot customer
+    stays bounded."""
     near, far = ("customer_id", "counterparty_id") if forward else ("counterparty_id", "customer_id")
     facing = edges.filter(F.col(near).isNotNull() & F.col(far).isNotNull()).select(
         F.col(near).alias("node"), F.col(far).alias("party"), "txn_id", "amount_usd")
-    best = top_n(facing, ["node"], [F.col("amount_usd").desc(), F.col("txn_id")], n)
+    return top_n(facing, ["node"], [F.col("amount_usd").desc(), F.col("txn_id")], n)
+
+
+def strongest_edges(edges: DataFrame, forward: bool = True, n: int = EDGES_PER_HOP) -> DataFrame:
+    """Per customer its ``n`` largest payments out (forward) or in (backward), as one sorted array."""
+    return _packed(_ranked_edges(edges, forward, n))
+
+
+def _packed(ranked: DataFrame) -> DataFrame:
     packed = F.array_sort(F.collect_list(F.struct("rank", "party", "txn_id", "amount_usd")))
-    return best.groupBy("node").agg(packed.alias("edges"))
+    return ranked.groupBy("node").agg(packed.alias("edges"))
 
 
-def _unseen(edges: Column, seen: Column) -> Column:
-    """Edges to parties not seen yet, only the first (largest) per party."""
-    fresh = F.filter(edges, lambda e: ~F.array_contains(seen, e["party"]))
-    parties = F.transform(fresh, lambda e: e["party"])
-    return F.filter(fresh, lambda e, i: F.array_position(parties, e["party"]) == i + 1)
+def _largest_per_party(ranked: DataFrame) -> DataFrame:
+    """Of several payments to one party only the largest can count in a walk."""
+    first = F.row_number().over(Window.partitionBy("node", "party").orderBy("rank"))
+    return ranked.withColumn("nth", first).filter(F.col("nth") == 1).drop("nth")
 
 
 def trace(starts: DataFrame, edges: DataFrame, hops: int = DEFAULT_HOPS, forward: bool = True) -> DataFrame:
@@ -38,14 +43,14 @@ def trace(starts: DataFrame, edges: DataFrame, hops: int = DEFAULT_HOPS, forward
     checkpointed once and keeps its partitioning, so every hop shuffles the frontier only.
     """
     hops = DEFAULT_HOPS if hops <= 0 else min(hops, MOST_HOPS)
-    adjacent = cut_lineage(strongest_edges(edges, forward))
+    adjacent = cut_lineage(_packed(_largest_per_party(_ranked_edges(edges, forward, EDGES_PER_HOP))))
     walk = starts.select(F.col("customer_id").alias("start_id")).distinct().withColumns({
         "at": F.col("start_id"), "seen": F.array("start_id")})
     kind = adjacent.schema["edges"].dataType
     for hop in range(1, hops + 1):
         found = walk.join(adjacent, F.col("at") == F.col("node"), "left")
-        fresh = F.coalesce(_unseen(F.col("edges"), F.col("seen")), F.array().cast(kind))
-        found = found.withColumn(f"hop{hop}", fresh)
+        fresh = F.filter("edges", lambda e: ~F.array_contains(F.col("seen"), e["party"]))
+        found = found.withColumn(f"hop{hop}", F.coalesce(fresh, F.array().cast(kind)))
         gained = F.col(f"hop{hop}")
         walk = found.withColumns({
             "at": F.when(F.size(gained) > 0, gained[0]["party"]),

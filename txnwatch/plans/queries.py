@@ -66,10 +66,8 @@ def l1_route_counts(spark, sf):
 
 @query("rolling_1h_24h", sql.ROLLING)
 def rolling_1h_24h(spark, sf):
-    names = [f"{m}_{w}" for w in ("1h", "24h") for m in ("txn_count", "total_amount", "max_amount")]
     txn = table(spark, sf, "txn").select("txn_id", "customer_id", "ts", "amount_usd")
-    out = rolling.rolling_features(txn, "customer_id", "ts", sums={"total_amount": F.col("amount_usd")}, maxes={"max_amount": F.col("amount_usd")})
-    return out.select("txn_id", "customer_id", *[F.col(n).cast("decimal(18,2)") if n.startswith("total") else n for n in names])
+    return rolling.rolling_amounts(txn).drop("ts", "amount_usd")
 
 
 @query("rolling_distinct_cp", sql.ROLLING_DISTINCT)
@@ -157,10 +155,7 @@ def _rule(name: str, rule_id: str, prepare: Callable[[SparkSession, str], DataFr
 
 
 def _rolled_amounts(spark, sf):
-    txn = _canonical(spark, sf)
-    out = rolling.rolling_features(txn, "customer_id", "ts", {"24h": rolling.DAY}, sums={"total_amount": F.col("amount_usd")},
-                                   maxes={"max_amount": F.col("amount_usd")})
-    return out.withColumn("total_amount_24h", F.col("total_amount_24h").cast("decimal(18,2)"))
+    return rolling.rolling_amounts(_canonical(spark, sf), {"24h": rolling.DAY})
 
 
 def _rolled_count(spark, sf):
@@ -210,10 +205,10 @@ def sar002_historical(spark, sf):
 @query("sar004_retention", sql.SAR004_RETENTION)
 def sar004_retention(spark, sf):
     txn = table(spark, sf, "txn").select("txn_id", "customer_id", "ts", "direction", "amount_usd")
-    flow = {f"{side}_amount": F.when(F.col("direction") == name, F.col("amount_usd")) for side, name in (("in", "INBOUND"), ("out", "OUTBOUND"))}
-    rolled = rolling.rolling_features(txn, "customer_id", "ts", {"24h": rolling.DAY}, sums=flow, count=None)
-    money = {c: F.col(c).cast("decimal(18,2)") for c in ("in_amount_24h", "out_amount_24h")}
-    return rules.rapid_in_out(rolled.withColumns(money)).select("txn_id", "customer_id", "in_amount_24h", "out_amount_24h")
+    flow = {f"{side}_": F.when(F.col("direction") == name, F.col("amount_usd")) for side, name in (("in", "INBOUND"), ("out", "OUTBOUND"))}
+    rolled = rolling.rolling_amounts(txn, {"24h": rolling.DAY}, amounts=flow, maxes=False)
+    return rules.rapid_in_out(rolled).select("txn_id", "customer_id", F.col("in_total_amount_24h").alias("in_amount_24h"),
+                                             F.col("out_total_amount_24h").alias("out_amount_24h"))
 
 
 @query("rules_effective_asof", sql.VERSION_ASOF)
@@ -519,8 +514,7 @@ def batch_alerts(spark, sf):
 
 def _realtime(spark, sf):
     amounts = norm.normalize(table(spark, sf, "txn").select("txn_id", "txn_type", "ts", "amount", "amount_usd", "currency", "direction", "customer_id", "channel"))
-    rolled = rolling.rolling_features(amounts, "customer_id", "ts", {"24h": rolling.DAY}, sums={"total_amount": F.col("amount_usd")},
-                                      maxes={"max_amount": F.col("amount_usd")})
+    rolled = rolling.rolling_amounts(amounts, {"24h": rolling.DAY})
     found = rules.all_alerts(rolled, _pack(spark, "CTR-001", "SAR-001"))
     return found.withColumn("report_date", F.to_date("created_at"))
 
