@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,31 +53,34 @@ def daily_summary(txn: DataFrame, alerts: DataFrame, day: str | None = None) ->
     return volumes.join(hits, F.col("report_date") == F.col("__day"), "left").drop("__day").na.fill(0, ["ctr_count", "sar_count"])
 
 
-def _document(head: list[tuple[str, Column]], customer: Column, money: list, date: Column) -> Column:
-    """Fixed value: the regulator's XML layout, one element per line."""
-    def line(text: str) -> Column:
-        return F.lit(text + "\n")
-
-    parts: list[Column] = [
-        line('<?xml version="1.0" encoding="UTF-8"?>'), line('<FATFReport xmlns="urn:fatf:report:1.0">'), line("  <ReportHeader>")]
-    for tag, value in [*head, ("SubmissionDate", date)]:
-        parts += [F.lit(f"    <{tag}>"), value, line(f"</{tag}>")]
-    parts += [line("  </ReportHeader>"), line("  <ReportBody>"), line("    <Subject>"),
-              F.lit("      <CustomerId>"), customer, line("</CustomerId>"), line("    </Subject>"), line("    <Transaction>"),
-              *money, line("    </Transaction>"), line("  </ReportBody>"), F.lit("</FATFReport>")]
-    return F.concat(*parts)
+# Fixed value: the regulator's document layout; the detail line is one of the two below it.
+DOCUMENT = """<?xml version="1.0" encoding="UTF-8"?>
+<FATFReport xmlns="urn:fatf:report:1.0">
+  <ReportHeader>
+    <ReportType>{report_type}</ReportType>
+    <ReportId>{report_id}</ReportId>
+    <SubmissionDate>{submission_date}</SubmissionDate>
+  </ReportHeader>
+  <ReportBody>
+    <Subject>
+      <CustomerId>{customer_id}</CustomerId>
+    </Subject>
+    <Transaction>
+      <Amount currency="{currency}">{amount}</Amount>
+      <DETAIL/>
+    </Transaction>
+  </ReportBody>
+</FATFReport>"""
+DETAILS = {"channel": "<Channel>{channel}</Channel>", "date": "<Date>{txn_date}</Date>"}
 
 
 def report_xml(rows: DataFrame, report_type: Column, submission_date: Column, layout: str = "channel") -> DataFrame:
-    """Adds ``content``: the document with an escaped ``<Channel>``, or the plain one with ``<Date>``."""
+    """Adds ``content``: the document with an escaped ``<Channel>``, or the unescaped one with ``<Date>``."""
     text = xml_text if layout == "channel" else (lambda c: F.coalesce(c.cast("string"), F.lit("")))
-    money = [F.lit('      <Amount currency="'), text(F.col("currency")), F.lit('">'), text(F.col("amount")), F.lit("</Amount>\n")]
-    if layout == "channel":
-        money += [F.lit("      <Channel>"), text(F.col("channel")), F.lit("</Channel>\n")]
-    else:
-        money += [F.lit("      <Date>"), text(F.col("txn_date")), F.lit("</Date>\n")]
-    head = [("ReportType", text(report_type)), ("ReportId", text(F.col("report_id")))]
-    return rows.withColumn("content", _document(head, text(F.col("customer_id")), money, submission_date))
+    given = {"report_type": report_type, "submission_date": submission_date}
+    pieces = re.split(r"\{(\w+)\}", DOCUMENT.replace("<DETAIL/>", DETAILS[layout]))
+    parts = [text(given.get(piece, F.col(piece))) if i % 2 else F.lit(piece) for i, piece in enumerate(pieces)]
+    return rows.withColumn("content", F.concat(*parts))
 
 
 def summary_json(rows: DataFrame, chunk: int = 1000) -> DataFrame:

@@ -133,28 +133,54 @@ def severity_score(severity: Column) -> Column:
     return mapped(severity, SEVERITY_SCORE, DEFAULT_SCORE).cast("float")
 
 
-def evaluate_rules(df: DataFrame, rules: list, created_at: str = "ts", skip_tag: str | None = BYPASS) -> DataFrame:
-    """All matching rules per row, in rule order, as alert rows (plus ``rule_pos``)."""
-    columns = set(df.columns)
-    lane = df
-    if skip_tag is not None and "route_tag" in columns:
-        lane = df.filter(F.coalesce(F.col("route_tag"), F.lit("MAIN")) != skip_tag)
-    hits = []
-    for pos, rule in enumerate(rules):
-        hits.append(F.when(compile_rule(rule, columns), F.struct(
-            F.lit(rule["rule_id"]).alias("rule_id"), F.lit(rule["type"]).alias("alert_type"),
-            F.lit(rule["severity"]).alias("severity"), rule_message(rule, columns).alias("rule_desc"),
-            F.lit(SEVERITY_SCORE.get(rule["severity"], DEFAULT_SCORE)).cast("float").alias("score"),
-            F.lit(pos).alias("rule_pos"))))
+def _is_bypass() -> Column:
+    return F.coalesce(F.col("route_tag") == BYPASS, F.lit(False))
+
+
+def _bypass_hit() -> Column:
+    """The CTR alert every row of the bypass lane becomes, without a look at the rules."""
+    amount = F.coalesce(F.col("amount_usd").cast("string"), F.lit("N/A"))
+    text = F.concat(F.lit("Auto-CTR: Large transaction "), amount, F.lit(" bypass lane"))
+    return F.struct(F.lit("CTR-001").alias("rule_id"), F.lit("CTR").alias("alert_type"), F.lit("HIGH").alias("severity"),
+                    text.alias("rule_desc"), F.lit(1.0).cast("float").alias("score"), F.lit(-1).alias("rule_pos"))
+
+
+def _rule_hits(rules: list, columns: set[str], applies: Column) -> list[Column]:
+    return [F.when(applies & compile_rule(rule, columns), F.struct(
+        F.lit(rule["rule_id"]).alias("rule_id"), F.lit(rule["type"]).alias("alert_type"), F.lit(rule["severity"]).alias("severity"),
+        rule_message(rule, columns).alias("rule_desc"),
+        F.lit(SEVERITY_SCORE.get(rule["severity"], DEFAULT_SCORE)).cast("float").alias("score"),
+        F.lit(pos).alias("rule_pos"))) for pos, rule in enumerate(rules)]
+
+
+def _alerts_of(df: DataFrame, hits: list[Column], created_at: str) -> DataFrame:
+    """Hits to alert rows; filtered before the explode, as most rows match nothing."""
     if not hits:
         hits = [F.lit(None).cast("struct<rule_id:string,alert_type:string,severity:string,rule_desc:string,score:float,rule_pos:int>")]
-    # Filter before the explode: most rows match nothing and need not be expanded.
-    matched = lane.select("txn_id", "customer_id", F.col(created_at).alias("created_at"),
-                          F.array_compact(F.array(*hits)).alias("hits")).filter(F.size("hits") > 0)
+    matched = df.select("txn_id", "customer_id", F.col(created_at).alias("created_at"),
+                        F.array_compact(F.array(*hits)).alias("hits")).filter(F.size("hits") > 0)
     return matched.select("txn_id", "customer_id", "created_at", F.explode("hits").alias("h")).select(
         *alert_columns("h."), F.col("h.rule_pos").alias("rule_pos"))
 
 
+def evaluate_rules(df: DataFrame, rules: list, created_at: str = "ts") -> DataFrame:
+    """All matching rules per row, in rule order, as alert rows (plus ``rule_pos``); the bypass lane is skipped."""
+    lane = df.filter(~_is_bypass()) if "route_tag" in df.columns else df
+    return _alerts_of(lane, _rule_hits(rules, set(df.columns), F.lit(True)), created_at)
+
+
+def bypass_alerts(df: DataFrame, created_at: str = "ts") -> DataFrame:
+    """The bypass lane's CTR alerts alone."""
+    return _alerts_of(df.filter(_is_bypass()), [_bypass_hit()], created_at).drop("rule_pos")
+
+
+def all_alerts(df: DataFrame, rules: list, sanction_alerts: DataFrame | None = None, created_at: str = "ts") -> DataFrame:
+    """Bypass and rule alerts from one pass over the rows, and sanction alerts, as one table."""
+    hits = [F.when(_is_bypass(), _bypass_hit()), *_rule_hits(rules, set(df.columns), ~_is_bypass())]
+    out = _alerts_of(df, hits, created_at).drop("rule_pos")
+    return out if sanction_alerts is None else out.unionByName(sanction_alerts)
+
+
 def alert_columns(prefix: str = "") -> list[Column]:
     """The alert row; ids follow from (txn, rule), times from the event, so replays repeat it."""
     rule_id = F.col(f"{prefix}rule_id")
@@ -167,22 +193,6 @@ def alert_columns(prefix: str = "") -> list[Column]:
     ]
 
 
-def bypass_alerts(df: DataFrame, created_at: str = "ts") -> DataFrame:
-    """Rows of the bypass lane become CTR alerts without looking at the rules."""
-    amount = F.coalesce(F.col("amount_usd").cast("string"), F.lit("N/A"))
-    return df.filter(F.col("route_tag") == BYPASS).select(
-        "txn_id", "customer_id", F.col(created_at).alias("created_at"), F.lit("CTR-001").alias("rule_id"),
-        F.lit("CTR").alias("alert_type"), F.lit("HIGH").alias("severity"),
-        F.concat(F.lit("Auto-CTR: Large transaction "), amount, F.lit(" bypass lane")).alias("rule_desc"),
-        F.lit(1.0).cast("float").alias("score")).select(*alert_columns())
-
-
-def all_alerts(df: DataFrame, rules: list, sanction_alerts: DataFrame | None = None) -> DataFrame:
-    """Bypass, rule and sanction alerts as one table."""
-    out = bypass_alerts(df).unionByName(evaluate_rules(df, rules).drop("rule_pos"))
-    return out if sanction_alerts is None else out.unionByName(sanction_alerts)
-
-
 def frequency_anomaly(enriched: DataFrame, baseline: DataFrame, factor: float = 5.0) -> DataFrame:
     """Rows whose one-hour count is at least ``factor`` times the customer's historical hourly mean."""
     base = baseline.select(F.col("customer_id").alias("__cid"), "mean_hourly")

@@ -196,9 +196,9 @@ def close_spellings(names: DataFrame, listed: DataFrame, distance: int = 2) -> D
 
     lengths = F.sequence(F.greatest(size_a - distance, F.lit(0)), size_a + distance)
     left = left.withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(lengths, keys_for)))))
-    met = left.join(right, "key").select("name", "norm", "matched_name", "listed_norm", "pos").distinct()
     gap = F.levenshtein("norm", "listed_norm", distance)
-    return met.withColumn("distance", gap).filter(F.col("distance") >= 0).select("name", "matched_name", "pos", "distance")
+    met = left.join(right, "key").withColumn("distance", gap).filter(F.col("distance") >= 0)
+    return met.select("name", "matched_name", "pos", "distance").distinct()
 
 
 def with_aliases(listed: DataFrame, aliases: DataFrame) -> DataFrame:

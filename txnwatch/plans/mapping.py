@@ -58,7 +58,7 @@ SELECT concat('CUST-', CAST(c_custkey AS VARCHAR(20))) AS customer_id,
  CAST(c_acctbal AS DECIMAL(18,2)) AS risk_points,
  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(DATE '2024-01-01' AS TIMESTAMP) + INTERVAL '1' DAY * (c_custkey % 90) END AS next_review_date FROM {customer}""",
     "sanction_name": """
-SELECT min(p_partkey) AS pos, p_name AS name, 'LIST-A' AS list_source FROM {part} WHERE p_partkey % 23 = 0 GROUP BY p_name""",
+SELECT min(p_partkey) AS pos, p_name AS name, 'LIST-A' AS list_source FROM {part} WHERE p_brand = 'Brand#13' GROUP BY p_name""",
     "screen_name": """
 SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN concat(upper(p_name), '!') WHEN 1 THEN replace(p_name, 'e', 'a') ELSE replace(p_name, ' ', '  ') END AS name FROM {part}""",
     "rule_version": """
@@ -67,7 +67,7 @@ SELECT * FROM (VALUES ('V1', TIMESTAMP '2024-01-01 00:00:00', 'ACTIVE'), ('V2',
     "txn_party": """
 SELECT t.txn_id, t.customer_id, t.counterparty_id, t.ts,
  CASE t.event_id % 3 WHEN 0 THEN concat(upper(p.p_name), '!') WHEN 1 THEN replace(p.p_name, 'e', 'a') ELSE replace(p.p_name, ' ', '  ') END AS counterparty_name
-FROM {txn} t JOIN {part} p ON t.event_id % 997 = p.p_partkey""",
+FROM (SELECT *, event_id % (SELECT count(*) FROM {part}) AS party_key FROM {txn}) t JOIN {part} p ON t.party_key = p.p_partkey""",
     "alert_action": """
 SELECT concat('A-', CAST(event_id AS VARCHAR(20))) AS alert_id, s.seq,
  concat('rev', CAST((event_id + s.seq) % 9 AS VARCHAR(20))) AS reviewer_id,
