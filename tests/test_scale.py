@@ -177,3 +177,18 @@ def test_no_cartesian_products(spark, sf_dir):
     for name in ("rule_alerts", "sanction_alerts", "rules_effective_asof", "alert_timeline", "trace_forward", "reconciliation", "alert_queue", "daily_summary"):
         plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from txnwatch.streaming.state import RollingState
+
+    path = tmp_path / "f.pickle"
+    path.write_bytes(cloudpickle.dumps((jaro_winkler_block, dedup._anchor_scan(60), dedup._block_exits(60), RollingState)))
+    code = f"import pickle; f = pickle.load(open({str(path)!r}, 'rb')); import pandas as pd; print(f[0](pd.Series(['abc']), pd.Series(['abd']))[0] > 0.8)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"}, check=False)
+    assert done.stdout.strip() == "True", done.stderr

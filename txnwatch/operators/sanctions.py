@@ -49,9 +49,11 @@ def screening_candidates(names: DataFrame, listed: DataFrame) -> DataFrame:
     """
     grams = listed.select(F.explode(bigrams(normalize_name(F.col("name")))).alias("g")).filter(F.length("g") > 0)
     known = grams.agg(F.collect_set("g").alias("known"))
-    distinct = names.select("name").distinct().withColumn("norm", normalize_name(F.col("name")))
+    distinct = names.groupBy("name").agg(F.count(F.lit(1)).alias("uses")).withColumn("norm", normalize_name(F.col("name")))
     overlap = F.arrays_overlap(bigrams(F.col("norm")), known.scalar())
-    return distinct.filter((F.length("norm") >= 2) & F.coalesce(overlap, F.lit(False)))
+    # The mention of the count keeps Spark from running this costly test on every row before they are made distinct.
+    passes = F.when(F.col("uses") > 0, (F.length("norm") >= 2) & overlap)
+    return distinct.filter(passes).select("name", "norm")
 
 
 def _rare_first_chars(text: Column) -> Column:
