@@ -39,7 +39,7 @@ def fold_cases(events: DataFrame) -> DataFrame:
 def case_queue(cases: DataFrame) -> DataFrame:
     """Open cases by priority, then age."""
     waiting = cases.filter(F.col("status").isin(OPEN_STATES))
-    return scaled_row_number(waiting, [], [queue_order(F.col("priority")), F.date_trunc("day", "created_at")],
+    return scaled_row_number(waiting, [], [queue_order(F.col("priority")), F.date_trunc("minute", "created_at")],
                              [F.col("created_at"), F.col("case_id")])
 
 

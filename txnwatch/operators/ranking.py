@@ -43,7 +43,7 @@ def top_n(df: DataFrame, partition: list[str], order: list[Column], n: int, name
     return ranked.filter(F.col(name) <= n).withColumn(name, F.col(name).cast("bigint"))
 
 
-def newest_n(df: DataFrame, key: str, ts: str, n: int, tie: str, seconds: int = 3600) -> DataFrame:
+def newest_n(df: DataFrame, key: str, ts: str, n: int, tie: str, seconds: int = 60) -> DataFrame:
     """Newest ``n`` rows per key for a large ``n``: whole time buckets are kept or dropped by their
     counts, only the bucket in which the limit falls needs ranks."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
