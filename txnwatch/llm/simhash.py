@@ -24,6 +24,8 @@ from txnwatch.llm.components import connected_components
 BITS = 64
 FAN_OUT = 16
 QUERIES_AT_ONCE = 256
+#: Pairs of a query and an entry that a search may hold at once.
+FRONTIER = 1_000_000
 SEED = 42
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ALL = np.uint64(2**64 - 1)
@@ -138,26 +140,31 @@ def linked_labels(prints: np.ndarray, radius: int) -> np.ndarray:
     for i in np.flatnonzero(np.bitwise_count(prints[1:] ^ prints[:-1]) <= radius):
         sets.link(int(i), int(i) + 1)
     levels = _levels(prints)
-    for at in range(0, len(prints), QUERIES_AT_ONCE):
+    at_once = max(1, min(QUERIES_AT_ONCE, FRONTIER // len(prints)))
+    for at in range(0, len(prints), at_once):
         labels = sets.labels()
+        if not labels.any():  # all hang together already
+            break
         same = _uniform(labels, len(levels))
         top = len(levels) - 1
-        mine = np.arange(at, min(at + QUERIES_AT_ONCE, len(prints)))
-        query, node = (x.ravel() for x in np.meshgrid(mine, np.arange(len(levels[top][1])), indexing="ij"))
-        apart, seen = np.zeros(len(query), np.int64), np.zeros(len(query), np.uint64)
+        mine = np.arange(at, min(at + at_once, len(prints)), dtype=np.int32)
+        width = len(levels[top][1])
+        query, node = np.repeat(mine, width), np.tile(np.arange(width, dtype=np.int32), len(mine))
+        apart = np.zeros(len(query), np.uint8)
         for level in range(top, -1, -1):
-            mask, pattern = levels[level][0][node], levels[level][1][node]
-            apart = apart + np.bitwise_count((prints[query] ^ pattern) & mask & ~seen)
+            fresh = levels[level][0][node]  # shared bits that the node above didn't have
+            if level < top:
+                fresh &= ~levels[level + 1][0][node // FAN_OUT]
+            fresh &= prints[query] ^ levels[level][1][node]
+            apart = apart + np.bitwise_count(fresh)
             keep = (apart <= radius) & (same[level][node] != labels[query])
-            query, node, apart, seen = query[keep], node[keep], apart[keep], mask[keep]
+            query, node, apart = query[keep], node[keep], apart[keep]
             if level:
-                n = len(levels[level - 1][1])
-                node = (node[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-                query, apart, seen = (np.repeat(x, FAN_OUT) for x in (query, apart, seen))
-                inside = node < n
-                query, node, apart, seen = query[inside], node[inside], apart[inside], seen[inside]
-        for pair in np.unique(np.stack([labels[query], labels[node]]), axis=1).T.tolist():
-            sets.link(*pair)
+                node = (node[:, None] * np.int32(FAN_OUT) + np.arange(FAN_OUT, dtype=np.int32)).ravel()
+                inside = node < len(levels[level - 1][1])
+                query, apart, node = np.repeat(query, FAN_OUT)[inside], np.repeat(apart, FAN_OUT)[inside], node[inside]
+        for pair in np.unique(labels[query] * len(prints) + labels[node]).tolist():
+            sets.link(*divmod(pair, len(prints)))
     return sets.labels()
 
 
