@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm import decontaminate, packing, simhash, substrings, token_counts, toxicity
+from txnwatch.llm import decontaminate, licenses, neighbours, packing, sharding, simhash, substrings, token_counts, toxicity, urls
+from txnwatch.llm.urls import Rule
 
 #: Name of the vocabulary files; their folder is that of the installed package.
 PACKING_TOKENIZER = "byte_bpe_50k.json"
 COUNTING_TOKENIZER = "piece_bpe_32k.model"
 PACKED_TOKENS = 1024
 TOKEN_BUDGET = 4096
+URL_RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"),
+             Rule("block", "com", "/de/")]
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,6 +45,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.budgets(tables, TOKEN_BUDGET)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train_on_open_labels(docs, table(spark, sf_dir, "labels"))
@@ -55,11 +70,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("doc.id").alias("doc_id"), simhash.hex_print(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.kd_shards(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("doc.id").alias("doc_id"), "item_id", "windows", F.col("of").alias("item_windows"), F.round("coverage", 6).alias("coverage"),
                         "first_word", "last_word", "reparameterised")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_counts, op7_toxicity, op8_simhash, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_counts, op4_licenses, op5_urls, op6_neighbours, op7_toxicity, op8_simhash,
+                                      op9_sharding, op10_decontamination)}
 ORACLE: dict[str, str] = {}
