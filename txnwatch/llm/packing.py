@@ -97,6 +97,11 @@ def byte_level_encoder(path: str) -> Callable[[str], bytes]:
     return ids
 
 
+def file_encoder(path: str) -> Callable[[], Callable[[str], bytes]]:
+    """What :func:`pack` takes as ``encoder``: makes the encoder in the worker."""
+    return lambda: byte_level_encoder(path)
+
+
 def tokenize(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id: int,
              text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, doc, part, before, n, ids): little-endian ids of each document, ``end_id`` last.

@@ -27,8 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    path = tokenizer_path(PACKING_TOKENIZER)
-    return packing.pack(docs, lambda: packing.byte_level_encoder(path), end_id=0, window=PACKED_TOKENS, with_ids=False)
+    return packing.pack(docs, packing.file_encoder(tokenizer_path(PACKING_TOKENIZER)), end_id=0, window=PACKED_TOKENS, with_ids=False)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
