@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import kept_in_worker, row_key, text_slices
+from txnwatch.llm.common import kept_in_worker, materialize, row_key, text_slices
 
 #: Expected number of labelled documents per class that train the model, taken by the hash of their id.
 SAMPLE_PER_CLASS = 6_000
@@ -123,20 +123,24 @@ def _fit(label: np.ndarray, idle: np.ndarray, bag_doc: np.ndarray, entry_bag: np
     return x[:n], float(x[n])
 
 
-def train(labelled: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, features: int = FEATURES) -> Model:
-    """Model from ``labelled`` (doc_id, text, label 0/1).
+def train(docs: DataFrame, known: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, features: int = FEATURES) -> Model:
+    """Model from ``docs`` (doc_id, text) and ``known`` (doc_id, label 0/1), one row per id.
 
-    Of each class a sample of expected size ``sample_per_class`` is taken by the hash of the id; that bounds what
-    the driver gets: the features found in these documents. Without toxic or clean rows the model knows no feature
-    and scores 0 or nearly so. Rows with a null label or id are left out; equal rows count once.
+    Of each class a sample of expected size ``sample_per_class`` is taken by the hash of the id. That bounds the ids
+    sent to the executors, the texts that are written for training, and what the driver gets: features found in them.
+    Without toxic or clean rows the model knows no feature and scores 0 or nearly so. Rows with a null label or id
+    are left out; equal rows count once.
     """
-    rows = labelled.where("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "text", F.col("label").cast("int").alias("label"))
+    rows = known.where("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.xxhash64("doc_id", "text").alias("order")
-    kept = " OR ".join(f"(label = {y} AND pmod(order, 1000003) < {1000003 * min(1.0, sample_per_class / n):.0f})" for y, n in sizes.items())
     if len(sizes) < 2:
         return Model({}, -30.0, f"none {sizes}")
-    sample = rows.withColumn("order", order).where(kept)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003))
+    kept = F.lit(False)
+    for y, n in sizes.items():
+        kept |= (F.col("label") == y) & (drawn < int(1_000_003 * min(1.0, sample_per_class / n)) + 1)
+    texts = docs.select("doc_id", "text").join(F.broadcast(rows.where(kept)), "doc_id")
+    sample = materialize(texts.withColumn("order", F.xxhash64("doc_id", "text")), "toxicity-sample")
     counted = (sample.select("text", "label").mapInArrow(_count_features, "feature string, clean long, toxic long")
                .groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     size = [min(n, sample_per_class) for _, n in sorted(sizes.items())]
@@ -193,4 +197,4 @@ def held_out(doc_id: str = "doc_id"):
 def train_on_open_labels(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from the rows of ``labels`` (doc_id, toxic) whose ids are not held out. Several labels of an id: the highest."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    return train(docs.select(F.col("doc_id"), F.col("text")).join(known, "doc_id"))
+    return train(docs, known)
