@@ -18,16 +18,17 @@ from txnwatch.sources.sinks import archive, overwrite_partitions
 from txnwatch.sources.streams import parse_json
 from txnwatch.sources.tables import latest_before, read_dated, read_sample_transactions
 
-T0 = dt.datetime(2024, 5, 26, 5, 20)
+T0 = dt.datetime(2024, 5, 9, 9, 15)
 
-FEED = [
-    dict(txnId="TXN-001", txnType="TRANSFER", timestamp=1716700800000, amount=5000.00, currency="USD", amountUsd=5000.00, direction="OUTBOUND",
-         customerId="CUST-001", counterpartyId="CUST-002", channel="ONLINE", countrySrc="US", countryDst="GB", metadata={}, rawPayload=""),
-    dict(txnId="TXN-002", txnType="CARD", timestamp=1716700860000, amount=15000.00, currency="USD", amountUsd=15000.00, direction="OUTBOUND",
-         customerId="CUST-001", counterpartyId="CUST-003", channel="ATM", countrySrc="US", countryDst="US", metadata={}, rawPayload=""),
-    dict(txnId="TXN-004", txnType="TRANSFER", timestamp=1716700980000, amount=7500.00, currency="USD", amountUsd=7500.00, direction="OUTBOUND",
-         customerId="CUST-001", counterpartyId="CUST-004", channel="ONLINE", countrySrc="US", countryDst="IR", metadata={}, rawPayload=""),
-]
+
+def _payment(n: int, kind: str, amount: float, to: str, channel: str, country: str) -> dict:
+    at = int(T0.replace(tzinfo=dt.UTC).timestamp() * 1000) + 60_000 * n
+    return dict(txnId=f"PAY-{n}", txnType=kind, timestamp=at, amount=amount, currency="USD", amountUsd=amount, direction="OUTBOUND", customerId="PAYER",
+                counterpartyId=to, channel=channel, countrySrc="US", countryDst=country, metadata={}, rawPayload="")
+
+
+FEED = [_payment(1, "TRANSFER", 4200.0, "SHOP", "ONLINE", "DE"), _payment(2, "CARD", 12300.0, "HOTEL", "ATM", "US"),
+        _payment(3, "TRANSFER", 8100.0, "TRADER", "ONLINE", "IR")]
 
 
 @pytest.fixture
@@ -39,20 +40,20 @@ def feed(spark, tmp_path):
 
 def test_feed_parses_routes_and_alerts(spark, feed):
     rows = {r.txn_id: r for r in norm.normalize(norm.valid_rows(feed)).collect()}
-    assert rows["TXN-002"].route_tag == "BYPASS_CTR" and rows["TXN-001"].route_tag == "MAIN"
-    assert rows["TXN-001"].topic == "txn.bank" and rows["TXN-002"].topic == "txn.card"
+    assert rows["PAY-2"].route_tag == "BYPASS_CTR" and rows["PAY-1"].route_tag == "MAIN"
+    assert rows["PAY-1"].topic == "txn.bank" and rows["PAY-2"].topic == "txn.card"
     enriched = rolling.rolling_transactions(norm.normalize(feed)).withColumn("risk_level", F.lit("UNKNOWN"))
     found = rules.all_alerts(enriched, rules.collect_rules(rules.rule_frame(spark, packs.SHIPPED))).collect()
-    assert {(a.txn_id, a.rule_id) for a in found} == {("TXN-002", "CTR-001"), ("TXN-004", "SAR-003")}
+    assert {(a.txn_id, a.rule_id) for a in found} == {("PAY-2", "CTR-001"), ("PAY-3", "SAR-003")}
     text = {a.rule_id: a.rule_desc for a in found}
-    assert text["SAR-003"] == "SAR: High-risk country transfer $7500.00 to $IR"
-    assert text["CTR-001"] == "Auto-CTR: Large transaction 15000.00 bypass lane"
+    assert text["SAR-003"] == "SAR: High-risk country transfer $8100.00 to $IR"
+    assert text["CTR-001"] == "Auto-CTR: Large transaction 12300.00 bypass lane"
 
 
 def test_json_message_ignores_unknown_and_nulls_missing(spark):
-    raw = spark.createDataFrame([('{"txnId":"TXN-001","txnType":"TRANSFER","amount":12.5,"other":1}',), ("not json",)], "value string")
+    raw = spark.createDataFrame([('{"txnId":"PAY-1","txnType":"TRANSFER","amount":12.5,"other":1}',), ("not json",)], "value string")
     rows = norm.to_canonical(parse_json(raw, TXN_JSON)).collect()
-    assert rows[0].txn_id == "TXN-001" and float(rows[0].amount) == 12.5 and rows[0].customer_id is None
+    assert rows[0].txn_id == "PAY-1" and float(rows[0].amount) == 12.5 and rows[0].customer_id is None
     assert rows[1].txn_id is None and rows[1].raw_value == "not json"
 
 
@@ -286,4 +287,74 @@ def test_partition_overwrite_keeps_other_days(spark, tmp_path):
 def test_archive_by_day_and_type(spark, feed, tmp_path):
     path = str(tmp_path / "a")
     archive(feed, path)
-    assert spark.read.parquet(path).filter("dt = '2024-05-26' AND txn_type = 'CARD'").count() == 1
+    assert spark.read.parquet(path).filter("dt = '2024-05-09' AND txn_type = 'CARD'").count() == 1
+
+
+def test_boolean_rule_values(spark):
+    df = spark.createDataFrame([("T1", "C", T0, True), ("T2", "C", T0, False)], "txn_id string, customer_id string, ts timestamp, flagged boolean")
+    pack = [dict(rule_id=r, name=r, type="SAR", severity="LOW", conditions=[rules.condition("flagged", op, v)], actions=[], logic=None)
+            for r, op, v in (("EQ", "EQ", True), ("IN", "IN", [False]))]
+    found = rules.evaluate_rules(df, pack)
+    assert {(a.txn_id, a.rule_id) for a in found.collect()} == {("T1", "EQ"), ("T2", "IN")}
+
+
+def test_many_rules_are_evaluated_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(rules, "RULES_PER_ARRAY", 3)
+    df = spark.createDataFrame([("T1", "C", T0, 5)], "txn_id string, customer_id string, ts timestamp, n int")
+    pack = [dict(rule_id=f"R{i}", name="", type="SAR", severity="LOW", conditions=[rules.condition("n", "GTE", i)], actions=[], logic=None) for i in range(10)]
+    found = rules.evaluate_rules(df, pack)
+    assert {a.rule_id for a in found.collect()} == {f"R{i}" for i in range(6)}
+
+
+def test_names_of_other_scripts(spark):
+    from txnwatch.operators import sanctions
+    listed = spark.createDataFrame([(0, "Иван", "L"), (1, "محمد", "L"), (2, "!!", "L"), (3, "Li Wei", "L")], "pos long, name string, list_source string")
+    names = spark.createDataFrame([("王",), ("ИВАН ",), ("??",), ("li wei!",)], "name string")
+    assert {r.name for r in sanctions.exact_matches(names, listed).collect()} == {"ИВАН ", "li wei!"}
+    assert {(r.name, r.matched_name) for r in sanctions.close_spellings(names, listed, 1).collect()} >= {("ИВАН ", "Иван"), ("li wei!", "Li Wei")}
+    assert not [r for r in sanctions.close_spellings(names, listed, 1).collect() if r.name in ("??",)]
+    assert sanctions.merge_lists(listed).count() == 4
+
+
+def test_review_date_outlives_a_risk_change(spark):
+    from txnwatch.operators import kyc
+    profiles = spark.createDataFrame([("A", "LOW", 1.0, None, None), ("B", "LOW", 1.0, None, T0)],
+                                     "customer_id string, risk_level string, risk_points double, next_review_date timestamp, last_review_date timestamp")
+    changes = spark.createDataFrame([("A", 1, "REVIEW", None, None, T0), ("A", 2, "RISK", "HIGH", 5.0, T0 + dt.timedelta(days=1)), ("B", 1, "RISK", "HIGH", 5.0, T0),
+                                     ("X", 1, "RISK", "HIGH", 5.0, T0), ("Y", 1, "UPSERT", "LOW", 1.0, T0)],
+                                    "customer_id string, seq int, change string, risk_level string, risk_points double, change_at timestamp")
+    got = {r.customer_id: r for r in kyc.apply_changes(profiles, changes).collect()}
+    assert set(got) == {"A", "B", "Y"} and got["A"].last_review_date == T0 and got["B"].last_review_date == T0
+    assert [r.customer_id for r in kyc.unknown_customers(profiles, changes).collect()] == ["X"]
+
+
+def test_empty_rerun_leaves_nothing_behind(spark, tmp_path):
+    from txnwatch.sources.sinks import batch_partition_writer, overwrite_day
+    rows = spark.createDataFrame([("T1", "2024-01-01")], "txn_id string, dt string")
+    overwrite_day(rows, f"{tmp_path}/days", "2024-01-01")
+    overwrite_day(rows.limit(0), f"{tmp_path}/days", "2024-01-01")
+    write = batch_partition_writer(f"{tmp_path}/batches")
+    write(rows, 0)
+    write(rows.limit(0), 0)
+    assert spark.read.schema(rows.schema).parquet(f"{tmp_path}/days").count() == spark.read.schema(rows.schema).parquet(f"{tmp_path}/batches").count() == 0
+
+
+def test_trailing_equals_slices():
+    import numpy as np
+
+    from txnwatch.streaming.state import trailing
+    rng = np.random.default_rng(0)
+    t = np.sort(rng.integers(0, 20_000, 300)) * 1_000_000
+    cents, party = rng.integers(-50, 500, 300), np.array([None if x == 0 else str(x) for x in rng.integers(0, 9, 300)], object)
+    at = rng.permutation(t)
+    got = trailing(t, cents, party, at, 3600)
+    for i, x in enumerate(at):
+        inside = (t > x - 3600 * 1_000_000) & (t <= x)
+        assert got["max_amount"][i] == cents[inside].max() and got["unique_counterparties"][i] == len({p for p in party[inside] if p is not None})
+
+
+def test_cut_traces_say_so(spark):
+    from txnwatch.operators import trace
+    edges = spark.createDataFrame([("A", f"P{i}", f"T{i}", float(i)) for i in range(5)] + [("P4", "Q", "T9", 1.0)], "customer_id string, counterparty_id string, txn_id string, amount_usd double")
+    found = {(r.hop, r.party): r.truncated for r in trace.trace(edges.select("customer_id").where("customer_id = 'A'"), edges, 2, edges_per_hop=3).collect()}
+    assert found == {(1, "P4"): True, (1, "P3"): True, (1, "P2"): True, (2, "Q"): False}

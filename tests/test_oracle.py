@@ -16,7 +16,7 @@ def duck(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     difference = compare(entry.queries()[name](spark, sf_dir), duck, entry.oracle_sql()[name])
     assert difference is None or (difference == "EMPTY" and name in MAY_BE_EMPTY), difference

@@ -66,6 +66,13 @@ def normalize_name(col: Column) -> Column:
     return F.regexp_replace(kept, r"\s+", " ")
 
 
+def match_key(name: Column) -> Column:
+    """The normalized name, or, where no Latin letter or digit is left, its letters and digits of any script."""
+    norm, trimmed = F.trim(normalize_name(name)), F.lower(F.regexp_replace(name, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
+    every = F.trim(F.regexp_replace(F.regexp_replace(trimmed, r"[^\p{L}\p{M}\p{N}\s]", ""), r"\s+", " "))
+    return F.when(norm != "", normalize_name(name)).otherwise(F.nullif(every, F.lit("")))
+
+
 def bigrams(col: Column) -> Column:
     """Overlapping character pairs; a text shorter than two is its own only gram."""
     pairs = F.transform(F.sequence(F.lit(1), F.length(col) - 1), lambda i: F.substring(col, i, F.lit(2)))

@@ -42,8 +42,13 @@ def apply_changes(profiles: DataFrame, changes: DataFrame, score: str = "risk_po
     """Profiles after a batch of ordered changes: UPSERT, RISK (new level and score) and REVIEW (completed).
 
     Risk changes and reviews restart the schedule from their own time; an upsert schedules only a profile
-    that has no date. Every field keeps its last given value, so no ordered list of changes is collected.
+    that has no date. Only a review sets the date of the last review. Every field keeps its last given value, so
+    no ordered list of changes is collected. Risk changes and reviews of unknown customers make no profile: see
+    :func:`unknown_customers`. ``review_status`` is worked out again where ``profiles`` has it.
     """
+    made = changes.where("change = 'UPSERT'").select(F.col("customer_id").alias("__made")).distinct()
+    known = profiles.select(F.col("customer_id").alias("__made")).union(made).distinct()
+    changes = changes.join(known, F.col("customer_id") == F.col("__made"), "left_semi")
     restarts = F.col("change").isin("RISK", "REVIEW")
     given = F.when(F.col("risk_level").isNotNull(), F.col("seq"))
     last = changes.groupBy(F.col("customer_id").alias("__cid")).agg(
@@ -51,6 +56,7 @@ def apply_changes(profiles: DataFrame, changes: DataFrame, score: str = "risk_po
         F.max_by(score, F.when(F.col(score).isNotNull(), F.col("seq"))).alias("__score"),
         F.max_by(F.struct("change", "change_at", "seq"), F.when(restarts, F.col("seq"))).alias("__restart"),
         F.min_by(F.struct("change_at", "risk_level"), F.when(F.col("change") == "UPSERT", F.col("seq"))).alias("__upsert"),
+        F.max_by("change_at", F.when(F.col("change") == "REVIEW", F.col("seq"))).alias("__reviewed"),
         F.max_by("change_at", "seq").alias("__at"))
     # Level in force at the last restart: the last one given up to it, else the stored one.
     marks = last.filter(F.col("__restart").isNotNull()).select("__cid", F.col("__restart.seq").alias("__until"))
@@ -63,11 +69,22 @@ def apply_changes(profiles: DataFrame, changes: DataFrame, score: str = "risk_po
     dated = F.coalesce(
         F.when(restart.isNotNull(), next_review(level_then, restart["change_at"])), F.col("next_review_date"),
         F.when(upsert.isNotNull(), next_review(F.coalesce(upsert["risk_level"], F.col("risk_level")), upsert["change_at"])))
-    reviewed = F.when(restart["change"] == "REVIEW", restart["change_at"])
-    return joined.select(
+    stored = [F.col("last_review_date")] if "last_review_date" in profiles.columns else []
+    reviewed = F.coalesce("__reviewed", *stored)
+    status = [review_status(dated, F.col("__at"))] if "review_status" in profiles.columns else []
+    out = joined.select(
         F.coalesce("customer_id", "__cid").alias("customer_id"),
         F.coalesce("__level", "risk_level").alias("risk_level"), F.coalesce("__score", score).alias(score),
-        dated.alias("next_review_date"), reviewed.alias("last_review_date"), F.col("__at").alias("updated_at"))
+        dated.alias("next_review_date"), reviewed.alias("last_review_date"), F.col("__at").alias("updated_at"),
+        *[F.when(F.col("__at").isNull(), F.col("review_status")).otherwise(s).alias("review_status") for s in status])
+    return out
+
+
+def unknown_customers(profiles: DataFrame, changes: DataFrame) -> DataFrame:
+    """Risk changes and reviews of customers that have no profile and get none by an upsert in the same batch."""
+    made = changes.where("change = 'UPSERT'").select(F.col("customer_id").alias("__made"))
+    known = profiles.select(F.col("customer_id").alias("__made")).union(made).distinct()
+    return changes.where("change <> 'UPSERT'").join(known, F.col("customer_id") == F.col("__made"), "left_anti")
 
 
 def pattern_changes(features: DataFrame, factor: float = 2.0) -> DataFrame:

@@ -24,8 +24,10 @@ def sar_extract(alerts: DataFrame, day: str | None = None) -> DataFrame:
 
 
 def _of_day(alerts: DataFrame, day: str | None) -> DataFrame:
-    dated = alerts.withColumn("dt", utc_day(F.col("created_at")))
-    return dated if day is None else dated.filter(F.col("dt") == day)
+    if day is not None:  # a range of the column itself, so that it reaches the scan
+        start = F.lit(day).cast("timestamp")
+        alerts = alerts.filter((F.col("created_at") >= start) & (F.col("created_at") < start + F.expr("INTERVAL 1 DAY")))
+    return alerts.withColumn("dt", utc_day(F.col("created_at")))
 
 
 def with_txn_details(extract: DataFrame, txn: DataFrame, columns: list[str]) -> DataFrame:
@@ -75,11 +77,10 @@ DETAILS = {"channel": "<Channel>{channel}</Channel>", "date": "<Date>{txn_date}<
 
 
 def report_xml(rows: DataFrame, report_type: Column, submission_date: Column, layout: str = "channel") -> DataFrame:
-    """Adds ``content``: the document with an escaped ``<Channel>``, or the unescaped one with ``<Date>``."""
-    text = xml_text if layout == "channel" else (lambda c: F.coalesce(c.cast("string"), F.lit("")))
+    """Adds ``content``: the document with ``<Channel>`` or with ``<Date>``; all values are escaped."""
     given = {"report_type": report_type, "submission_date": submission_date}
     pieces = re.split(r"\{(\w+)\}", DOCUMENT.replace("<DETAIL/>", DETAILS[layout]))
-    parts = [text(given.get(piece, F.col(piece))) if i % 2 else F.lit(piece) for i, piece in enumerate(pieces)]
+    parts = [xml_text(given.get(piece, F.col(piece))) if i % 2 else F.lit(piece) for i, piece in enumerate(pieces)]
     return rows.withColumn("content", F.concat(*parts))
 
 

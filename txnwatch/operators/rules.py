@@ -19,16 +19,23 @@ from txnwatch.functions.columns import SEVERITY_SCORE, alert_key, mapped
 from txnwatch.operators.normalize import BYPASS
 from txnwatch.schemas import RULE
 
-# Rules are control data: a compiled plan holds all of them, so their number is checked.
-MAX_RULES = 5_000
+# Rules that are compiled into one array; a larger pack makes several, which are joined.
+RULES_PER_ARRAY = 500
 DEFAULT_SCORE = 0.5
 
 
+def _text(value: Any) -> str:
+    """As cells read: booleans in lower case."""
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def condition(field: str, operator: str, value: Any) -> dict:
     """One condition row from a Python value: list, number or text."""
     out = {"field": field, "operator": operator, "kind": "str", "num": None, "str": None, "list": None}
     if isinstance(value, (list, tuple)):
-        out |= {"kind": "list", "list": [str(v) for v in value]}
+        out |= {"kind": "list", "list": [_text(v) for v in value]}
+    elif isinstance(value, bool):
+        out |= {"str": _text(value)}
     elif isinstance(value, (int, float)):
         out |= {"kind": "num", "num": value, "str": str(value)}
     else:
@@ -43,11 +50,8 @@ def rule_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
 
 
 def collect_rules(rules: DataFrame) -> list[Row]:
-    """The rule table on the driver, in id-stable table order; refuses more than the checked bound."""
-    found = rules.limit(MAX_RULES + 1).collect()
-    if len(found) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; split the pack by type and evaluate each part")
-    return found
+    """The rule table on the driver, in table order: rules are control data, written by people."""
+    return rules.collect()
 
 
 def _plain(num) -> str:
@@ -157,8 +161,9 @@ def _alerts_of(df: DataFrame, hits: list[Column], created_at: str) -> DataFrame:
     """Hits to alert rows; filtered before the explode, as most rows match nothing."""
     if not hits:
         hits = [F.lit(None).cast("struct<rule_id:string,alert_type:string,severity:string,rule_desc:string,score:float,rule_pos:int>")]
+    arrays = [F.array_compact(F.array(*hits[i:i + RULES_PER_ARRAY])) for i in range(0, len(hits), RULES_PER_ARRAY)]
     matched = df.select("txn_id", "customer_id", F.col(created_at).alias("created_at"),
-                        F.array_compact(F.array(*hits)).alias("hits")).filter(F.size("hits") > 0)
+                        (arrays[0] if len(arrays) == 1 else F.concat(*arrays)).alias("hits")).filter(F.size("hits") > 0)
     return matched.select("txn_id", "customer_id", "created_at", F.explode("hits").alias("h")).select(
         *alert_columns("h."), F.col("h.rule_pos").alias("rule_pos"))
 
@@ -207,7 +212,10 @@ def hourly_baseline(txn: DataFrame, until: Column, days: int = 30) -> DataFrame:
 
 
 def rapid_in_out(rolled: DataFrame, window: str = "24h", keep_below: float = 0.1) -> DataFrame:
-    """Rows whose trailing deposits were withdrawn again but for less than ``keep_below`` of them."""
+    """Rows whose trailing deposits were withdrawn again but for less than ``keep_below`` of them.
+
+    A customer who withdraws more than came in keeps less than nothing and is the strongest case.
+    """
     came, left = F.col(f"in_total_amount_{window}").cast("double"), F.col(f"out_total_amount_{window}").cast("double")
     kept = (came - left) / came
-    return rolled.filter((came > 0) & (left > 0) & (kept < F.lit(keep_below)) & (kept >= 0))
+    return rolled.filter((came > 0) & (left > 0) & (kept < F.lit(keep_below)))

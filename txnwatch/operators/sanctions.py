@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.functions.columns import bigrams, normalize_name
+from txnwatch.functions.columns import bigrams, match_key, normalize_name
 from txnwatch.functions.similarity import jaro_winkler
 from txnwatch.operators.rules import alert_columns
 
@@ -32,13 +32,18 @@ _STRIDE = 64
 
 
 def merge_lists(*sources: DataFrame) -> DataFrame:
-    """Several list sources as one; equal normalized names keep the first source, then the first position."""
+    """Several list sources as one; equal normalized names keep the first source, then the first position.
+
+    Names that normalize to nothing are equal if their letters of any script are; without any they stay apart.
+    """
     tagged = [s.select("pos", "name", "list_source", F.lit(i).alias("src")) for i, s in enumerate(sources)]
     whole = tagged[0]
     for part in tagged[1:]:
         whole = whole.unionByName(part)
     first = F.min_by(F.struct("pos", "name", "list_source", "src"), F.struct("src", "pos", "name")).alias("f")
-    return whole.groupBy(normalize_name(F.col("name")).alias("norm")).agg(first).select("norm", "f.*")
+    norm = normalize_name(F.col("name"))
+    grouped = whole.groupBy(norm.alias("norm"), F.coalesce(match_key(F.col("name")), F.col("name")).alias("__key")).agg(first)
+    return grouped.select("norm", "f.*")
 
 
 def screening_candidates(names: DataFrame, listed: DataFrame) -> DataFrame:
@@ -153,9 +158,9 @@ def sanction_hits(screened: DataFrame, created_at: str = "ts") -> DataFrame:
 
 
 def exact_matches(names: DataFrame, listed: DataFrame) -> DataFrame:
-    """Names whose normalized form is listed."""
-    known = listed.select(normalize_name(F.col("name")).alias("norm")).distinct()
-    return names.select("name", normalize_name(F.col("name")).alias("norm")).join(known, "norm", "left_semi")
+    """Names whose normalized form is listed; names of other scripts match by their own letters, nothing matches nothing."""
+    known = listed.select(match_key(F.col("name")).alias("norm")).distinct()
+    return names.select("name", match_key(F.col("name")).alias("norm")).join(known, "norm", "left_semi")
 
 
 def close_spellings(names: DataFrame, listed: DataFrame, distance: int = 2) -> DataFrame:
@@ -165,8 +170,8 @@ def close_spellings(names: DataFrame, listed: DataFrame, distance: int = 2) -> D
     moved by at most d, so pairs meet on (listed length, piece number, piece text). Listed names of d or fewer
     characters have no such pieces; they meet on length alone, among names of at most 2 d characters.
     """
-    left = names.select("name", normalize_name(F.col("name")).alias("norm")).distinct()
-    right = listed.select(F.col("name").alias("matched_name"), "pos", normalize_name(F.col("name")).alias("listed_norm"))
+    left = names.select("name", match_key(F.col("name")).alias("norm")).where("norm IS NOT NULL").distinct()
+    right = listed.select(F.col("name").alias("matched_name"), "pos", match_key(F.col("name")).alias("listed_norm")).where("listed_norm IS NOT NULL")
     pieces = distance + 1
 
     def piece(size: Column, k: int) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from txnwatch.operators.ranking import top_n
 from txnwatch.session import cut_lineage
 
-DEFAULT_HOPS, MOST_HOPS, EDGES_PER_HOP = 5, 10, 100
+DEFAULT_HOPS, EDGES_PER_HOP = 5, 100
 
 
 def _ranked_edges(edges: DataFrame, forward: bool, n: int) -> DataFrame:
@@ -30,20 +30,30 @@ def _packed(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("node").agg(packed.alias("edges"))
 
 
-def _largest_per_party(ranked: DataFrame) -> DataFrame:
-    """Of several payments to one party only the largest can count in a walk."""
-    first = F.row_number().over(Window.partitionBy("node", "party").orderBy("rank"))
-    return ranked.withColumn("nth", first).filter(F.col("nth") == 1).drop("nth")
+def _adjacency(ranked: DataFrame, n: int) -> DataFrame:
+    """One array row per customer from its ``n + 1`` largest payments; the last only tells that some were left out.
+
+    Of several payments to one party only the largest can count in a walk.
+    """
+    nth = F.row_number().over(Window.partitionBy("node", "party").orderBy("rank"))
+    kept = ranked.withColumn("nth", nth).filter((F.col("nth") == 1) | (F.col("rank") > n))
+    used = F.when((F.col("nth") == 1) & (F.col("rank") <= n), F.struct("rank", "party", "txn_id", "amount_usd"))
+    packed = kept.groupBy("node").agg(F.array_sort(F.collect_list(used)).alias("edges"), (F.max("rank") > n).alias("cut"))
+    told = F.transform("edges", lambda e: F.struct(*[e[f].alias(f) for f in ("rank", "party", "txn_id", "amount_usd")], F.col("cut").alias("truncated")))
+    return packed.select("node", told.alias("edges"))
 
 
-def trace(starts: DataFrame, edges: DataFrame, hops: int = DEFAULT_HOPS, forward: bool = True) -> DataFrame:
+def trace(starts: DataFrame, edges: DataFrame, hops: int = DEFAULT_HOPS, forward: bool = True, edges_per_hop: int = EDGES_PER_HOP) -> DataFrame:
     """Per start and hop the payments to newly reached parties; the walk continues from the largest one.
 
+    A hop looks at the ``edges_per_hop`` largest payments of the customer it stands at; ``truncated`` tells whether
+    that customer has more.
+
     Each hop is one join of the frontier (a row per start) with one array row per customer. The adjacency is
     checkpointed once and keeps its partitioning, so every hop shuffles the frontier only.
     """
-    hops = DEFAULT_HOPS if hops <= 0 else min(hops, MOST_HOPS)
-    adjacent = cut_lineage(_packed(_largest_per_party(_ranked_edges(edges, forward, EDGES_PER_HOP))))
+    hops = DEFAULT_HOPS if hops <= 0 else hops
+    adjacent = cut_lineage(_adjacency(_ranked_edges(edges, forward, edges_per_hop + 1), edges_per_hop))
     walk = starts.select(F.col("customer_id").alias("start_id")).distinct().withColumns({
         "at": F.col("start_id"), "seen": F.array("start_id")})
     kind = adjacent.schema["edges"].dataType
@@ -65,7 +75,7 @@ def trace(starts: DataFrame, edges: DataFrame, hops: int = DEFAULT_HOPS, forward
     every = F.flatten(F.array(*[numbered(hop) for hop in range(1, hops + 1)]))
     return walk.select("start_id", F.explode(every).alias("x")).select(
         "start_id", F.col("x.hop").alias("hop"), F.col("x.e.party").alias("party"),
-        F.col("x.e.txn_id").alias("txn_id"), F.col("x.e.amount_usd").alias("amount_usd"))
+        F.col("x.e.txn_id").alias("txn_id"), F.col("x.e.amount_usd").alias("amount_usd"), F.col("x.e.truncated").alias("truncated"))
 
 
 def trace_alerted(alerts: DataFrame, edges: DataFrame, hops: int = DEFAULT_HOPS, forward: bool = True) -> DataFrame:

@@ -58,7 +58,7 @@ SELECT concat('CUST-', CAST(c_custkey AS VARCHAR(20))) AS customer_id,
  CAST(c_acctbal AS DECIMAL(18,2)) AS risk_points,
  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(DATE '2024-01-01' AS TIMESTAMP) + INTERVAL '1' DAY * (c_custkey % 90) END AS next_review_date FROM {customer}""",
     "sanction_name": """
-SELECT min(p_partkey) AS pos, p_name AS name, 'LIST-A' AS list_source FROM {part} WHERE p_brand = 'Brand#13' GROUP BY p_name""",
+SELECT min(p_partkey) AS pos, p_name AS name, 'LIST-A' AS list_source FROM {part} GROUP BY p_name""",
     "screen_name": """
 SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN concat(upper(p_name), '!') WHEN 1 THEN replace(p_name, 'e', 'a') ELSE replace(p_name, ' ', '  ') END AS name FROM {part}""",
     "rule_version": """

@@ -175,8 +175,7 @@ SAR004_RETENTION = _with(["txn"], f"""r AS (SELECT txn_id, customer_id,
  CAST(coalesce(sum(CASE WHEN direction = 'INBOUND' THEN amount_usd END) OVER {_over('24h')}, 0) AS DECIMAL(18,2)) AS in_amount_24h,
  CAST(coalesce(sum(CASE WHEN direction = 'OUTBOUND' THEN amount_usd END) OVER {_over('24h')}, 0) AS DECIMAL(18,2)) AS out_amount_24h FROM txn)""",
                          body="""SELECT * FROM r WHERE in_amount_24h > 0 AND out_amount_24h > 0
- AND (CAST(in_amount_24h AS DOUBLE) - CAST(out_amount_24h AS DOUBLE)) / CAST(in_amount_24h AS DOUBLE) < 1e-1
- AND (CAST(in_amount_24h AS DOUBLE) - CAST(out_amount_24h AS DOUBLE)) / CAST(in_amount_24h AS DOUBLE) >= 0""")
+ AND (CAST(in_amount_24h AS DOUBLE) - CAST(out_amount_24h AS DOUBLE)) / CAST(in_amount_24h AS DOUBLE) < 1e-1""")
 VERSION_ASOF = _with(["txn", "rule_version"], body="""SELECT t.txn_id, v.version_id FROM txn t
 ASOF LEFT JOIN (SELECT * FROM rule_version WHERE status = 'ACTIVE') v ON t.ts >= v.effective_from""")
 
@@ -283,13 +282,12 @@ rev AS (SELECT alert_id, arg_max(reviewer_id, seq) AS reviewer_id, arg_max(notes
 FROM alert_seed a LEFT JOIN last l USING (alert_id) LEFT JOIN rev r USING (alert_id)""")
 ALERT_ACTION_REJECTS = _with(["alert_seed", "alert_action"], body="""SELECT c.alert_id, CAST(c.seq AS BIGINT) AS seq, c.action,
  CASE WHEN a.alert_id IS NULL THEN 'UNKNOWN_ALERT' ELSE 'UNKNOWN_ACTION' END AS reason
-FROM alert_action c LEFT JOIN (SELECT * FROM alert_seed WHERE alert_type <> 'RULE') a USING (alert_id)
+FROM alert_action c LEFT JOIN alert_seed a USING (alert_id)
 WHERE a.alert_id IS NULL OR c.action NOT IN ('CONFIRM','CLOSE','ESCALATE','REPORT')""")
 ALERT_ASSIGNMENT = _with(["alert_seed"], body="""SELECT alert_id, concat_ws('-', lower(alert_type), lower(severity)) AS team,
  CASE WHEN status = 'NEW' AND severity = 'LOW' THEN 'CLOSED' ELSE status END AS status FROM alert_seed""")
 ALERT_TIMELINE = _with(["alert_seed", "txn"], body="""SELECT a.alert_id, t.customer_id, t.txn_id, t.ts, t.amount_usd, epoch_us(t.ts) - epoch_us(a.created_at) AS offset_us
-FROM alert_seed a JOIN txn t ON a.customer_id = t.customer_id AND t.ts BETWEEN a.created_at - INTERVAL '2 hours' AND a.created_at + INTERVAL '2 hours'
-WHERE a.severity = 'CRITICAL'""")
+FROM alert_seed a JOIN txn t ON a.customer_id = t.customer_id AND t.ts BETWEEN a.created_at - INTERVAL '2 hours' AND a.created_at + INTERVAL '2 hours'""")
 SLA = _with(["alert_seed"], f"""aged AS (SELECT *, (epoch_us(TIMESTAMP '{SLA_NOW}') - epoch_us(created_at)) // 60000000 AS m FROM alert_seed WHERE status = 'NEW'),
 acted AS (SELECT *, CASE WHEN (severity = 'CRITICAL' AND m > 30) OR (severity = 'HIGH' AND m > 120) THEN 'ESCALATE'
  WHEN (severity = 'CRITICAL' AND m > 15) OR (severity = 'HIGH' AND m > 60) OR (severity = 'MEDIUM' AND m > 480) THEN 'REMIND' END AS sla_action FROM aged)""",
@@ -309,7 +307,7 @@ RISK_COMPOSITE = _with(["txn", "customer_entity", "alert_seed"], _PROFILE, _FEAT
                        body=f"SELECT customer_id, score, {_level('score')} AS level FROM s")
 SNAPSHOT = _with(["txn", "customer_entity", "alert_seed"], _PROFILE, _FEATURES, body=f"""SELECT e.customer_id, e.name, e.customer_type, coalesce(f.risk_level, 'UNKNOWN') AS risk_level,
  coalesce(f.risk_score, 0) AS risk_score, coalesce(f.txn_count_30d, 0) AS txn_count_30d, coalesce(f.alert_count_total, 0) AS alert_count_total, '{AS_OF}' AS dt
-FROM customer_entity e LEFT JOIN (SELECT * FROM features WHERE nationality <> 'JP') f USING (customer_id) WHERE e.kyc_level <> 'SIMPLIFIED'""")
+FROM customer_entity e LEFT JOIN features f USING (customer_id)""")
 
 
 def _status(now: str) -> str:
@@ -331,7 +329,7 @@ KYC_COUNTS = _with(["kyc_seed"], body=f"SELECT risk_level, {_status(NOW)} AS rev
 KYC_CHANGES = _with(["kyc_seed", "kyc_change"], """step0 AS (SELECT customer_id, risk_level, risk_points, next_review_date, CAST(NULL AS TIMESTAMP) AS last_review_date,
  CAST(NULL AS TIMESTAMP) AS updated_at FROM kyc_seed)""", *[f"""step{i} AS (SELECT s.customer_id, coalesce(c.risk_level, s.risk_level) AS risk_level, coalesce(c.risk_points, s.risk_points) AS risk_points,
  CASE WHEN c.change IN ('RISK','REVIEW') OR (c.change = 'UPSERT' AND s.next_review_date IS NULL) THEN {_next('coalesce(c.risk_level, s.risk_level)', 'c.change_at')} ELSE s.next_review_date END AS next_review_date,
- CASE c.change WHEN 'REVIEW' THEN c.change_at WHEN 'RISK' THEN NULL ELSE s.last_review_date END AS last_review_date, coalesce(c.change_at, s.updated_at) AS updated_at
+ CASE c.change WHEN 'REVIEW' THEN c.change_at ELSE s.last_review_date END AS last_review_date, coalesce(c.change_at, s.updated_at) AS updated_at
 FROM step{i - 1} s LEFT JOIN (SELECT * FROM kyc_change WHERE seq = {i}) c USING (customer_id))""" for i in (1, 2)], body="SELECT * FROM step2")
 KYC_TRIGGERS = _with(["txn"], _PROFILE, body="""SELECT customer_id, txn_count_7d, txn_count_30d FROM profile
 WHERE txn_count_7d / 7e0 >= txn_count_30d / 30e0 * 12e-1""")
@@ -363,8 +361,8 @@ SAR_EXTRACT = _with(["alert_seed"], body="""SELECT alert_id, txn_id, customer_id
 FROM alert_seed WHERE alert_type = 'SAR' AND status = 'REPORTED'""")
 CTR_EVENTS = _with(["txn", "alert_seed"], body="""SELECT a.alert_id AS ctr_id, a.txn_id, a.customer_id, a.created_at, t.amount, t.currency, t.channel
 FROM alert_seed a LEFT JOIN txn t USING (txn_id) WHERE a.alert_type = 'CTR'""")
-_REPORT_ROWS = """rr AS (SELECT concat('CTR-<', a.txn_id, '>') AS report_id, a.customer_id, t.amount, t.currency, t.channel, a.created_at,
- strftime(a.created_at, '%Y-%m-%d') AS dt FROM alert_seed a LEFT JOIN txn t USING (txn_id) WHERE a.alert_type = 'CTR')"""
+_REPORT_ROWS = """rr AS (SELECT concat(a.alert_type, '-<', a.txn_id, '>') AS report_id, a.alert_type, a.customer_id, t.amount, t.currency, t.channel, a.created_at,
+ strftime(a.created_at, '%Y-%m-%d') AS dt FROM alert_seed a LEFT JOIN txn t USING (txn_id) WHERE a.alert_type = 'CTR' OR (a.alert_type = 'SAR' AND a.status = 'REPORTED'))"""
 
 
 def _xml(col: str) -> str:
@@ -375,11 +373,11 @@ def _xml(col: str) -> str:
 
 
 def report_xml(layout: str) -> str:
-    esc = _xml if layout == "channel" else (lambda c: f"coalesce(CAST({c} AS VARCHAR), '')")
+    esc = _xml
     tail = f"'      <Channel>', {esc('channel')}, '</Channel>'" if layout == "channel" else f"'      <Date>', {esc('dt')}, '</Date>'"
     nl = ", chr(10), "
     lines = ["""'<?xml version="1.0" encoding="UTF-8"?>'""", """'<FATFReport xmlns="urn:fatf:report:1.0">'""", "'  <ReportHeader>'",
-             "'    <ReportType>CTR</ReportType>'", f"'    <ReportId>', {esc('report_id')}, '</ReportId>'", "'    <SubmissionDate>2024-02-01</SubmissionDate>'",
+             f"'    <ReportType>', {esc('alert_type')}, '</ReportType>'", f"'    <ReportId>', {esc('report_id')}, '</ReportId>'", "'    <SubmissionDate>2024-02-01</SubmissionDate>'",
              "'  </ReportHeader>'", "'  <ReportBody>'", "'    <Subject>'", f"'      <CustomerId>', {esc('customer_id')}, '</CustomerId>'", "'    </Subject>'",
              "'    <Transaction>'", f"""'      <Amount currency="', {esc('currency')}, '">', {esc('amount')}, '</Amount>'""", tail, "'    </Transaction>'",
              "'  </ReportBody>'", "'</FATFReport>'"]
@@ -420,26 +418,26 @@ RECON_EXTRA = _with(["txn"], _BATCH, _REALTIME, body="SELECT txn_id, alert_type
 
 
 def _walk(starts: str, hops: int, near: str = "customer_id", far: str = "counterparty_id") -> tuple[str, ...]:
-    return (f"""edges AS (SELECT {near} AS node, {far} AS party, txn_id, amount_usd, row_number() OVER (PARTITION BY {near} ORDER BY amount_usd DESC, txn_id) AS rn
- FROM txn WHERE {near} IS NOT NULL AND {far} IS NOT NULL QUALIFY rn <= 100)""",
-            """adj AS (SELECT node, list({'party': party, 'txn_id': txn_id, 'amount_usd': amount_usd} ORDER BY rn) AS es FROM
+    return (f"""edges AS (SELECT {near} AS node, {far} AS party, txn_id, amount_usd, row_number() OVER (PARTITION BY {near} ORDER BY amount_usd DESC, txn_id) AS rn,
+ count(*) OVER (PARTITION BY {near}) > 100 AS truncated FROM txn WHERE {near} IS NOT NULL AND {far} IS NOT NULL QUALIFY rn <= 100)""",
+            """adj AS (SELECT node, list({'party': party, 'txn_id': txn_id, 'amount_usd': amount_usd, 'truncated': truncated} ORDER BY rn) AS es FROM
  (SELECT *, row_number() OVER (PARTITION BY node, party ORDER BY rn) AS nth FROM edges) WHERE nth = 1 GROUP BY 1)""",
             f"""walk AS (SELECT customer_id AS start_id, 0 AS hop, customer_id AS node_at, [customer_id] AS seen,
- CAST([] AS STRUCT(party VARCHAR, txn_id VARCHAR, amount_usd DECIMAL(18,2))[]) AS found FROM ({starts})
+ CAST([] AS STRUCT(party VARCHAR, txn_id VARCHAR, amount_usd DECIMAL(18,2), truncated BOOLEAN)[]) AS found FROM ({starts})
  UNION ALL SELECT start_id, hop + 1, fresh[1].party, list_concat(seen, [x.party FOR x IN fresh]), fresh
  FROM (SELECT w.start_id, w.hop, w.seen, [x FOR x IN a.es IF NOT list_contains(w.seen, x.party)] AS fresh FROM walk w JOIN adj a ON w.node_at = a.node WHERE w.hop < {hops}) WHERE len(fresh) > 0)""")
 
 
-_TRACED = """SELECT start_id, CAST(hop AS BIGINT) AS hop, e.party AS party, e.txn_id AS txn_id, e.amount_usd AS amount_usd
+_TRACED = """SELECT start_id, CAST(hop AS BIGINT) AS hop, e.party AS party, e.txn_id AS txn_id, e.amount_usd AS amount_usd, e.truncated AS truncated
 FROM (SELECT start_id, hop, unnest(found) AS e FROM walk WHERE hop > 0)"""
 
 
 def trace(forward: bool) -> str:
     near, far = ("customer_id", "counterparty_id") if forward else ("counterparty_id", "customer_id")
-    return _with(["txn"], *_walk("SELECT DISTINCT customer_id FROM txn", 3, near, far), body=_TRACED, recursive=True)
+    return _with(["txn"], *_walk("SELECT DISTINCT customer_id FROM txn", 5, near, far), body=_TRACED, recursive=True)
 
 
-TRACE_ALERTED = _with(["txn", "alert_seed"], *_walk("SELECT DISTINCT customer_id FROM alert_seed WHERE status = 'NEW' AND severity IN ('MEDIUM','HIGH','CRITICAL')", 5),
+TRACE_ALERTED = _with(["txn", "alert_seed"], *_walk("SELECT DISTINCT customer_id FROM alert_seed WHERE severity IN ('MEDIUM','HIGH','CRITICAL')", 5),
                       body=_TRACED, recursive=True)
 HOT = _with(["txn"], body="SELECT customer_id, CAST(ts AS DATE) AS day, count(*) AS txn_count FROM txn GROUP BY 1, 2 HAVING count(*) > 10")
 HOT_ROUTES = _with(["raw_txn"], _CANON, "hot AS (SELECT customer_id, CAST(ts AS DATE) AS day FROM canon GROUP BY 1, 2 HAVING count(*) > 10)",

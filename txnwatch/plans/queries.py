@@ -327,8 +327,7 @@ def alert_actions(spark, sf):
 
 @query("alert_action_rejects", sql.ALERT_ACTION_REJECTS)
 def alert_action_rejects(spark, sf):
-    known = table(spark, sf, "alert_seed").filter(F.col("alert_type") != "RULE")
-    _, rejected = al.split_actions(table(spark, sf, "alert_action"), known)
+    _, rejected = al.split_actions(table(spark, sf, "alert_action"), table(spark, sf, "alert_seed"))
     return rejected.select("alert_id", F.col("seq").cast("bigint").alias("seq"), "action", "reason")
 
 
@@ -342,8 +341,7 @@ def alert_assignment(spark, sf):
 
 @query("alert_timeline", sql.ALERT_TIMELINE)
 def alert_timeline(spark, sf):
-    critical = table(spark, sf, "alert_seed").filter(F.col("severity") == "CRITICAL")
-    return al.alert_timeline(critical, table(spark, sf, "txn"), 2)
+    return al.alert_timeline(table(spark, sf, "alert_seed"), table(spark, sf, "txn"), 2)
 
 
 @query("sla_actions", sql.SLA)
@@ -382,8 +380,8 @@ def risk_composite(spark, sf):
 def entity_snapshot(spark, sf):
     entity = table(spark, sf, "customer_entity")
     history = entity.withColumn("dt", F.lit("2024-01-28")).unionByName(
-        entity.filter(F.col("kyc_level") != "SIMPLIFIED").withColumn("dt", F.lit("2024-01-29")))
-    out = risk.build_entity_snapshot(history, _features(spark, sf).filter(F.col("nationality") != "JP"), AS_OF)
+        entity.withColumn("dt", F.lit("2024-01-29")))
+    out = risk.build_entity_snapshot(history, _features(spark, sf), AS_OF)
     return out.select("customer_id", "name", "customer_type", "risk_level", "risk_score", "txn_count_30d", "alert_count_total", "dt")
 
 
@@ -476,19 +474,20 @@ def ctr_events(spark, sf):
 
 
 def _report_rows(spark, sf):
-    found = reports.ctr_extract(table(spark, sf, "alert_seed"))
+    alerts = table(spark, sf, "alert_seed")
+    found = reports.ctr_extract(alerts).unionByName(reports.sar_extract(alerts))
     rows = reports.with_txn_details(found, table(spark, sf, "txn"), ["amount", "currency", "channel"])
-    return rows.withColumns({"report_id": F.concat(F.lit("CTR-<"), "txn_id", F.lit(">")), "txn_date": F.col("dt")})
+    return rows.withColumns({"report_id": F.concat("alert_type", F.lit("-<"), "txn_id", F.lit(">")), "txn_date": F.col("dt")})
 
 
 @query("report_xml", sql.report_xml("channel"))
 def report_xml(spark, sf):
-    return reports.report_xml(_report_rows(spark, sf), F.lit("CTR"), F.lit("2024-02-01")).select("report_id", "content")
+    return reports.report_xml(_report_rows(spark, sf), F.col("alert_type"), F.lit("2024-02-01")).select("report_id", "content")
 
 
 @query("report_xml_dated", sql.report_xml("date"))
 def report_xml_dated(spark, sf):
-    return reports.report_xml(_report_rows(spark, sf), F.lit("CTR"), F.lit("2024-02-01"), "date").select("report_id", "content")
+    return reports.report_xml(_report_rows(spark, sf), F.col("alert_type"), F.lit("2024-02-01"), "date").select("report_id", "content")
 
 
 @query("report_summary_json", sql.SUMMARY_JSON)
@@ -540,19 +539,18 @@ def reconciliation_extra(spark, sf):
 @query("trace_forward", sql.trace(True))
 def trace_forward(spark, sf):
     txn = table(spark, sf, "txn")
-    return trace.trace(txn.select("customer_id"), txn, 3)
+    return trace.trace(txn.select("customer_id"), txn)
 
 
 @query("trace_backward", sql.trace(False))
 def trace_backward(spark, sf):
     txn = table(spark, sf, "txn")
-    return trace.trace(txn.select("customer_id"), txn, 3, forward=False)
+    return trace.trace(txn.select("customer_id"), txn, forward=False)
 
 
 @query("trace_alerted", sql.TRACE_ALERTED)
 def trace_alerted(spark, sf):
-    severe = table(spark, sf, "alert_seed").filter(F.col("status") == "NEW")
-    return trace.trace_alerted(severe, table(spark, sf, "txn"), 5)
+    return trace.trace_alerted(table(spark, sf, "alert_seed"), table(spark, sf, "txn"))
 
 
 @query("hot_customers", sql.HOT)
@@ -576,6 +574,7 @@ def batch_deposits(spark, sf):
 def _event_stream(spark, sf):
     """The events file as a stream of the canonical view's columns."""
     schema = table(spark, sf, "events").schema
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
@@ -629,16 +628,9 @@ def stream_dedup(spark, sf):
 @query("stream_enrich", sql.STREAM_ENRICH)
 def stream_enrich(spark, sf):
     base = fresh_dir(spark, "enrich")
-    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
-    try:
-        _drain(jobs.enrich_job(_stream_table(spark, sf, "txn"), f"{base}/out", f"{base}/checkpoint", once=True))
-    finally:
-        if kept is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
-    return spark.read.parquet(f"{base}/out").drop("batch_id", "ts", "counterparty_id")
+    _drain(jobs.enrich_job(_stream_table(spark, sf, "txn"), f"{base}/out", f"{base}/checkpoint", once=True))
+    measures = [f"{m}_{w}" for w in ("1h", "24h") for m in ("txn_count", "total_amount", "max_amount", "unique_counterparties")]
+    return spark.read.parquet(f"{base}/out").select("txn_id", "customer_id", *measures)
 
 
 @query("stream_enrich_hot", sql.STREAM_ENRICH)
@@ -659,6 +651,19 @@ def stream_alerts(spark, sf):
     return spark.read.parquet(f"{base}/out").select(*_ALERT)
 
 
+@query("stream_pipeline_alerts", sql.RULE_ALERTS)
+def stream_pipeline_alerts(spark, sf):
+    """From the feed to alerts: validate, normalize, roll, look up features, bypass lane and all rules."""
+    base = fresh_dir(spark, "feed")
+    rules.rule_frame(spark, packs.lowered_pack()).coalesce(1).write.json(f"{base}/rules")
+    rows = norm.normalize(norm.valid_rows(_stream_table(spark, sf, "raw_txn")))
+    _drain(jobs.enrich_job(rows, f"{base}/enriched", f"{base}/checkpoint-1", once=True, features=_features(spark, sf)))
+    schema = spark.read.parquet(f"{base}/enriched").schema
+    enriched = spark.readStream.schema(schema).parquet(f"{base}/enriched")
+    _drain(jobs.detect_job(spark, enriched, f"{base}/rules", f"{base}/out", f"{base}/checkpoint-2", once=True))
+    return _ntz(spark.read.parquet(f"{base}/out").select(*_ALERT), "created_at")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Transactions to alerts: validate, normalize, enrich, evaluate every rule, add the bypass lane."""
     return rule_alerts(spark, sf)

@@ -7,13 +7,6 @@ from pyspark.sql import functions as F
 
 from txnwatch.schemas import RULE
 
-# Names screened against when a deployment has no list of its own yet.
-BUILT_IN_NAMES = [
-    "AL QAIDA", "ISIS", "TALIBAN", "HEZBOLLAH", "HAMAS", "AL SHABAAB", "BOKO HARAM", "BANK SEPAH",
-    "KOREA KWANGSON BANKING",
-]
-
-
 def read_sanctions(spark: SparkSession, path: str, list_source: str) -> DataFrame:
     """A list file, one name per line, without blank and ``#`` lines; ``pos`` follows the file order.
 
@@ -24,10 +17,6 @@ def read_sanctions(spark: SparkSession, path: str, list_source: str) -> DataFram
     return kept.select("pos", "name", F.lit(list_source).alias("list_source"))
 
 
-def built_in_sanctions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, n, "BUILT-IN") for i, n in enumerate(BUILT_IN_NAMES)], "pos bigint, name string, list_source string")
-
-
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """A rule pack, one JSON rule per line."""
     return spark.read.schema(RULE).json(path)

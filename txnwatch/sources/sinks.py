@@ -12,9 +12,17 @@ from txnwatch.functions.columns import utc_day
 from txnwatch.operators.normalize import rejected_rows, valid_rows
 
 
+def overwrite_day(df: DataFrame, path: str, day: str) -> None:
+    """Replaces one day, also by nothing: a rerun without rows leaves no old rows behind."""
+    df.drop("dt").write.mode("overwrite").parquet(f"{path}/dt={day}")
+
+
 def overwrite_partitions(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Replaces only the partitions present in ``df``; columns are matched by name.
 
+    A partition that has no rows any more isn't known here and stays; where a day can become empty, use
+    :func:`overwrite_day`.
+
     Spark rebalances by the partition columns: small days share a task, a large day is cut into many.
     """
     by = by or ["dt"]
@@ -44,10 +52,9 @@ def archive(df: DataFrame, path: str, ts: str = "ts") -> None:
 
 
 def batch_partition_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: each batch owns one partition, so a repeated batch replaces itself."""
+    """For ``foreachBatch``: each batch owns one folder, so a repeated batch replaces itself, also by nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return write
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.operators.dedup import dedup_tumbling
-from txnwatch.operators.normalize import normalize
-from txnwatch.operators.rolling import rolling_transactions
+from txnwatch.operators.normalize import BYPASS, normalize
+from txnwatch.operators.rolling import lookup_features, rolling_transactions
 from txnwatch.operators.rules import all_alerts, collect_rules
 from txnwatch.operators.sanctions import sanction_alerts, screen
 from txnwatch.sources.lists import read_rules
@@ -23,9 +23,15 @@ def normalize_job(rows: DataFrame, valid_path: str, rejected_path: str, checkpoi
     return start(rows.writeStream.foreachBatch(write), checkpoint, once)
 
 
-def enrich_job(txn: DataFrame, path: str, checkpoint: str, once: bool = False):
-    """Main lane: rolling features from keyed state (needs the RocksDB state store, see ``STATE_STORE``)."""
-    return start(rolling_stream(txn).writeStream.foreachBatch(batch_partition_writer(path)).outputMode("append"), checkpoint, once)
+def enrich_job(txn: DataFrame, path: str, checkpoint: str, once: bool = False, features: DataFrame | None = None):
+    """Main lane: all columns of the rows, rolling features from keyed state (needs the RocksDB state store, see
+    ``STATE_STORE``) and, where ``features`` is given, customer features as they are when a batch is written."""
+    write = batch_partition_writer(path)
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        write(batch if features is None else lookup_features(batch, features, BYPASS), batch_id)
+
+    return start(rolling_stream(txn).writeStream.foreachBatch(process).outputMode("append"), checkpoint, once)
 
 
 def enrich_hot_lane(txn: DataFrame, history_path: str, path: str, checkpoint: str, once: bool = False, grain: int = 3600):
@@ -55,8 +61,12 @@ def detect_job(spark: SparkSession, enriched: DataFrame, rules_path: str, path:
 
     def process(batch: DataFrame, batch_id: int) -> None:
         rules = collect_rules(read_rules(batch.sparkSession, rules_path))
-        hits = None if sanctions is None else sanction_alerts(screen(batch, sanctions, screen_column))
-        write(all_alerts(batch, rules, hits), batch_id)
+        kept = batch.persist()  # rules and screening read the same rows
+        try:
+            hits = None if sanctions is None else sanction_alerts(screen(kept, sanctions, screen_column))
+            write(all_alerts(kept, rules, hits), batch_id)
+        finally:
+            kept.unpersist()
 
     return start(enriched.writeStream.foreachBatch(process), checkpoint, once)
 

@@ -1,12 +1,14 @@
 """Rolling features per customer on a stream, kept in keyed state.
 
-Each customer's state is the last 24 hours of its rows, at most the newest 10,000. Values equal the batch
-operator's for rows in time order. Very busy customers do not belong here: route them to the micro-batch
+Each customer's state is the rows of the last 48 hours: a row may come 24 hours late, and its own window reaches
+back another 24. So values equal the batch operator's for all rows that had arrived. Rows without a time have no
+features, as in the batch operator. Very busy customers do not belong here: route them to the micro-batch
 lane (:func:`txnwatch.streaming.jobs.enrich_hot_lane`), where time buckets spread one customer over tasks.
 """
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _US = 1_000_000
-KEEP_SECONDS, KEEP_ROWS, IDLE_MS = 86_400, 10_000, 48 * 3_600_000
+KEEP_SECONDS, IDLE_MS = 2 * 86_400, 48 * 3_600_000
 STATE = T.StructType([
     T.StructField("t", T.LongType()), T.StructField("cents", T.LongType()), T.StructField("party", T.StringType())])
 
@@ -24,13 +26,34 @@ STATE = T.StructType([
 def trailing(t: np.ndarray, cents: np.ndarray, party: np.ndarray, at: np.ndarray, seconds: int) -> dict[str, np.ndarray]:
     """Count, sum, maximum and distinct parties of the rows in ``(x - seconds, x]`` for every ``x`` of ``at``.
 
-    ``t`` is ascending.
+    ``t`` is ascending. One walk: rows enter and leave once, the maximum stands at the head of a falling queue.
     """
+    order = np.argsort(at, kind="stable")
     lo = np.searchsorted(t, at - seconds * _US, side="right")
     hi = np.searchsorted(t, at, side="right")
     total = np.concatenate([[0], np.cumsum(cents)])
-    top = np.array([cents[a:b].max() if b > a else 0 for a, b in zip(lo, hi)], dtype=np.int64)
-    parties = np.array([len({p for p in party[a:b] if p is not None}) for a, b in zip(lo, hi)], dtype=np.int64)
+    top, parties = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    falling: deque[int] = deque()
+    inside: Counter = Counter()
+    begin = end = 0
+    for i in order.tolist():
+        while end < hi[i]:
+            while falling and cents[falling[-1]] <= cents[end]:
+                falling.pop()
+            falling.append(end)
+            if party[end] is not None:
+                inside[party[end]] += 1
+            end += 1
+        while begin < lo[i]:
+            if party[begin] is not None:
+                inside[party[begin]] -= 1
+                if not inside[party[begin]]:
+                    del inside[party[begin]]
+            begin += 1
+        while falling and falling[0] < begin:
+            falling.popleft()
+        top[i] = cents[falling[0]] if falling else 0
+        parties[i] = len(inside)
     return {"txn_count": hi - lo, "total_amount": total[hi] - total[lo], "max_amount": top, "unique_counterparties": parties}
 
 
@@ -58,7 +81,7 @@ class RollingState(StatefulProcessor):
             for name, values in trailing(t, cents, party, fresh["t"].to_numpy(np.int64), seconds).items():
                 out[f"{name}_{label}"] = values
         keep = (t > t[-1] - KEEP_SECONDS * _US)
-        first = max(len(t) - KEEP_ROWS, int(np.argmax(keep)))
+        first = int(np.argmax(keep))
         self.rows.put([(int(a), int(b), c) for a, b, c in zip(t[first:], cents[first:], party[first:])])
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
@@ -74,18 +97,21 @@ class RollingState(StatefulProcessor):
 
 
 def rolling_stream(txn: DataFrame, watermark: str = "24 hours") -> DataFrame:
-    """The streaming twin of ``rolling_transactions`` for a slim row: ids, time, amount and counterparty."""
+    """The streaming twin of ``rolling_transactions``: every column of the rows and their rolling features.
+
+    Rows without an event time or a customer go around the state and have null features.
+    """
     from pyspark.sql import functions as F
 
-    slim = txn.select(
-        "txn_id", "customer_id", "counterparty_id", F.col("ts").cast("timestamp").alias("ts"), F.col("amount_usd"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (F.col("amount_usd") * 100).cast("bigint").alias("cents"))
-    slim = slim.withColumn("cents", F.coalesce("cents", F.lit(0))).drop("amount_usd").withWatermark("ts", watermark)
-    measures = ["txn_count", "total_amount", "max_amount", "unique_counterparties"]
-    fields = [T.StructField("txn_id", T.StringType()), T.StructField("customer_id", T.StringType()),
-              T.StructField("counterparty_id", T.StringType()), T.StructField("ts", T.TimestampType())]
-    fields += [T.StructField(f"{m}_{w}", T.LongType()) for w in RollingState.windows for m in measures]
-    wide = slim.groupBy("customer_id").transformWithStateInPandas(
+    timed = txn.withColumn("ts", F.col("ts").cast("timestamp"))
+    known = F.col("ts").isNotNull() & F.col("customer_id").isNotNull()
+    wide = timed.filter(known).withColumns({
+        "t": F.unix_micros("ts"), "cents": F.coalesce((F.col("amount_usd") * 100).cast("bigint"), F.lit(0).cast("bigint"))})
+    measures = [f"{m}_{w}" for w in RollingState.windows for m in ("txn_count", "total_amount", "max_amount", "unique_counterparties")]
+    fields = [T.StructField(f.name, f.dataType) for f in timed.schema] + [T.StructField(m, T.LongType()) for m in measures]
+    rolled = wide.withWatermark("ts", watermark).groupBy("customer_id").transformWithStateInPandas(
         RollingState(), T.StructType(fields), "Append", "EventTime")
-    money = [f"{m}_{w}" for w in RollingState.windows for m in ("total_amount", "max_amount")]
-    return wide.withColumns({c: (F.col(c) / 100).cast("decimal(18,2)") for c in money})
+    money = [m for m in measures if "amount" in m]
+    rolled = rolled.withColumns({c: (F.col(c) / 100).cast("decimal(18,2)") for c in money})
+    rest = timed.filter(~known).select("*", *[F.lit(None).cast(rolled.schema[m].dataType).alias(m) for m in measures])
+    return rolled.unionByName(rest)
