@@ -44,7 +44,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[
 def partition_bases(parts: DataFrame, part: str, total: str, by: list[str] | None = None) -> DataFrame:
     """Second pass of a two-pass prefix sum: what precedes each partition, per key in ``by``.
 
-    ``parts`` has a row per (key, partition): as many as there were input splits, whatever number of rows they hold.
+    The result has a row per (key, partition): as many as there were input splits, whatever number of rows they hold.
+    That bounds it (16 MB for the splits of 100 TB), so it may be broadcast.
     """
     order = Window.partitionBy(*[F.col(c) for c in by or []]).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     sums = parts.groupBy(*(by or []), part).agg(F.sum(total).alias("_total"))

@@ -143,7 +143,7 @@ def pack(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]], end_id:
     """
     tokens = materialize(tokenize(docs, encoder, end_id, text, doc_id), "tokens")
     bases = partition_bases(tokens.select("part", F.struct("n").alias("t")).select("part", "t.n"), "part", "n")
-    placed = tokens.join(bases, "part").select(
+    placed = tokens.join(F.broadcast(bases), "part").select(
         F.col("doc.id").alias("doc_id"), (F.col("base") + F.col("before")).alias("at"), "n", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

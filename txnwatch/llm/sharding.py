@@ -167,4 +167,4 @@ def with_slots(rows: DataFrame, shards: int) -> DataFrame:
     schema = "doc_id long, size long, text_crc32 long, shard int, part int, local long"
     counted = materialize(rows.mapInArrow(run, schema), "shard-rows")
     bases = partition_bases(counted.select("shard", "part", F.lit(1).cast("long").alias("n")), "part", "n", ["shard"])
-    return counted.join(bases, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("local")).alias("slot"))
+    return counted.join(F.broadcast(bases), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("local")).alias("slot"))
