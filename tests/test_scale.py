@@ -192,3 +192,10 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     code = f"import pickle; f = pickle.load(open({str(path)!r}, 'rb')); import pandas as pd; print(f[0](pd.Series(['abc']), pd.Series(['abd']))[0] > 0.8)"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"}, check=False)
     assert done.stdout.strip() == "True", done.stderr
+
+
+def test_equal_first_columns_use_many_ranges(spark):
+    rows = spark.range(20_000).select(F.lit(1).alias("minute"), F.col("id"))
+    got = ranking.range_row_number(rows, [F.col("minute"), F.col("id").desc()])
+    assert got.filter(F.col("rank") != 20_000 - F.col("id")).count() == 0 and got.count() == 20_000
+    assert rows.repartitionByRange(8, F.col("minute"), F.col("id").desc()).select(F.spark_partition_id().alias("p")).distinct().count() > 1

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.functions.columns import queue_order
-from txnwatch.operators.ranking import scaled_row_number
+from txnwatch.operators.ranking import range_row_number
 
 OPEN_STATES = ["OPEN", "INVESTIGATING"]
 
@@ -39,8 +39,7 @@ def fold_cases(events: DataFrame) -> DataFrame:
 def case_queue(cases: DataFrame) -> DataFrame:
     """Open cases by priority, then age."""
     waiting = cases.filter(F.col("status").isin(OPEN_STATES))
-    return scaled_row_number(waiting, [], [queue_order(F.col("priority")), F.date_trunc("minute", "created_at")],
-                             [F.col("created_at"), F.col("case_id")])
+    return range_row_number(waiting, [queue_order(F.col("priority")), F.col("created_at"), F.col("case_id")])
 
 
 def select_cases(cases: DataFrame, status: str | None = None, customer_id: str | None = None, assigned_to: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.operators.ranking import scaled_row_number
+from txnwatch.operators.ranking import range_row_number
 
 # Months until the next review by risk level; other levels and no level.
 REVIEW_MONTHS = {"HIGH": 3, "PROHIBITED": 3, "MEDIUM": 12}
@@ -35,7 +35,7 @@ def overdue_reviews(profiles: DataFrame, now: Column) -> DataFrame:
 def high_risk(profiles: DataFrame, score: str = "risk_points") -> DataFrame:
     """HIGH customers by score, highest first."""
     chosen = profiles.filter(F.col("risk_level") == "HIGH")
-    return scaled_row_number(chosen, [], [-F.floor(F.col(score))], [F.col(score).desc_nulls_last(), F.col("customer_id")])
+    return range_row_number(chosen, [F.col(score).desc_nulls_last(), F.col("customer_id")])
 
 
 def apply_changes(profiles: DataFrame, changes: DataFrame, score: str = "risk_points") -> DataFrame:

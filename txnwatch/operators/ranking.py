@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnwatch.session import cut_lineage
+
 
 def scaled_row_number(df: DataFrame, partition: list[str], bucket: list[Column], order: list[Column],
                       name: str = "rank", limit: int | None = None) -> DataFrame:
@@ -33,6 +35,21 @@ def scaled_row_number(df: DataFrame, partition: list[str], bucket: list[Column],
     return ranked if limit is None else ranked.filter(F.col(name) <= limit)
 
 
+def range_row_number(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Exact ``row_number() over (order by order…)`` as a bigint, whatever values repeat in the first columns.
+
+    Rows are dealt to ranges of the whole order by sampled quantiles and written with their range, so that both
+    passes see the same ranges; a range is numbered by itself, and the sizes of the ranges before it are added.
+    ``order`` should end in a unique column: equal rows can't be told apart and share a range.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(F.col("__range").alias("__of")).count()  # a row per range
+    offsets = sizes.select("__of", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.col("__before")
+    return ranged.join(offsets, F.col("__range") == F.col("__of")).select(*df.columns, place.cast("bigint").alias(name))
+
+
 def top_n(df: DataFrame, partition: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:
     """Rows ranked at most ``n`` per group, for a modest ``n``.
 

@@ -50,8 +50,8 @@ def reconcile(batch: DataFrame, realtime: DataFrame, by: list[str] | None = None
 
 
 def missing_in_realtime(batch: DataFrame, realtime: DataFrame) -> DataFrame:
-    return batch.select(*KEYS).subtract(realtime.select(*KEYS))
+    return compared(batch, realtime).filter("in_realtime = 0").select(*KEYS)
 
 
 def extra_in_realtime(batch: DataFrame, realtime: DataFrame) -> DataFrame:
-    return realtime.select(*KEYS).subtract(batch.select(*KEYS))
+    return compared(batch, realtime).filter("in_batch = 0").select(*KEYS)

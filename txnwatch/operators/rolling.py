@@ -227,8 +227,11 @@ def feature_defaults() -> list[Column]:
 
 
 def enrich(txn: DataFrame, features: DataFrame, bypass_tag: str | None = "BYPASS_CTR", grain: int = HOUR) -> DataFrame:
-    """Layer 2: customer features and rolling statistics, every input column kept."""
-    return rolling_transactions(lookup_features(txn, features, bypass_tag), grain=grain)
+    """Layer 2: rolling statistics and customer features, every input column kept.
+
+    The statistics come first: the features play no part in them, so their join runs once.
+    """
+    return lookup_features(rolling_transactions(txn, grain=grain), features, bypass_tag)
 
 
 def tumbling_stats(txn: DataFrame, length: str, approximate: bool = False) -> DataFrame:
