@@ -29,6 +29,8 @@ RECALL = 0.999
 #: Similarity of unrelated paragraphs, and how many of a million such pairs may collide.
 BACKGROUND, COLLISIONS = 0.01, 20
 KEPT_WORDS = 400_000
+#: Rows of two or three numbers that are sent to all executors; larger tables are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Every so many-th word, by its hash, starts a window too: texts without sentences have windows as well.
 ANCHOR = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -96,12 +98,12 @@ def paragraphs(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
 
 
 def band_keys(codes: np.ndarray, lines: list[tuple[int, int]], seeds: np.ndarray, bands: int, rows: int, shingle: int) -> np.ndarray:
-    """A row of band keys per line: the smallest shingle hash for each seed, ``rows`` of them to a key."""
+    """A row of band keys per line: the smallest shingle hash for each seed, ``rows`` of them and the band to a key."""
     counts = np.array([n - shingle + 1 for _, n in lines])
     cuts = np.concatenate(([0], np.cumsum(counts)[:-1]))
     hashes = np.concatenate([_runs(codes[s:s + n], shingle) for s, n in lines])
     lows = np.stack([np.minimum.reduceat(_mixed(hashes ^ seed), cuts) for seed in seeds])
-    total = np.zeros((bands, len(lines)), np.uint64)
+    total = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
     for r in range(rows):
         total = total * _MIX + lows[r::rows]
     return _mixed(total).T.astype(np.int64)
@@ -169,6 +171,11 @@ def _jaccard(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             .where(both >= similarity * (F.size("sh_a") + F.size("sh_b") - both)).select("a", "b"))
 
 
+def _bounded(slim: DataFrame) -> DataFrame:
+    """A written table of numbers, to be broadcast if its size, which is counted, allows it."""
+    return F.broadcast(slim) if slim.count() <= BROADCAST_ROWS else slim
+
+
 def _similar_lines(docs: DataFrame, lines: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(node, root) for distinct lines that are similar to others, directly or through others.
 
@@ -176,25 +183,29 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, similarity: float, shingle
     components. Then only lines of a bucket's minor components meet the bucket's lines of other components, so that
     no link between components is lost while a bucket full of near copies costs one comparison a line.
     """
-    slots = lines.select("unit", F.posexplode("keys").alias("band", "key"))
-    buckets = slots.groupBy("band", "key").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high")
-    slots = materialize(slots.join(buckets.select("band", "key", "low"), ["band", "key"]), "colliding-lines")
-    wanted = slots.select("unit").distinct().join(lines, "unit").groupBy(F.col("place.doc").alias("doc")).agg(
-        F.collect_list(F.struct("unit", F.col("place.start").alias("start"), "length")).alias("wanted"))
-    texts = docs.select(row_key().alias("doc"), "text").join(wanted, "doc")
+    slots = lines.select("unit", F.explode("keys").alias("key"))
+    buckets = slots.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("key", "low")
+    slots = materialize(slots.join(_bounded(materialize(buckets, "buckets")), "key").distinct(), "colliding-lines")
+    colliding = materialize(slots.select("unit").distinct(), "colliding-units")
+    few = colliding.count() <= BROADCAST_ROWS
+    some = lines.select("unit", "doc", "start", "length").join(F.broadcast(colliding) if few else colliding, "unit").groupBy("unit").agg(
+        F.min(F.struct("doc", "start", "length")).alias("place"))
+    wanted = materialize(some.select("unit", "place.*").groupBy("doc").agg(F.collect_list(F.struct("unit", "start", "length")).alias("wanted")), "wanted-lines")
+    # ``wanted`` lists every colliding line once
+    texts = docs.select(row_key().alias("doc"), "text").join(F.broadcast(wanted) if few else wanted, "doc")
     sets = texts.select("text", "wanted").mapInArrow(_shingle_sets(shingle), "unit long, sh array<bigint>")
     sets = materialize(sets.dropDuplicates(["unit"]), "shingle-sets")
     stars = slots.where("unit > low").select(F.col("low").alias("a"), F.col("unit").alias("b")).distinct()
     links = materialize(_jaccard(stars, sets, similarity), "star-links")
     roots = connected_components(links)
-    rooted = slots.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("unit", "band", "key", F.coalesce("root", "unit").alias("root"))
+    rooted = slots.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("unit", "key", F.coalesce("root", "unit").alias("root"))
     rooted = materialize(rooted, "rooted-lines")
-    sizes = rooted.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "root")).getField("root").alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = rooted.join(major.select("band", "key", "major"), ["band", "key"])
-    minor = mixed.where("root <> major").select("band", "key", F.col("unit").alias("x"), F.col("root").alias("x_root"))
-    other = mixed.select("band", "key", F.col("unit").alias("y"), F.col("root").alias("y_root"))
-    across = minor.join(other, ["band", "key"]).where("x_root <> y_root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    major = sizes.groupBy("key").agg(F.max_by("root", "n").alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", "major")
+    mixed = materialize(rooted.join(major, "key"), "mixed-buckets")
+    minor = mixed.where("root <> major").select("key", F.col("unit").alias("x"), F.col("root").alias("x_root"))
+    other = mixed.select("key", F.col("unit").alias("y"), F.col("root").alias("y_root"))
+    across = minor.join(other, "key").where("x_root <> y_root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = _jaccard(across.join(stars, ["a", "b"], "left_anti"), sets, similarity)
     return connected_components(links.union(more))
 
@@ -213,15 +224,18 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     bands, rows = tune_bands(similarity, recall)
     slim = docs.select(row_key().alias("doc"), "text")
     units = materialize(slim.mapInArrow(_units(bands, rows, window, shingle), _UNITS), "units")
+    lines = units.where("keys IS NOT NULL")
+    roots = materialize(_similar_lines(docs, lines, similarity, shingle), "line-clusters")
+    # most windows stand in one place only: they go before anything else is moved
+    again = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
+    again = materialize(again.union(roots.select("node")).distinct(), "repeated-units")
+    kept = units.select("doc", "start", "length", "unit", F.col("keys").isNotNull().alias("line")).join(_bounded(again), "unit")
+    kept = materialize(kept, "repeated-places")
+    named = F.struct(F.when(F.col("line"), "paragraph").otherwise("passage").alias("kind"), F.coalesce("root", "unit").alias("of")).alias("cluster")
     place = F.struct(F.col("doc.id").isNull().alias("none"), "doc", "start").alias("place")
-    lines = units.where("keys IS NOT NULL").groupBy("unit").agg(F.min(F.struct(F.col("doc.id").isNull().alias("none"), "doc", "start")).alias("place"),
-                                                               F.first("keys").alias("keys"), F.first("length").alias("length"))
-    lines = materialize(lines, "distinct-lines")
-    roots = _similar_lines(docs, lines, similarity, shingle)
-    named = F.struct(F.when(F.col("keys").isNull(), "passage").otherwise("paragraph").alias("kind"), F.coalesce("root", "unit").alias("of")).alias("cluster")
-    lined = units.where("keys IS NOT NULL").join(roots.withColumnRenamed("node", "unit"), "unit", "left")
+    lined = kept.where("line").join(roots.withColumnRenamed("node", "unit"), "unit", "left")
     placed = lined.select("doc", "start", "length", named, place).union(
-        units.where("keys IS NULL").withColumn("root", F.lit(None).cast("long")).select("doc", "start", "length", named, place))
+        kept.where("NOT line").withColumn("root", F.lit(None).cast("long")).select("doc", "start", "length", named, place))
     first = placed.groupBy("cluster").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("cluster", "first")
     found = placed.join(first, "cluster").select(
         "doc", "start", "length", F.col("cluster.kind").alias("kind"), F.col("first.doc").alias("to_doc"), F.col("first.start").alias("to"),
