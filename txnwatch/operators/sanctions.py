@@ -3,11 +3,13 @@
 The fuzzy join never compares every name with every listed name. Jaro-Winkler at a threshold puts a floor
 under the number of characters two names share, and that floor makes an equi-join that loses nothing:
 
-* pairs with three or more leading characters in common meet on those characters;
-* for any other pair Winkler's bonus is at most 0.2, so jaro must reach (threshold - 0.2) / 0.8 and the
-  names share at least ``ceil((3 jaro - 1) * l1 * l2 / (l1 + l2))`` characters, counted with repeats. With
-  both names' characters in one fixed rarest-first order, the two prefixes that leave out fewer characters
-  than the floor must meet in at least one of them. Pairs meet on (length, length, such a character).
+* for pairs with at most two leading characters in common Winkler's bonus is at most 0.2, so jaro must reach
+  (threshold - 0.2) / 0.8 and the names share at least ``ceil((3 jaro - 1) * l1 * l2 / (l1 + l2))`` characters,
+  counted with repeats. With both names' characters in one fixed rarest-first order, the two prefixes that leave
+  out fewer characters than the floor must meet in at least one of them. Pairs meet on (length, length, such a
+  character);
+* for any other pair the bonus is at most 0.4 and jaro must reach (threshold - 0.4) / 0.6: pairs meet on the three
+  leading characters as well as on lengths and a rare character.
 
 Cheap bounds on the joined pairs then leave few for the similarity function itself.
 """
@@ -72,33 +74,40 @@ def _rare_first_chars(text: Column) -> Column:
     return F.array_sort(F.transform(F.sequence(F.lit(1), F.length(text)), coded))
 
 
-def _floor_factor(threshold: float) -> float:
-    """Share factor for pairs with at most two leading characters in common."""
-    return 3.0 * (threshold - 0.2) / 0.8 - 1.0
+def _floor_factor(threshold: float, bonus: float = 0.2) -> float:
+    """Share factor for pairs whose leading characters add at most ``bonus`` of what jaro leaves."""
+    return 3.0 * (threshold - bonus) / (1.0 - bonus) - 1.0
 
 
 def _shared_floor(len_a: Column, len_b: Column, factor: float) -> Column:
     return F.ceil(F.lit(factor) * len_a * len_b / (len_a + len_b) - F.lit(_EPS))
 
 
-def _join_keys(df: DataFrame, text: str, factor: float, own: str, other: str, partners: Column | None = None) -> DataFrame:
-    """One row per join key: (own length, partner length, character) or the three leading characters.
+def _join_keys(df: DataFrame, text: str, factor: float, head_factor: float, own: str, other: str, partners: Column | None = None) -> DataFrame:
+    """One row per join key: (own length, partner length, character), the character alone or behind the name's head.
 
     ``partners`` lists the lengths that occur on the other side.
     """
     size = F.col("size")
     coded = df.withColumns({"size": F.length(text), "chars": _rare_first_chars(F.col(text))})
-    lengths = F.sequence(F.ceil(size * F.lit(factor - 1.0) - F.lit(_EPS)).cast("int"),
-                         F.floor(size / F.lit(factor - 1.0) + F.lit(_EPS)).cast("int"))
-    coded = coded.withColumn("lengths", lengths if partners is None else F.array_intersect(lengths, partners))
-    by_char = F.flatten(F.transform(
-        F.filter(F.col("lengths"), lambda n: (n >= 1) & (_shared_floor(size, n, factor) <= F.least(size, n))),
-        lambda n: F.transform(
-            F.slice(F.col("chars"), F.lit(1), (size - _shared_floor(size, n, factor) + 1).cast("int")),
-            lambda c: F.struct(size.alias(own), n.alias(other), c.cast("string").alias("part")))))
-    head = F.struct(F.lit(0).alias(own), F.lit(0).alias(other), F.substring(text, 1, 3).alias("part"))
-    keys = F.when(size >= 3, F.concat(by_char, F.array(head))).otherwise(by_char)
-    return coded.withColumn("key", F.explode(keys)).select("*", "key.*").drop("key", "lengths")
+    head = F.concat(F.substring(text, 1, 3), F.lit("|"))
+
+    def reach(share: float) -> Column:
+        lengths = F.sequence(F.ceil(size * F.lit(share - 1.0) - F.lit(_EPS)).cast("int"),
+                             F.floor(size / F.lit(share - 1.0) + F.lit(_EPS)).cast("int"))
+        return lengths if partners is None else F.array_intersect(lengths, partners)
+
+    def by_char(lengths: str, share: float, before: Column) -> Column:
+        return F.flatten(F.transform(
+            F.filter(F.col(lengths), lambda n: (n >= 1) & (_shared_floor(size, n, share) <= F.least(size, n))),
+            lambda n: F.transform(
+                F.slice(F.col("chars"), F.lit(1), (size - _shared_floor(size, n, share) + 1).cast("int")),
+                lambda c: F.struct(size.alias(own), n.alias(other), F.concat(before, c.cast("string")).alias("part")))))
+
+    coded = coded.withColumns({"lengths": reach(factor), "head_lengths": reach(head_factor)})
+    plain = by_char("lengths", factor, F.lit(""))
+    keys = F.when(size >= 3, F.concat(plain, by_char("head_lengths", head_factor, head))).otherwise(plain)
+    return coded.withColumn("key", F.explode(keys)).select("*", "key.*").drop("key", "lengths", "head_lengths")
 
 
 def similar_pairs(names: DataFrame, listed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -106,11 +115,12 @@ def similar_pairs(names: DataFrame, listed: DataFrame, threshold: float = THRESH
     if not 0.5 <= threshold <= 1.0:
         raise ValueError("the candidate bound needs a threshold from 0.5 to 1")
     factor = _floor_factor(threshold)
-    if factor <= 1.0:
-        raise ValueError("the candidate bound needs a threshold above 0.734")
+    head_factor = _floor_factor(threshold, 0.4)
+    if min(factor, head_factor) <= 1.0:
+        raise ValueError("the candidate bound needs a threshold above 0.8")
     lengths = listed.agg(F.collect_set(F.length("norm"))).scalar()
-    left = _join_keys(names.select("norm"), "norm", factor, "len_a", "len_b", lengths).withColumnsRenamed({"size": "size_a", "chars": "chars_a"})
-    right = (_join_keys(listed.select(F.col("norm").alias("listed_norm")), "listed_norm", factor, "len_b", "len_a")
+    left = _join_keys(names.select("norm"), "norm", factor, head_factor, "len_a", "len_b", lengths).withColumnsRenamed({"size": "size_a", "chars": "chars_a"})
+    right = (_join_keys(listed.select(F.col("norm").alias("listed_norm")), "listed_norm", factor, head_factor, "len_b", "len_a")
              .withColumnsRenamed({"size": "size_b", "chars": "chars_b"}))
     met = left.join(right, ["len_a", "len_b", "part"])
     a, b = F.col("norm"), F.col("listed_norm")
@@ -118,9 +128,9 @@ def similar_pairs(names: DataFrame, listed: DataFrame, threshold: float = THRESH
     prefix = sum(((F.substring(a, 1, i) == F.substring(b, 1, i)) & (F.least("size_a", "size_b") >= i)).cast("int") for i in range(1, 5))
     best_jaro = (F.size(shared) / F.col("size_a") + F.size(shared) / F.col("size_b") + 1.0) / 3.0
     reachable = best_jaro + prefix * 0.1 * (1.0 - best_jaro) >= threshold - _EPS
-    # A pair that meets on several keys is kept at one: the head if they share it, else the rarest shared character.
-    once = F.when(prefix >= 3, F.col("len_a") == 0).otherwise(
-        (F.col("len_a") > 0) & (F.element_at(shared, 1).cast("string") == F.col("part")))
+    # A pair that meets on several keys is kept at one: its rarest shared character, behind the head if they share it.
+    rarest = F.element_at(shared, 1).cast("string")
+    once = F.col("part") == F.when(prefix >= 3, F.concat(F.substring(a, 1, 3), F.lit("|"), rarest)).otherwise(rarest)
     close = met.filter(once & reachable).select("norm", "listed_norm")
     return close.withColumn("similarity", jaro_winkler("norm", "listed_norm")).filter(F.col("similarity") >= threshold)
 
