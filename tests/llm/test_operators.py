@@ -102,7 +102,8 @@ def test_token_budgets(docs, rows, nothing):
     found = token_counts.budgets(token_counts.token_tables(docs, PIECES), 300).collect()
     expected = Counter((i, len((t or "").encode()), len(model.encode(t or "")), len(model.encode(t or "")) > 300) for i, t, *_ in rows)
     assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in found) == expected
-    assert token_counts.budgets(token_counts.token_tables(nothing, PIECES), 300).count() == 0
+    assert sorted(map(str, token_counts.count_tokens(docs, PIECES, 300).collect())) == sorted(map(str, found))
+    assert token_counts.budgets(token_counts.token_tables(nothing, PIECES), 300).count() == token_counts.count_tokens(nothing, PIECES, 300).count() == 0
 
 
 def test_components_equal_union_find(spark):

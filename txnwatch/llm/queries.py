@@ -40,8 +40,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = token_counts.token_tables(table(spark, sf_dir, "documents"), tokenizer_path(COUNTING_TOKENIZER))
-    return token_counts.budgets(tables, TOKEN_BUDGET)
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(COUNTING_TOKENIZER), TOKEN_BUDGET)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.llm.common import kept_in_worker, text_slices
 
-KEPT_WORDS = 300_000
-KEPT_PAIRS = 1_000_000
+KEPT_WORDS, KEPT_WALKS, KEPT_PAIRS = 300_000, 200_000, 500_000
 KEPT_LENGTH = 48
 SPACE = "▁"
 _SPACES = re.compile("[ ▁]+")
@@ -56,8 +55,11 @@ class PrefixCounter:
         self.whole = {p for p in self.score if self.merge(p) == [p]}
         self.runs: list[int] = [0]
         self.stack: list[int] = []
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.walks: dict[str, tuple[list[str], list[int], list[bool]]] = {}
+        # one object per token, whatever number of walks hold it
+        self.piece = {p: p for p in self.score}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.kept_pairs = 0
+        self.walks: dict[str, tuple[list[str], list[int]]] = {}
         self.words: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -72,64 +74,73 @@ class PrefixCounter:
 
     def adjoin(self, left: str, right: str) -> bool:
         """Whether both tokens stay as they are when encoded next to each other."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
+        row = self.pairs.get(left)
+        if row is None or right not in row:
+            if self.kept_pairs >= KEPT_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == [left, right]
-        return known
+                self.kept_pairs = 0
+            row = self.pairs.setdefault(left, {})
+            row[right] = self.merge(left + right) == [left, right]
+            self.kept_pairs += 1
+        return row[right]
 
     def width(self, token: str) -> int:
         """Tokens that a token of the walk counts for: a character outside the vocabulary is written as its bytes."""
         return 1 if token in self.score else len(token.encode())
 
-    def walk(self, chunk: str) -> tuple[list[int], list[bool]]:
-        """Counts of all prefixes of a chunk, and whether the first character is still a token of its own.
+    def walk(self, chunk: str) -> tuple[list[str], list[int]]:
+        """Last token and count of all prefixes of a chunk but the empty one.
 
         Candidates for the last token are tried longest first; only sizes of tokens that end in the same two
         characters come into question.
         """
-        known = self.walks.get(chunk)
+        walks = self.walks
+        known = walks.get(chunk)
         if known is not None:
-            return known[1:]
-        score, sizes, pairs = self.score, self.sizes, self.pairs
+            return known
+        piece, sizes, pairs = self.piece.get, self.sizes.get, self.pairs.get
         # a shorter chunk that was walked before is where this one starts
         for cut in range(len(chunk) - 1, max(1, len(chunk) - 6), -1):
-            if (known := self.walks.get(chunk[:cut])) is not None:
-                last, counts, bare = (x.copy() for x in known)
+            if (known := walks.get(chunk[:cut])) is not None:
+                last, counts = known[0].copy(), known[1].copy()
                 break
         else:
-            cut, first = 1, chunk[0]
-            last, counts, bare = [first], [self.width(first)], [True]
+            cut, first = 1, piece(chunk[0], chunk[0])
+            last, counts = [first], [self.width(first)]
         for end in range(cut + 1, len(chunk) + 1):
-            for size in sizes.get(chunk[end - 2:end], ()):
+            for size in sizes(chunk[end - 2:end], ()):
                 if size > end:
                     continue
                 at = end - size
-                token = chunk[at:end]
-                if token in score:
-                    if not at:
-                        if token in self.whole:
-                            break
-                    elif (fits := pairs.get((last[at - 1], token))) or fits is None and self.adjoin(last[at - 1], token):
+                token = piece(chunk[at:end])
+                if token is None:
+                    continue
+                if not at:
+                    if token in self.whole:
                         break
+                    continue
+                before = last[at - 1]
+                row = pairs(before)
+                fits = None if row is None else row.get(token)
+                if fits or fits is None and self.adjoin(before, token):
+                    break
             else:  # the last character alone
                 at = end - 1
-                token = chunk[at]
+                token = piece(chunk[at], chunk[at])
             last.append(token)
-            width = 1 if token in score else self.width(token)
-            if at:
-                counts.append(counts[at - 1] + width)
-                bare.append(bare[at - 1])
-            else:
-                counts.append(width)
-                bare.append(False)
+            counts.append((counts[at - 1] if at else 0) + (1 if token in self.score else self.width(token)))
         if len(chunk) <= KEPT_LENGTH:
-            if len(self.walks) >= KEPT_WORDS:
-                self.walks.clear()
-            self.walks[chunk] = (last, counts, bare)
-        return counts, bare
+            if len(walks) >= KEPT_WALKS:
+                walks.clear()
+            walks[chunk] = (last, counts)
+        return last, counts
+
+    def bare(self, last: list[str]) -> list[bool]:
+        """Whether the first character of each prefix is a token of its own."""
+        out: list[bool] = []
+        for end, token in enumerate(last, 1):
+            out.append(out[end - len(token) - 1] if len(token) < end else len(token) == 1)
+        return out
 
     def run(self, n: int) -> int:
         """Tokens of ``n`` spaces: pairs merge from the left, so the runs of all lengths come from one walk."""
@@ -149,7 +160,7 @@ class PrefixCounter:
         return [word[s:e] for s, e in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def steps(self, chunk: str) -> bytes:
-        counts = self.walk(chunk)[0]
+        counts = self.walk(chunk)[1]
         return array("h", map(sub, counts, [0, *counts])).tobytes()
 
     def after_run(self, word: str, body: str) -> bytes:
@@ -160,7 +171,8 @@ class PrefixCounter:
             return array("h", map(sub, totals, [0, *totals])).tobytes()
         first, *rest = self.chunks(SPACE + body)
         apart, joined = self.run(n) - 1, self.run(n - 1)
-        totals[-1:] = [c + (apart if b else joined) for c, b in zip(*self.walk(first), strict=True)]
+        last, counts = self.walk(first)
+        totals[-1:] = [c + (apart if b else joined) for c, b in zip(counts, self.bare(last), strict=True)]
         return array("h", map(sub, totals, [0, *totals])).tobytes() + b"".join(map(self.steps, rest))
 
     def word(self, word: str) -> bytes:
@@ -210,6 +222,11 @@ def truncation_point(changes: bytes, budget: int) -> int:
     return int(np.flatnonzero(prefix_counts(changes) <= budget)[-1])
 
 
+def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), size.alias("n_bytes"), F.col(text).alias("text"))
+
+
 def token_tables(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_bytes, changes): the prefix table of every whole text. Null and empty texts have an empty table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,23 +235,37 @@ def token_tables(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
             found = [counter.changes(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(found, pa.binary())],
                                              ["doc_id", "n_bytes", "changes"])
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"),
-                       F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, changes binary")
+    return _texts(docs, text, doc_id).mapInArrow(run, "doc_id long, n_bytes long, changes binary")
+
+
+def _answers(doc_id: pa.Array, n_bytes: pa.Array, tables: list[bytes], budget: int) -> pa.RecordBatch:
+    total = [int(np.frombuffer(c, "<i2").sum(dtype=np.int64)) for c in tables]
+    fits = [truncation_point(c, budget) if n > budget else len(c) // 2 for c, n in zip(tables, total, strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [doc_id, n_bytes, pa.array(total, pa.int64()), pa.array([n > budget for n in total], pa.bool_()), pa.array(fits, pa.int64())],
+        ["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
+
+
+_ANSWERS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long"
 
 
 def budgets(tables: DataFrame, budget: int) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit, fits_chars): answers from the stored tables alone.
+    """(doc_id, n_bytes, n_tokens, over_limit, fits_chars): answers from stored tables alone.
 
     ``fits_chars`` are the characters of the longest prefix within ``budget`` tokens. A null id stays null; repeated
     rows are counted each; an empty table gives an empty table.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = batch.column("changes").to_pylist()
-            total = [int(np.frombuffer(c, "<i2").sum(dtype=np.int64)) for c in kept]
-            fits = [truncation_point(c, budget) if n > budget else len(c) // 2 for c, n in zip(kept, total, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes"), pa.array(total, pa.int64()), pa.array([n > budget for n in total], pa.bool_()),
-                 pa.array(fits, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
-    return tables.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
+        for batch in text_slices(batches):
+            yield _answers(batch.column("doc_id"), batch.column("n_bytes"), batch.column("changes").to_pylist(), budget)
+    return tables.mapInArrow(run, _ANSWERS)
+
+
+def count_tokens(docs: DataFrame, path: str, budget: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """What :func:`budgets` says about the tables of ``docs``, which are used where they are made and not stored."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = prefix_counter(path)
+        for batch in text_slices(batches):
+            tables = [counter.changes(t or "") for t in batch.column("text").to_pylist()]
+            yield _answers(batch.column("doc_id"), batch.column("n_bytes"), tables, budget)
+    return _texts(docs, text, doc_id).mapInArrow(run, _ANSWERS)
