@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from txnwatch.operators.ranking import top_n
 from txnwatch.session import cut_lineage
 
-DEFAULT_HOPS, EDGES_PER_HOP = 5, 100
+DEFAULT_HOPS, MOST_HOPS, EDGES_PER_HOP = 5, 10, 100
 
 
 def _ranked_edges(edges: DataFrame, forward: bool, n: int) -> DataFrame:
@@ -43,16 +43,19 @@ def _adjacency(ranked: DataFrame, n: int) -> DataFrame:
     return packed.select("node", told.alias("edges"))
 
 
-def trace(starts: DataFrame, edges: DataFrame, hops: int = DEFAULT_HOPS, forward: bool = True, edges_per_hop: int = EDGES_PER_HOP) -> DataFrame:
+def trace(starts: DataFrame, edges: DataFrame, hops: int = DEFAULT_HOPS, forward: bool = True, edges_per_hop: int = EDGES_PER_HOP,
+          most_hops: int = MOST_HOPS) -> DataFrame:
     """Per start and hop the payments to newly reached parties; the walk continues from the largest one.
 
     A hop looks at the ``edges_per_hop`` largest payments of the customer it stands at; ``truncated`` tells whether
-    that customer has more.
+    that customer has more. More than ``most_hops`` hops are refused, as no walk is cut in silence.
 
     Each hop is one join of the frontier (a row per start) with one array row per customer. The adjacency is
     checkpointed once and keeps its partitioning, so every hop shuffles the frontier only.
     """
     hops = DEFAULT_HOPS if hops <= 0 else hops
+    if hops > most_hops:
+        raise ValueError(f"{hops} hops asked for, {most_hops} allowed")
     adjacent = cut_lineage(_adjacency(_ranked_edges(edges, forward, edges_per_hop + 1), edges_per_hop))
     walk = starts.select(F.col("customer_id").alias("start_id")).distinct().withColumns({
         "at": F.col("start_id"), "seen": F.array("start_id")})
