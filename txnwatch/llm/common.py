@@ -22,9 +22,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def kept_in_worker(name: str, make: Callable[[], Any]) -> Any:
-    """One object per Python process and name, whatever number of tasks the process runs."""
+    """An object that outlives the tasks of a Python process, until one of another name is asked for.
+
+    So the memory of an operator goes when the next operator's tasks run in the process.
+    """
     held = sys.__dict__.setdefault("_txnwatch_llm", {})
     if name not in held:
+        held.clear()
         held[name] = make()
     return held[name]
 
