@@ -202,11 +202,16 @@ def _similar_lines(docs: DataFrame, lines: DataFrame, similarity: float, shingle
     rooted = materialize(rooted, "rooted-lines")
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     major = sizes.groupBy("key").agg(F.max_by("root", "n").alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", "major")
-    mixed = materialize(rooted.join(major, "key"), "mixed-buckets")
-    minor = mixed.where("root <> major").select("key", F.col("unit").alias("x"), F.col("root").alias("x_root"))
-    other = mixed.select("key", F.col("unit").alias("y"), F.col("root").alias("y_root"))
-    across = minor.join(other, "key").where("x_root <> y_root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = _jaccard(across.join(stars, ["a", "b"], "left_anti"), sets, similarity)
+    told = slots.groupBy("unit").agg(F.collect_list("key").alias("keys")).join(sets, "unit")
+    mixed = materialize(rooted.join(major, "key").join(told, "unit"), "mixed-buckets")
+    minor, other = (mixed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("unit", "root", "keys", "sh")], *more)
+                    for side, more in (("x", ["root", "major"]), ("y", [])))
+    n_x, n_y, both = F.size("x_sh"), F.size("y_sh"), F.size(F.array_intersect("x_sh", "y_sh"))
+    # a pair is compared in the first bucket it shares, and inside the join: only links come out
+    link = ((F.col("x_root") != F.col("y_root")) & (F.least(n_x, n_y) >= similarity * F.greatest(n_x, n_y))
+            & (F.array_min(F.array_intersect("x_keys", "y_keys")) == minor["key"]) & (both >= similarity * (n_x + n_y - both)))
+    minor = minor.where("root <> major").drop("root", "major")
+    more = minor.join(other, (minor["key"] == other["key"]) & link).select(F.least("x_unit", "y_unit").alias("a"), F.greatest("x_unit", "y_unit").alias("b")).distinct()
     return connected_components(links.union(more))
 
 
