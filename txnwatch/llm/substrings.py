@@ -99,9 +99,9 @@ def paragraphs(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
 
 def band_keys(codes: np.ndarray, lines: list[tuple[int, int]], seeds: np.ndarray, bands: int, rows: int, shingle: int) -> np.ndarray:
     """A row of band keys per line: the smallest shingle hash for each seed, ``rows`` of them and the band to a key."""
-    counts = np.array([n - shingle + 1 for _, n in lines])
+    counts = np.array([max(n - shingle, 0) + 1 for _, n in lines])
     cuts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    hashes = np.concatenate([_runs(codes[s:s + n], shingle) for s, n in lines])
+    hashes = np.concatenate([_runs(codes[s:s + n], min(shingle, n)) for s, n in lines])
     lows = np.stack([np.minimum.reduceat(_mixed(hashes ^ seed), cuts) for seed in seeds])
     total = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
     for r in range(rows):
@@ -109,9 +109,14 @@ def band_keys(codes: np.ndarray, lines: list[tuple[int, int]], seeds: np.ndarray
     return _mixed(total).T.astype(np.int64)
 
 
+def seeds_of(bands: int, rows: int) -> np.ndarray:
+    """A seed per row of every band."""
+    return _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * _MIX)
+
+
 def _units(bands: int, rows: int, window: int, shingle: int):
     """Lines with their band keys, and windows, of every document."""
-    seeds = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * _MIX)
+    seeds = seeds_of(bands, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -176,8 +181,8 @@ def _bounded(slim: DataFrame) -> DataFrame:
     return F.broadcast(slim) if slim.count() <= BROADCAST_ROWS else slim
 
 
-def _similar_lines(docs: DataFrame, lines: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(node, root) for distinct lines that are similar to others, directly or through others.
+def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(node, root) for distinct lines, or other units of the documents, that are similar to others, directly or through others.
 
     Buckets never list their pairs. First every line meets the smallest of its bucket; the links that hold give
     components. Then only lines of a bucket's minor components meet the bucket's lines of other components, so that
@@ -230,7 +235,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     slim = docs.select(row_key().alias("doc"), "text")
     units = materialize(slim.mapInArrow(_units(bands, rows, window, shingle), _UNITS), "units")
     lines = units.where("keys IS NOT NULL")
-    roots = materialize(_similar_lines(docs, lines, similarity, shingle), "line-clusters")
+    roots = materialize(similar_units(docs, lines, similarity, shingle), "line-clusters")
     # most windows stand in one place only: they go before anything else is moved
     again = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
     again = materialize(again.union(roots.select("node")).distinct(), "repeated-units")
