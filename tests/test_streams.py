@@ -47,6 +47,22 @@ def test_hot_lane_equals_batch(spark, in_order, tmp_path):
     assert _rows(spark.read.parquet(str(tmp_path / "out")), columns) == _rows(rolling.rolling_transactions(batch), columns)
 
 
+def test_hot_lane_keeps_rows_without_time(spark, in_order, tmp_path):
+    """Rows without an event time, among others and as a whole micro-batch (the first and the last)."""
+    _, batch = in_order
+    path = str(tmp_path / "untimed")
+    some = batch.orderBy("ts").limit(40).toPandas()
+    parts = [some[:5].assign(ts=pd.NaT), some[5:30], some[30:35].assign(ts=pd.NaT), some[35:40].assign(ts=[*some["ts"][35:38], pd.NaT, pd.NaT])]
+    for part in parts:
+        spark.createDataFrame(part, batch.schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.enrich_hot_lane(stream, str(tmp_path / "h"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    columns = ["txn_id", "ts", "txn_count_24h", "total_amount_24h", "max_amount_1h", "unique_counterparties_24h"]
+    assert _rows(out, columns) == _rows(rolling.rolling_transactions(spark.read.parquet(path)), columns)
+    assert out.filter("ts IS NULL AND txn_count_24h IS NULL").count() == 12 and out.count() == 40
+
+
 def test_rules_are_read_for_every_batch(spark, in_order, tmp_path):
     stream, batch = in_order
     pack = [r for r in packs.lowered_pack() if r["rule_id"] == "SAR-003"]

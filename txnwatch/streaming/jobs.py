@@ -36,19 +36,25 @@ def enrich_job(txn: DataFrame, path: str, checkpoint: str, once: bool = False, f
 
 def enrich_hot_lane(txn: DataFrame, history_path: str, path: str, checkpoint: str, once: bool = False, grain: int = 3600):
     """Hot lane: each micro-batch is added to a dated history, and the batch operator runs on it with the
-    day before. A customer of any size is spread over time buckets; repeated batches replace themselves."""
+    day before. A customer of any size is spread over time buckets; repeated batches replace themselves.
+    Rows without an event time go around the history and have null features, as in ``rolling_transactions``."""
     write = batch_partition_writer(path)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        dated = batch.withColumns({"dt": F.date_format("ts", "yyyy-MM-dd"), "batch": F.lit(batch_id)})
+        timed = batch.filter(F.col("ts").isNotNull())
+        dated = timed.withColumns({"dt": F.date_format("ts", "yyyy-MM-dd"), "batch": F.lit(batch_id)})
+        # a batch without any time has nothing to write to the history, which may not exist yet
+        lo, hi = timed.select(F.date_sub(F.to_date(F.min("ts")), 1).cast("string"), F.to_date(F.max("ts")).cast("string")).head()
+        if lo is None:
+            write(rolling_transactions(batch, grain=grain), batch_id)
+            return
         overwrite_partitions(dated, history_path, ["dt", "batch"])
-        days = dated.select(F.to_date(F.min("ts")).alias("lo"), F.to_date(F.max("ts")).alias("hi"))
         history = spark.read.schema(dated.schema).parquet(history_path)
-        span = days.select(F.date_sub("lo", 1).cast("string")).scalar(), days.select(F.col("hi").cast("string")).scalar()
-        near = history.filter((F.col("dt") >= span[0]) & (F.col("dt") <= span[1]) & (F.col("batch") <= batch_id))
-        rolled = rolling_transactions(near, grain=grain)
-        write(rolled.filter(F.col("batch") == batch_id).drop("dt", "batch"), batch_id)
+        near = history.filter((F.col("dt") >= lo) & (F.col("dt") <= hi) & (F.col("batch") <= batch_id))
+        rolled = rolling_transactions(near, grain=grain).filter(F.col("batch") == batch_id).drop("dt", "batch")
+        measures = [F.lit(None).cast(rolled.schema[c].dataType).alias(c) for c in rolled.columns if c not in batch.columns]
+        write(rolled.unionByName(batch.filter(F.col("ts").isNull()).select("*", *measures)), batch_id)
 
     return start(txn.writeStream.foreachBatch(process), checkpoint, once)
 
