@@ -1,7 +1,8 @@
 """License scan as an exact set-similarity join, in DataFrame functions only.
 
 Templates are sets of words, text blocks are sentences or lines. A block meets a template if it holds at least a
-threshold share of the template's words. Words are ordered by their frequency in all documents, rarest first; then a
+threshold share of the template's words. So does a span of words no longer than the template and what it may lack,
+across any line breaks and across as many sentence ends as the template itself has inside: hard-wrapped text. Words are ordered by their frequency in all documents, rarest first; then a
 block can only meet a template if it holds one of the template's first few words (prefix filter), if it has enough
 template words at all (length filter), and if enough words follow the common one in both (positional filter).
 """
@@ -35,6 +36,7 @@ TEMPLATES = [
 ]
 _APART = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _BLOCK = r"\n|(?<=[.;!?])\s+"
+_SENTENCE = r"(?<=[.;!?])\s+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,40 +74,70 @@ def _table(spark, rows: list[Column]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+#: Kind of a block that counts as a whole; other kinds are the sentence ends inside a run.
+_WHOLE = -1
+
+
+def _runs(sentences: Column, ends: int) -> Column:
+    """All runs of ``ends + 1`` adjacent sentences; fewer sentences are one run."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(sentences) - ends, F.lit(1))), lambda i: F.array_join(F.slice(sentences, i, F.lit(ends + 1)), " "))
+
+
+def _of_kind(blocks: Column, kind: int) -> Column:
+    return F.transform(blocks, lambda block: F.struct(F.lit(kind).alias("kind"), block.alias("block")))
+
+
+def _holds(words: Column, tokens: set[str]) -> Column:
+    return F.arrays_overlap(words, F.array(*map(F.lit, sorted(tokens))))
+
+
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> DataFrame:
-    """(doc, found, share): labels of the templates that blocks of a document meet, and the largest share.
+    """(doc, found, share): labels of the templates that blocks or spans of a document meet, and the largest share.
 
     ``docs`` has (doc, text). What the driver reads are the frequencies of the templates' words, one number each.
     """
-    sets = sorted({(label, tuple(sorted({w for w in re.split(_APART, text.lower()) if w}))) for label, text in templates})
-    vocabulary = sorted({w for _, words in sets for w in words})
+    listed = [(label, [w for w in re.split(_APART, text.lower()) if w], len(re.split(_SENTENCE, text.strip())) - 1) for label, text in templates]
+    sets = sorted({(label, tuple(sorted(set(words))), len(words), ends) for label, words, ends in listed})
+    vocabulary = sorted({w for _, words, _, _ in sets for w in words})
     spark = docs.sparkSession
     if not vocabulary:
         return docs.limit(0).select("doc", F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("share"))
-    listed = F.array(*map(F.lit, vocabulary))
+    known = F.array(*map(F.lit, vocabulary))
     words = F.split(F.col("spaced"), " ")
     wide = docs.select("doc", "text", spaced(F.col("text")).alias("spaced"))
-    seen = {r["word"]: r["n"] for r in wide.select(F.explode(F.array_intersect(words, listed)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = {r["word"]: r["n"] for r in wide.select(F.explode(F.array_intersect(words, known)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     ordered = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     place = {w: i for i, w in enumerate(ordered)}
-    rows, needed, prefixes = [], [], set()
-    for label, own in sets:
+    rows, needed, prefixes = [], [], {}
+    for label, own, n_words, ends in sets:
         own = sorted(own, key=place.__getitem__)
         need = math.ceil(threshold * len(own) - 1e-9)
         needed.append(need)
         for at, token in enumerate(own[:len(own) - need + 1]):
-            prefixes.add(token)
-            rows.append(F.named_struct(F.lit("token"), F.lit(token), F.lit("label"), F.lit(label), F.lit("own"), F.array(*map(F.lit, own)),
-                                       F.lit("t_at"), F.lit(at), F.lit("need"), F.lit(need)))
+            prefixes.setdefault(ends, set()).add(token)
+            for kind in (_WHOLE, ends):
+                rows.append(F.named_struct(F.lit("token"), F.lit(token), F.lit("kind"), F.lit(kind), F.lit("label"), F.lit(label), F.lit("own"), F.array(*map(F.lit, own)),
+                                           F.lit("t_at"), F.lit(at), F.lit("need"), F.lit(need), F.lit("reach"), F.lit(n_words + len(own) - need)))
     index = _table(spark, rows)
-    block_words = F.split(spaced(F.col("block")), " ")
-    blocks = (wide.where(F.arrays_overlap(words, F.array(*map(F.lit, sorted(prefixes))))).select("doc", F.explode(F.split("text", _BLOCK)).alias("block"))
-              .select("doc", F.array_intersect(F.array(*map(F.lit, ordered)), block_words).alias("held")).where(F.size("held") >= min(needed)))
-    met = blocks.select("doc", "held", F.posexplode("held").alias("b_at", "token")).join(index, "token")
+    # whole blocks, and for spans the runs of sentences that a template with so many sentence ends can stand in
+    blocks = _of_kind(F.split("text", _BLOCK), _WHOLE)
+    for ends, tokens in sorted(prefixes.items()):
+        runs = _of_kind(_runs(F.split("text", _SENTENCE), ends), ends)
+        if not ends:  # one sentence on one line is a block already
+            runs = F.filter(runs, lambda r: r["block"].contains("\n"))
+        blocks = F.concat(blocks, F.when(_holds(words, tokens), runs).otherwise(F.array().cast("array<struct<kind:int,block:string>>")))
+    blocks = wide.where(_holds(words, set().union(*prefixes.values()))).select("doc", F.explode(blocks).alias("b")).select("doc", "b.*")
+    blocks = blocks.select("doc", "kind", F.split(F.trim(spaced(F.col("block"))), " ").alias("block"))
+    blocks = blocks.withColumn("held", F.array_intersect(F.array(*map(F.lit, ordered)), "block")).where(F.size("held") >= min(needed))
+    met = blocks.select("doc", "kind", "block", "held", F.posexplode("held").alias("b_at", "token")).join(index, ["token", "kind"])
     met = met.where((F.least(F.size("own") - F.col("t_at"), F.size("held") - F.col("b_at")) >= F.col("need"))
                     & (F.size(F.array_intersect(F.slice("own", F.lit(1), F.col("t_at")), "held")) == 0))
-    share = F.size(F.array_intersect("own", "held")) / F.size("own")
-    met = met.where(F.size(F.array_intersect("own", "held")) >= F.col("need")).select("doc", "label", share.alias("share"))
+    met = met.where(F.size(F.array_intersect("own", "held")) >= F.col("need"))
+    # the most template words in a span; the best span starts at one of them
+    starts = F.filter(F.sequence(F.lit(1), F.size("block")), lambda i: F.array_contains("own", F.get("block", i - 1)))
+    span = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect("own", F.slice("block", i, F.col("reach"))))))
+    met = met.withColumn("both", F.when(F.col("kind") == _WHOLE, F.size(F.array_intersect("own", "held"))).otherwise(span))
+    met = met.where(F.col("both") >= F.col("need")).select("doc", "label", (F.col("both") / F.size("own")).alias("share"))
     return met.groupBy("doc").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
 
 
