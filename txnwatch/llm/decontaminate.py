@@ -4,13 +4,16 @@ Numbers, names and units become typed placeholders, so that a question with othe
 template. Windows of canonical words of documents and benchmark items are hash-joined; windows that meet are
 compared word by word; and the values in their slots must correspond: one value of the item stands for one value of
 the document throughout, and the other way round.
+
+Names are capitalised words wherever they stand. Each window is compared twice, with names as placeholders and with
+names as lower-case words, so that copies in another case match too.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.llm.common import materialize, row_key
@@ -21,6 +24,8 @@ WINDOW = 8
 SPAN = 3
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
+#: Adjacent windows that a document must hold, in the same order, if it holds a smaller share: 13 words in a row.
+RUN = 6
 #: Windows of a benchmark that are sent to all executors; a larger one is joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 #: Units of measure that may follow a number.
@@ -30,23 +35,29 @@ UNITS = ["mm", "cm", "km", "mg", "kg", "ml", "kwh", "mph", "inches", "inch", "fe
 #: Private-use characters: no letter, digit or mark of any script.
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 _NUMBER = r"[0-9][0-9.,:/]*"
-_NAME = r"\p{Lu}(?<=[\p{L}0-9,;] .)\p{L}+"
+#: A capitalised word, up to where :data:`_APART` ends it, so that names are as many words with placeholders as without.
+_NAME = rf"(?<![A-Za-z]|[^\x00-\x7f])(?![{NUMBER}{NAME}{UNIT}])\p{{Lu}}(?:[A-Za-z]|[^\x00-\x7f])+"
 _UNIT = rf"(?i)(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![\p{{L}}0-9])"
 #: Between words: ASCII without lower-case letters. Digits are placeholders by then.
 _APART = r"[\x00-\x60\x7b-\x7f]+"
 
 
-def _marked(text: Column) -> Column:
+def _marked(text: Column, names: bool) -> Column:
     """The text with placeholders, in the case it had. Marks that stand in the text already are taken out."""
     plain = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   ")
     numbered = F.when(plain.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(plain, _NUMBER, f" {NUMBER} "), f"{NUMBER}  ", f"{NUMBER} ")).otherwise(plain)
     measured = F.when(numbered.contains(NUMBER), F.regexp_replace(numbered, _UNIT, UNIT)).otherwise(numbered)
-    return F.regexp_replace(measured, _NAME, f" {NAME} ")
+    return F.regexp_replace(measured, _NAME, f" {NAME} ") if names else measured
+
+
+def template_words(text: Column, names: bool = True) -> Column:
+    """Canonical words: lower case, with placeholders for numbers, units and, if wanted, names."""
+    return F.filter(F.split(F.lower(_marked(text, names)), _APART), lambda w: w != "")
 
 
-def template_words(text: Column) -> Column:
-    """Canonical words: lower case, with placeholders for numbers, names and units."""
-    return F.filter(F.split(F.lower(_marked(text)), _APART), lambda w: w != "")
+def both_forms(text: Column) -> Column:
+    """Structs (named, words): the canonical words with placeholders for names, and with names as words."""
+    return F.array(*[F.struct(F.lit(named).alias("named"), template_words(text, named).alias("words")) for named in (True, False)])
 
 
 def slot_values(text: Column) -> Column:
@@ -84,15 +95,19 @@ def _slots(words: str, values: str, start: Column, length: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, item_words, item_values, length, of, item_at, hash, anchor): the windows of all items.
+    """(item, version, named, item_words, item_values, length, of, item_at, hash, anchor): the windows of all items.
 
     An item shorter than a window is one window. ``anchor`` is the hash of the longest ``span`` plain words that
     stand next to each other in it: three, or one where no three do. A text without them can't hold the window. Windows of placeholders alone say nothing and are left out.
     """
     whole = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("t")).where("item IS NOT NULL").distinct()
-    ready = whole.select("item", template_words(F.col("t")).alias("item_words"), slot_values(F.col("t")).alias("item_values")).where("size(item_words) > 0")
-    sized = ready.withColumn("length", F.least(F.lit(window), F.size("item_words"))).withColumn("version", F.xxhash64("item_words"))
+    ready = whole.select("item", F.xxhash64(template_words(F.col("t"), False)).alias("version"), F.explode(both_forms(F.col("t"))).alias("form"),
+                         slot_values(F.col("t")).alias("item_values"))
+    ready = ready.select("item", "version", F.col("form.named").alias("named"), F.col("form.words").alias("item_words"), "item_values").where("size(item_words) > 0")
+    sized = ready.withColumn("length", F.least(F.lit(window), F.size("item_words")))
     every = sized.select("*", F.posexplode(_windows(F.col("item_words"), F.col("length"))).alias("item_at", "hash"))
+    # without a name both forms of a window are the same
+    every = every.where(~F.col("named") | F.array_contains(F.slice("item_words", F.col("item_at") + 1, F.col("length")), NAME))
     own = F.slice("item_words", F.col("item_at") + 1, F.col("length"))
     nothing = F.lit(None).cast("struct<n: int, h: bigint>")
 
@@ -125,11 +140,12 @@ def _holding(docs: DataFrame, bench: DataFrame, most: int) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, text: str = "text", doc_id: str = "doc_id",
-          broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+          broadcast_windows: int = BROADCAST_WINDOWS, run: int = RUN) -> DataFrame:
     """(doc, item_id, windows, of, coverage, first_word, last_word, reparameterised) of items that documents hold.
 
     ``windows`` of the item's ``of`` windows stand in the document with consistent slots, ``coverage`` is their share;
-    ``reparameterised`` tells whether some slot has another value than in the item.
+    ``reparameterised`` tells whether some slot has another value than in the item. A share below ``coverage`` counts
+    too where ``run`` adjacent windows of the item stand next to each other in the document.
 
     Null and empty texts and items hold nothing; repeated rows are reported once; an item with a null id takes no
     part; items that repeat under one id count as one item if their texts are the same, and each for itself otherwise.
@@ -137,33 +153,43 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: flo
     """
     bench = materialize(benchmark_windows(items, window), "benchmark-windows")
     lengths = [r["length"] for r in bench.select("length").distinct().orderBy("length").collect()]  # no more than ``window``
-    hashes = bench.select("hash", "length").distinct()
+    hashes = bench.select("hash", "length", "named").distinct()
     wanted = F.broadcast(hashes) if hashes.count() <= broadcast_windows else hashes
     slim = docs.select(row_key(doc_id, text).alias("doc"), F.col(text).alias("text"))
     held = materialize(_holding(slim, bench, broadcast_windows), "anchored-documents")
     # the one-element array keeps the words from being worked out again for every window
-    words = held.select("doc", F.explode(F.array(template_words(F.col("text")))).alias("words"))
+    words = held.select("doc", F.explode(both_forms(F.col("text"))).alias("form")).select("doc", "form.*")
     per_length = [_placed(_windows(F.col("words"), F.lit(n)), n) for n in lengths]
     if not per_length:
         per_length = [F.array().cast("array<struct<length:int,at:int,hash:bigint>>")]
-    found = words.select("doc", F.explode(F.concat(*per_length)).alias("w")).select("doc", "w.*").join(wanted, ["hash", "length"])
-    places = materialize(found.groupBy("doc").agg(F.collect_set(F.struct("length", "at", "hash")).alias("hits")), "window-places")
+    found = words.select("doc", "named", F.explode(F.concat(*per_length)).alias("w")).select("doc", "named", "w.*").join(wanted, ["hash", "length", "named"])
+    places = materialize(found.groupBy("doc").agg(F.collect_set(F.struct("named", "length", "at", "hash")).alias("hits")), "window-places")
     back = held.join(places, "doc")
-    told = F.named_struct(F.lit("words"), template_words(F.col("text")), F.lit("values"), slot_values(F.col("text")))
-    ready = back.select("doc", "hits", F.explode(F.array(told)).alias("t")).select("doc", "t.words", "t.values", F.explode("hits").alias("h"))
+    told = F.transform(both_forms(F.col("text")), lambda form: F.struct(form["named"].alias("named"), form["words"].alias("words"), slot_values(F.col("text")).alias("values")))
+    ready = back.select("doc", "hits", F.explode(told).alias("t"))
+    ready = ready.select("doc", "t.words", "t.values", F.explode(F.filter("hits", lambda h: h["named"] == F.col("t.named"))).alias("h"))
     ready = ready.select("doc", "h.*", F.slice("words", F.col("h.at") + 1, F.col("h.length")).alias("own"),
                          _slots("words", "values", F.col("h.at"), F.col("h.length")).alias("slots"))
-    met = ready.join(bench, ["hash", "length"]).where(F.col("own") == F.slice("item_words", F.col("item_at") + 1, F.col("length")))
+    met = ready.join(bench, ["hash", "length", "named"]).where(F.col("own") == F.slice("item_words", F.col("item_at") + 1, F.col("length")))
     met = met.withColumn("item_slots", _slots("item_words", "item_values", F.col("item_at"), F.col("length")))
     pairs = F.array_distinct(F.arrays_zip(F.col("slots").alias("doc_value"), F.col("item_slots").alias("item_value")))
     alike = (F.size(F.array_distinct("slots")) == F.size(pairs)) & (F.size(F.array_distinct("item_slots")) == F.size(pairs))
     met = met.withColumn("pairs", pairs).where((F.size("slots") == F.size("item_slots")) & alike)
-    per_item = met.groupBy("doc", "item", "version").agg(
+    slim = met.select("doc", "item", "version", "item_at", "of", "at", "length", (F.col("slots") != F.col("item_slots")).alias("other"))
+    slim = materialize(slim, "window-matches")
+    group = ["doc", "item", "version"]
+    # windows in a row: neighbours in the item stand next to each other in the document
+    line = slim.select(*group, (F.col("at") - F.col("item_at")).alias("shift"), "item_at").distinct()
+    nth = F.row_number().over(Window.partitionBy(*group, "shift").orderBy("item_at"))
+    rows = line.withColumn("row", F.col("item_at") - nth).groupBy(*group, "shift", "row").agg(F.count(F.lit(1)).alias("n"))
+    longest = rows.groupBy(*group).agg(F.max("n").alias("longest"))
+    per_item = slim.groupBy(*group).agg(
         F.countDistinct("item_at").alias("windows"), F.first("of").alias("of"), F.min("at").alias("first_word"),
-        F.max(F.col("at") + F.col("length") - 1).alias("last_word"), F.max(F.col("slots") != F.col("item_slots")).alias("reparameterised"))
+        F.max(F.col("at") + F.col("length") - 1).alias("last_word"), F.max("other").alias("reparameterised")).alias("p")
+    same = reduce(Column.__and__, (F.col(f"p.{c}").eqNullSafe(F.col(f"l.{c}")) for c in group))
     share = F.col("windows") / F.col("of")
-    return per_item.where(share >= coverage).select(
-        "doc", F.col("item").alias("item_id"), "windows", "of", share.alias("coverage"), "first_word", "last_word", "reparameterised")
+    return per_item.join(longest.alias("l"), same).where((share >= coverage) | (F.col("longest") >= run)).select(
+        F.col("p.doc").alias("doc"), F.col("p.item").alias("item_id"), "windows", "of", share.alias("coverage"), "first_word", "last_word", "reparameterised")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
