@@ -1,10 +1,11 @@
 """Substring deduplication on paragraphs.
 
-Natural paragraphs (lines) are compared by MinHash banding: bands are tuned to a wanted recall, paragraphs that
-collide are joined, the exact Jaccard similarity of their shingles is computed, and components of the links are
-clusters. Passages that stand inside other paragraphs are compared verbatim: a paragraph window of fixed length
-starts at every sentence, so a longer passage holds whole windows wherever it was put. Of each cluster the first
-occurrence stays.
+Natural paragraphs (lines, and lines up to a blank line as one) are compared by MinHash banding: bands are tuned to a
+wanted recall, paragraphs that collide are joined, the exact Jaccard similarity of their shingles is computed, and
+components of the links are clusters. Passages that stand inside other paragraphs are compared verbatim: windows of
+fixed length start at every sentence and at the smallest hash of every ``SPAN`` adjacent starts, so that equal runs of
+``WINDOW + SPAN - 1`` words share a window whatever is in them; hits are extended to the whole run. Of each cluster the
+first occurrence stays.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.llm.common import kept_in_worker, materialize, row_key, text_slices
 from txnwatch.llm.components import connected_components
 
-#: Words of a paragraph window, and of the shortest paragraph that is compared.
+#: Words of a paragraph window.
 WINDOW = 24
+#: Adjacent windows of which the one with the smallest hash is compared.
+SPAN = 27
 SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.999
@@ -31,8 +34,6 @@ BACKGROUND, COLLISIONS = 0.01, 20
 KEPT_WORDS = 400_000
 #: Rows of two or three numbers that are sent to all executors; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Every so many-th word, by its hash, starts a window too: texts without sentences have windows as well.
-ANCHOR = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EDGES = " .,;:!?\"'()[]"
 _TOKEN = re.compile(r"\S+")
@@ -97,6 +98,28 @@ def paragraphs(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
     return _word_codes(words), lines
 
 
+def wrapped(text: str) -> list[tuple[int, int]]:
+    """(first word, words) of the paragraphs of two lines or more, which blank lines part."""
+    found, at, start, lines = [], 0, 0, 0
+    for line in [*text.split("\n"), ""]:
+        n = len(line.split())
+        if n:
+            at, lines = at + n, lines + 1
+        else:
+            if lines > 1:
+                found.append((start, at - start))
+            start, lines = at, 0
+    return found
+
+
+def lowest(hashes: np.ndarray, span: int) -> np.ndarray:
+    """Positions of the smallest of every ``span`` adjacent hashes, of equal ones the first."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(hashes, min(span, len(hashes)))
+    return np.unique(np.arange(len(view)) + view.argmin(axis=1))
+
+
 def band_keys(codes: np.ndarray, lines: list[tuple[int, int]], seeds: np.ndarray, bands: int, rows: int, shingle: int) -> np.ndarray:
     """A row of band keys per line: the smallest shingle hash for each seed, ``rows`` of them and the band to a key."""
     counts = np.array([max(n - shingle, 0) + 1 for _, n in lines])
@@ -123,10 +146,8 @@ def _units(bands: int, rows: int, window: int, shingle: int):
             at, start, length, unit, keys = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 codes, lines = paragraphs(text or "")
-                if len(codes) < window:
-                    continue
                 bare = codes & ~np.uint64(1)
-                long = [(s, n) for s, n in lines if n >= window]
+                long = [(s, n) for s, n in [*lines, *wrapped(text or "")] if n >= shingle]
                 for k in range(0, len(long), 256):
                     some = long[k:k + 256]
                     keys += list(band_keys(bare, some, seeds, bands, rows, shingle))
@@ -134,11 +155,16 @@ def _units(bands: int, rows: int, window: int, shingle: int):
                     start += [s for s, _ in some]
                     length += [n for _, n in some]
                     unit += [xxhash.xxh64_intdigest(bare[s:s + n].tobytes(), n) for s, n in some]
+                if len(codes) < window:
+                    continue
                 ends = (codes[:-1] & np.uint64(1)).astype(bool)
-                first = np.concatenate(([True], ends)) | (bare // np.uint64(2) % np.uint64(ANCHOR) == 0)
+                first = np.concatenate(([True], ends))
                 first[[s for s, _ in lines]] = True
-                starts = np.flatnonzero(first[:len(codes) - window + 1])
-                hashes = _runs(bare, window)[starts]
+                hashes = _runs(bare, window)
+                first = first[:len(hashes)]
+                first[lowest(hashes, SPAN)] = True
+                starts = np.flatnonzero(first)
+                hashes = hashes[starts]
                 at += [i] * len(starts)
                 start += starts.tolist()
                 length += [window] * len(starts)
@@ -225,9 +251,12 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
 
     ``start`` and ``length`` count words between white space. ``cluster_doc`` and ``cluster_start`` name the first
     occurrence (smallest id, then position), which has ``removed`` false; the others are removed. ``kind`` is
-    ``paragraph`` for similar lines and ``passage`` for verbatim runs, of which overlapping ones are joined.
+    ``paragraph`` for similar lines, or lines up to a blank line as one, and ``passage`` for verbatim runs. Overlapping
+    runs are joined, and removed ones reach as far as the words agree with the first occurrence.
 
-    Lines and texts of fewer than ``window`` words, null and empty texts take no part. A null id comes after all
+    Paragraphs of ``shingle`` words or more are compared, and verbatim runs of ``window + SPAN - 1`` words or more are
+    found for sure. All that is found is removed but for the first occurrence, short paragraphs too. Shorter
+    paragraphs, null and empty texts take no part. A null id comes after all
     others. Equal rows are one occurrence, so that neither loses its text because of the other; near-duplicate
     removal of whole documents is another operator. An empty table gives an empty table.
     """
@@ -250,10 +279,56 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     found = placed.join(first, "cluster").select(
         "doc", "start", "length", F.col("cluster.kind").alias("kind"), F.col("first.doc").alias("to_doc"), F.col("first.start").alias("to"),
         (F.col("place") != F.col("first")).alias("removed"))
-    return _joined(found.distinct()).select("doc", "start", "length", "kind", F.col("to_doc.id").alias("cluster_doc"),
+    found = materialize(_joined(found.distinct()), "joined-passages")
+    return _joined(_extended(docs, found)).select("doc", "start", "length", "kind", F.col("to_doc.id").alias("cluster_doc"),
                                             F.col("to").alias("cluster_start"), "removed")
 
 
+def _sides(reach: int):
+    """Words in front of each wanted place, the nearest first, and behind it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            at, start, length, before, after = [], [], [], [], []
+            for i, (text, places) in enumerate(zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True)):
+                codes = (paragraphs(text or "")[0] & ~np.uint64(1)).astype(np.int64)
+                for p in places:
+                    s, e = p["start"], p["start"] + p["length"]
+                    at.append(i)
+                    start.append(s)
+                    length.append(p["length"])
+                    before.append(codes[max(s - reach, 0):s][::-1])
+                    after.append(codes[e:e + reach])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc").take(pa.array(at, pa.int32())), pa.array(start, pa.int32()), pa.array(length, pa.int32()),
+                 pa.array(before, pa.list_(pa.int64())), pa.array(after, pa.list_(pa.int64()))], ["doc", "start", "length", "before", "after"])
+    return run
+
+
+def _extended(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Removed passages with the words at both ends that agree with the first occurrence.
+
+    A run of equal words goes on for fewer than ``SPAN`` words beyond its first and last common window, for else
+    there would be another one: so few words a side are compared.
+    """
+    passages = found.where("kind = 'passage' AND removed")
+    ends = passages.select("doc", "start", "length").union(passages.select(F.col("to_doc").alias("doc"), F.col("to").alias("start"), "length")).distinct()
+    ends = ends.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("places"))
+    texts = docs.select(row_key().alias("doc"), "text").dropDuplicates(["doc"]).join(ends, "doc")
+    sides = texts.select("doc", "text", "places").mapInArrow(
+        _sides(SPAN), "doc struct<id: bigint, content: bigint>, start int, length int, before array<bigint>, after array<bigint>")
+    sides = materialize(sides, "passage-sides")
+    other = sides.select(F.col("doc").alias("to_doc"), F.col("start").alias("to"), "length", F.col("before").alias("to_before"), F.col("after").alias("to_after"))
+    both = passages.join(sides, ["doc", "start", "length"]).join(other, ["to_doc", "to", "length"])
+
+    def agree(a: str, b: str) -> Column:
+        stop = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+        return F.when(stop == 0, F.size(a)).otherwise(stop - 1).cast("int")
+    more = both.withColumn("front", agree("before", "to_before")).withColumn("behind", agree("after", "to_after"))
+    more = more.select("doc", (F.col("start") - F.col("front")).alias("start"), (F.col("length") + F.col("front") + F.col("behind")).alias("length"),
+                       "kind", "to_doc", (F.col("to") - F.col("front")).alias("to"), "removed")
+    return more.union(found.where("NOT (kind = 'passage' AND removed)").select(more.columns))
+
+
 def _joined(found: DataFrame) -> DataFrame:
     """Overlapping runs of a document with the same source at the same distance become one."""
     found = found.withColumn("shift", F.when(F.col("kind") == "passage", F.col("to") - F.col("start")))
