@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from txnwatch.llm import licenses, urls
+from txnwatch.llm import licenses, manifest, urls
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -74,3 +74,48 @@ pu AS (SELECT host, template, (sum(blocked) OVER e + {urls.TEMPLATE_PRIOR} * hos
 vd AS (SELECT g.host, g.segments, round(purity, 9) >= {urls.REJECT} AS rejected FROM g{urls.DEPTH} g JOIN pu ON g.host = pu.host AND g.template = pu.template)
 SELECT page_id, q.host, q.path, q.rule, coalesce(q.told, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
 FROM q JOIN vd ON q.host = vd.host AND q.segments = vd.segments"""
+
+
+def _joined_runs(leaves: str, top: str, levels: int) -> str:
+    """CTEs ``{top}0`` to ``{top}{levels}``: the levels of all trees; a tree with one node left stays as it is."""
+    k = manifest.FANOUT
+    parts = [f"{top}0 AS (SELECT tree, pos, n, h FROM {leaves})"]
+    for i in range(levels):
+        parts.append(f"""{top}{i + 1} AS (SELECT tree, pos // {k} AS pos, (n + {k - 1}) // {k} AS n, CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h
+ FROM {top}{i} GROUP BY tree, pos // {k}, n)""")
+    for i in range(levels):
+        o = f"PARTITION BY tree, pos // {k} ORDER BY pos ROWS BETWEEN"
+        parts.append(f"""{top}s{i} AS (SELECT tree, pos, coalesce(string_agg(h, '') OVER ({o} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+ coalesce(string_agg(h, '') OVER ({o} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {top}{i} WHERE n > 1)""")
+    return ",\n".join(parts)
+
+
+def _folds(rows: str, top: str, levels: int, name: str) -> str:
+    """CTEs that lead ``rows`` (tree, pos, f, proof, ...) up through the levels."""
+    parts, k = [f"{name}0 AS (SELECT * FROM {rows})"], manifest.FANOUT
+    for i in range(levels):
+        parts.append(f"""{name}{i + 1} AS (SELECT d.* REPLACE (CASE WHEN s.l IS NULL THEN f ELSE sha256(s.l || f || s.r) END AS f, proof || coalesce(s.l || s.r, '') AS proof)
+ FROM {name}{i} d LEFT JOIN {top}s{i} s ON d.tree = s.tree AND d.pos // {k ** i} = s.pos)""")
+    return ",\n".join(parts)
+
+
+def manifest_proofs(fields: tuple[str, ...], levels: int = 16, source_levels: int = 10) -> str:
+    """Every level of every tree, and every leaf led up to the root. Enough for 3^levels leaves a source and 3^source_levels sources."""
+    def leaf(text: str) -> str:
+        said = [f"CAST({c} AS VARCHAR)" if c != "text" else text for c in fields]
+        return f"sha256({' || '.join(f"CASE WHEN {s} IS NULL THEN '-' ELSE CAST(strlen({s}) AS VARCHAR) || ':' || {s} END" for s in said)})"
+    bits = "list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)"
+    own = "[CAST(ord(c) AS UBIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]"
+    crc = f"xor(list_reduce(list_concat([4294967295::UBIGINT], {own}), lambda a, b: {bits}), 4294967295::UBIGINT)"
+    return f"""WITH d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS given FROM documents),
+q AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+ count(*) OVER (PARTITION BY source) AS n, leaf AS h FROM d),
+{_joined_runs('q', 't', levels)},
+sub AS (SELECT tree, h AS subroot FROM t{levels}),
+o AS (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, subroot AS h FROM sub),
+{_joined_runs('o', 'u', source_levels)},
+g AS (SELECT doc_id, leaf, tree, pos, given AS f, '' AS proof FROM q),
+{_folds('g', 't', levels, 'f')},
+w AS (SELECT doc_id, leaf, subroot, 0 AS tree, f.tree AS pos, f, proof FROM f{levels} f JOIN sub ON f.tree = sub.tree),
+{_folds('w', 'u', source_levels, 'e')}
+SELECT doc_id, leaf, subroot, (SELECT h FROM u{source_levels}) AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = (SELECT h FROM u{source_levels}) AS verified FROM e{source_levels}"""

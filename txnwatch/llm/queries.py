@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm import decontaminate, licenses, neighbours, oracle, packing, sharding, simhash, substrings, token_counts, toxicity, urls
+from txnwatch.llm import decontaminate, licenses, manifest, neighbours, oracle, packing, sharding, simhash, substrings, token_counts, toxicity, urls
 from txnwatch.llm.urls import Rule
 
 #: Name of the vocabulary files; their folder is that of the installed package.
@@ -79,9 +79,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "first_word", "last_word", "reparameterised")
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_counts, op4_licenses, op5_urls, op6_neighbours, op7_toxicity, op8_simhash,
-                                      op9_sharding, op10_decontamination)}
+                                      op9_sharding, op10_decontamination, op11_manifest)}
 ORACLE = {
     "op4_licenses": oracle.license_scan(licenses.TEMPLATES, licenses.PHRASES, licenses.THRESHOLD),
     "op5_urls": oracle.url_verdicts(URL_RULES),
+    "op11_manifest": oracle.manifest_proofs(manifest.FIELDS),
 }
