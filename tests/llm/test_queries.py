@@ -23,6 +23,9 @@ COLUMNS = {
     "op7_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op8_simhash": {"doc_id", "fingerprint", "component_id"},
     "op9_sharding": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op11_manifest": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op12_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+    "op13_quality": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
 }
 
 

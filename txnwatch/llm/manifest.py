@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from txnwatch.llm.common import materialize, partition_bases, release
 
 FANOUT = 3
+#: Ancestors of so many levels are attached by one plan.
+CUT_LEVELS = 4
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -104,7 +106,8 @@ def _attached(leaves: DataFrame, levels: list[DataFrame], crown: DataFrame) -> D
             step = F.struct(F.array_join(left, "").alias("left"), F.array_join(right, "").alias("right"))
             met = nodes.where(~top).join(parents, inside).select(*own, *given, F.concat(F.array(step), F.col("p_path")).alias("path"))
             found = met.union(found)
-        above = found
+        # a written table now and then keeps the plan short, whatever number of levels there is
+        above = materialize(found, "manifest-above") if level and level % CUT_LEVELS == 0 else found
     return above
 
 

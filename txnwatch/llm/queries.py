@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnwatch.llm import decontaminate, licenses, manifest, neighbours, oracle, packing, sharding, simhash, substrings, token_counts, toxicity, urls
+from txnwatch.llm import alignment, decontaminate, licenses, manifest, neighbours, oracle, packing, quality, sharding, simhash, substrings, token_counts, toxicity, urls
 from txnwatch.llm.urls import Rule
 
 #: Name of the vocabulary files; their folder is that of the installed package.
@@ -83,8 +83,17 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER), tokenizer_path(COUNTING_TOKENIZER))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 QUERIES = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_counts, op4_licenses, op5_urls, op6_neighbours, op7_toxicity, op8_simhash,
-                                      op9_sharding, op10_decontamination, op11_manifest)}
+                                      op9_sharding, op10_decontamination, op11_manifest, op12_alignment, op13_quality)}
 ORACLE = {
     "op4_licenses": oracle.license_scan(licenses.TEMPLATES, licenses.PHRASES, licenses.THRESHOLD),
     "op5_urls": oracle.url_verdicts(URL_RULES),
