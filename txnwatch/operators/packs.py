@@ -72,8 +72,20 @@ def ops_matrix() -> list[dict]:
         "OP-IN-SCALAR": [c("country_dst", "IN", "IR")], "OP-NOT-IN-SCALAR": [c("country_dst", "NOT_IN", "IR")],
         "OP-UNKNOWN": [c("amount_usd", "BETWEEN", 5)], "OP-MISSING": [c("no_such_field", "NEQ", "x")],
         "OP-NULL": [c("counterparty_opt", "NEQ", "CUST-1")], "OP-EMPTY": [],
+        "OP-MAP": [c("metadata.device", "EQ", "mobile")], "OP-MAP-NUM": [c("metadata.attempts", "GTE", 3)], "OP-MAP-ABSENT": [c("metadata.device", "NEQ", "mobile")],
+        "OP-MAP-UNKNOWN": [c("metadata.no_such_key", "NOT_IN", ["x"])], "OP-MAP-OTHER": [c("channel.device", "NEQ", "x")],
     }
-    return [_rule(k, k, "RULE", "LOW", None, v, []) for k, v in cases.items()]
+    return [*(_rule(k, k, "RULE", "LOW", None, v, []) for k, v in cases.items()),
+            _rule("OP-MAP-TEXT", "OP-MAP-TEXT", "RULE", "LOW", None, [c("metadata.attempts", "EQ", "4")], [_alert("${metadata.attempts} by ${metadata.device}, ${metadata.none}")])]
+
+
+def stricter_pack(rule_id: str, field: str, value) -> list[dict]:
+    """The lowered pack with another limit in one rule: a later version of it."""
+    pack = lowered_pack()
+    for rule in pack:
+        if rule["rule_id"] == rule_id:
+            rule["conditions"] = [c(x["field"], x["operator"], value if x["field"] == field else x["list"] or _number(x)) for x in rule["conditions"]]
+    return pack
 
 
 # A nested example: two of the three marks, and not an inbound row.

@@ -28,6 +28,31 @@ def create_versions(versions: DataFrame, new: DataFrame, now: Column) -> DataFra
     return versions.unionByName(added, allowMissingColumns=True)
 
 
+def validity(events: list) -> list[tuple]:
+    """Folds version events to (version_id, from, until): which version is in force when.
+
+    Events (version_id, event, at, effective_from) create a version that takes effect at ``effective_from``, or deprecate
+    one at ``at``; from then on the newest version that is left is in force again. Of versions that take effect at the
+    same time the larger id wins. Versions are control data, written by people, and are folded by the driver; ``until``
+    is None for the last interval, and times without any version in force are in no interval.
+    """
+    begin = {e["version_id"]: e["effective_from"] for e in events if e["event"] == "CREATE"}
+    end: dict = {}
+    for e in events:
+        if e["event"] == "DEPRECATE":
+            end[e["version_id"]] = min(e["at"], end.get(e["version_id"], e["at"]))
+    cuts = sorted({*begin.values(), *(t for v, t in end.items() if v in begin)})
+    found: list[tuple] = []
+    for at, until in zip(cuts, [*cuts[1:], None]):
+        live = [(t, v) for v, t in begin.items() if t <= at and not (v in end and end[v] <= at)]
+        name = max(live)[1] if live else None
+        if found and found[-1][0] == name and found[-1][2] == at:
+            found[-1] = (name, found[-1][1], until)
+        elif name is not None:
+            found.append((name, at, until))
+    return found
+
+
 def with_effective_version(txn: DataFrame, versions: DataFrame, ts: str = "ts") -> DataFrame:
     """Adds the ``version_id`` in force at each row's time (null before the first one).
 

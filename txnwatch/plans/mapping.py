@@ -46,7 +46,8 @@ SELECT concat('A-', CAST(event_id AS VARCHAR(20))) AS alert_id, concat('TXN-', C
  CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'purchase' THEN 'HIGH' WHEN 'signup' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
  CASE event_id % 4 WHEN 0 THEN 'CTR-001' WHEN 1 THEN 'SAR-001' WHEN 2 THEN 'SAN-001' ELSE 'RISK-001' END AS rule_id,
  CASE event_id % 5 WHEN 0 THEN 'NEW' WHEN 1 THEN 'NEW' WHEN 2 THEN 'ESCALATED' WHEN 3 THEN 'REPORTED' ELSE 'CLOSED' END AS status,
- ts AS created_at FROM {events}""",
+ ts AS created_at, concat('seen as ', event_type, ' in ', CAST(event_id AS VARCHAR(20))) AS rule_desc, CAST(event_id * 7 % 100 AS DOUBLE) / 100 AS score
+FROM {events}""",
     "case_seed": """
 SELECT concat('CASE-', CAST(o_orderkey AS VARCHAR(20))) AS case_id, concat('CUST-', CAST(o_custkey AS VARCHAR(20))) AS customer_id,
  CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS priority,

@@ -62,6 +62,16 @@ ROLLING_DISTINCT = _with(["txn"], body=f"SELECT txn_id, customer_id, {_roll(['1h
 ROLLING_7D = _with(["txn"], body=f"SELECT txn_id, customer_id, {_roll(['7d'])} FROM txn")
 STREAM_ENRICH = _with(["txn"], body=f"SELECT txn_id, customer_id, {_roll(['1h', '24h'])} FROM txn")
 
+_MEASURES = [f"{m}_{w}" for w in ("1h", "24h") for m in ("txn_count", "total_amount", "max_amount", "unique_counterparties")]
+STREAM_ENRICH_LATE = _with(["txn"], f"a AS (SELECT txn_id, customer_id, ts, {_roll(['1h', '24h'])} FROM txn WHERE event_id % 50 <> 0)",
+                           f"b AS (SELECT txn_id, customer_id, ts, event_id, {_roll(['1h', '24h'])} FROM txn)",
+                           "h AS (SELECT customer_id, max(ts) - INTERVAL '48 hours' AS horizon FROM a GROUP BY 1)",
+                           """k AS (SELECT b.*, ts - INTERVAL '24 hours' < coalesce(horizon, (SELECT max(ts) - INTERVAL '72 hours' FROM a)) AS late
+ FROM b LEFT JOIN h USING (customer_id) WHERE event_id % 50 = 0)""",
+                           body=f"""SELECT txn_id, customer_id, {', '.join(_MEASURES)}, FALSE AS late FROM a UNION ALL
+ SELECT txn_id, customer_id, {', '.join(f'CASE WHEN NOT late THEN {m} END' for m in _MEASURES)}, late FROM k""")
+STREAM_ARCHIVE = _with(["raw_txn"], _CANON, body="SELECT txn_id, customer_id, amount, strftime(ts, '%Y-%m-%d') AS dt, txn_type FROM canon")
+
 
 def tumbling(length: str) -> str:
     return _with(["txn"], body=f"""SELECT customer_id, time_bucket(INTERVAL '{length}', ts, TIMESTAMP '1970-01-01') AS window_start,
@@ -151,6 +161,22 @@ def _enriched(body: str) -> str:
 RULE_ALERTS = _enriched("\nUNION ALL\n".join([*(_rule_alerts("enr", r) for r in _RULES), _bypass("enr")]))
 
 
+def _versioned() -> str:
+    """Every rule once a version, with the version's time and limit."""
+    spans = [("V1", "ts >= '2024-01-01' AND ts < '2024-01-10'", {}), ("V3", "ts >= '2024-01-15' AND ts < '2024-01-20'", {"CTR-001": ("5000", "9000")}),
+             ("V2", "(ts >= '2024-01-10' AND ts < '2024-01-15' OR ts >= '2024-01-20')", {"SAR-003": ("5000", "7000")})]
+    parts = []
+    for version, when, limits in spans:
+        for rule in _RULES:
+            old, new = limits.get(rule, ("", ""))
+            text = _rule_alerts("enr", rule)
+            parts.append(f"SELECT *, '{version}' AS version_id FROM ({text.replace('>= ' + old, '>= ' + new) if old else text}) WHERE {when.replace('ts', 'created_at')}")
+    return _enriched("\nUNION ALL\n".join([*parts, f"SELECT *, NULL AS version_id FROM ({_bypass('enr')})"]))
+
+
+RULE_ALERTS_VERSIONED = _versioned()
+
+
 def one_rule(rule: str) -> str:
     return _enriched(_rule_alerts("enr", rule))
 
@@ -163,14 +189,33 @@ _OPS = {
     "OP-IN": "country_dst IN ('IR','KP')", "OP-NOT-IN": "country_dst NOT IN ('IR','KP','US')", "OP-IN-SCALAR": "FALSE",
     "OP-NOT-IN-SCALAR": "country_dst IS NOT NULL", "OP-UNKNOWN": "FALSE", "OP-MISSING": "FALSE",
     "OP-NULL": "counterparty_id NOT LIKE '%7' AND counterparty_id <> 'CUST-1'", "OP-EMPTY": "TRUE",
+    "OP-MAP": "event_id % 3 = 1", "OP-MAP-NUM": "event_id % 2 = 0 AND event_id % 5 >= 3", "OP-MAP-ABSENT": "event_id % 3 = 2",
+    "OP-MAP-UNKNOWN": "FALSE", "OP-MAP-OTHER": "FALSE",
 }
-OPS_MATRIX = _with(["txn"], body="\nUNION ALL\n".join(
-    f"SELECT txn_id, '{r}' AS rule_id, 'Rule {r} triggered' AS rule_desc FROM txn WHERE {w}" for r, w in _OPS.items()))
+OPS_MATRIX = _with(["txn"], body="\nUNION ALL\n".join([
+    *(f"SELECT txn_id, '{r}' AS rule_id, 'Rule {r} triggered' AS rule_desc FROM txn WHERE {w}" for r, w in _OPS.items()),
+    """SELECT txn_id, 'OP-MAP-TEXT', concat('4 by ', CASE event_id % 3 WHEN 1 THEN 'mobile' WHEN 2 THEN 'desktop' ELSE '${metadata.device}' END, ', ${metadata.none}')
+ FROM txn WHERE event_id % 2 = 0 AND event_id % 5 = 4"""]))
 NESTED = _with(["txn"], body="""SELECT txn_id, customer_id, 'MIX-001' AS rule_id, 'CRITICAL' AS severity, concat('MIX: ', customer_id, ' ', channel) AS rule_desc,
  CAST(1.0 AS FLOAT) AS score FROM txn WHERE (channel = 'SWIFT' OR country_dst IN ('IR','KP')) AND amount_usd >= 3000 AND direction <> 'INBOUND'""")
-SAR002_HISTORICAL = _with(["txn"], f"c AS (SELECT txn_id, customer_id, ts, {_roll(['1h'], 'n')} FROM txn)", """b AS (SELECT customer_id, count(*) / (15 * 24e0) AS mean_hourly
- FROM txn WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-16' GROUP BY 1)""", body="""SELECT txn_id, customer_id, txn_count_1h,
- round(mean_hourly, 6) AS mean_hourly FROM c JOIN b USING (customer_id) WHERE ts >= TIMESTAMP '2024-01-16' AND txn_count_1h >= mean_hourly * 5e0""")
+SAR002_HISTORICAL = _with(["txn"], f"c AS (SELECT txn_id, customer_id, ts, {_roll(['1h'], 'n')} FROM txn)",
+                          "h AS (SELECT customer_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hr, count(*) AS n FROM txn GROUP BY ALL)",
+                          """b AS (SELECT a.customer_id, a.hr, sum(p.n) / least(720, a.hr - 1 - (SELECT min(f.hr) FROM h f WHERE f.customer_id = a.customer_id)) AS mean_hourly
+ FROM h a JOIN h p ON p.customer_id = a.customer_id AND p.hr BETWEEN a.hr - 721 AND a.hr - 2 GROUP BY a.customer_id, a.hr)""",
+                          body="""SELECT txn_id, c.customer_id, txn_count_1h, round(mean_hourly, 6) AS mean_hourly FROM c
+ LEFT JOIN b ON b.customer_id = c.customer_id AND b.hr = CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) WHERE txn_count_1h >= coalesce(mean_hourly, 1e0) * 5e0""")
+SAR004_FLOW = _with(["txn"], """f AS (SELECT customer_id, txn_id, ts, direction, amount_usd AS a, row_number() OVER (PARTITION BY customer_id ORDER BY ts, direction, txn_id) AS i,
+ sum(CASE WHEN direction = 'INBOUND' THEN amount_usd ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY ts, direction, txn_id) AS d,
+ sum(CASE WHEN direction = 'OUTBOUND' THEN amount_usd ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY ts, direction, txn_id) AS w
+ FROM txn WHERE direction IN ('INBOUND', 'OUTBOUND') AND amount_usd > 0)""",
+                    "g AS (SELECT *, w + least(0, min(d - w) OVER (PARTITION BY customer_id ORDER BY i)) AS m FROM f)",
+                    "q AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY customer_id ORDER BY i), 0) AS m0 FROM g)",
+                    """p AS (SELECT i.customer_id, i.txn_id AS deposit_id, o.txn_id AS withdrawal_id, i.a AS deposit_amount,
+ CAST(least(i.d, o.m) - greatest(i.d - i.a, o.m0) AS DECIMAL(18,2)) AS amount, i.ts AS its, o.ts AS ots
+ FROM q i JOIN q o ON o.customer_id = i.customer_id AND i.direction = 'INBOUND' AND o.direction = 'OUTBOUND' AND i.d - i.a < o.m AND o.m0 < i.d AND o.m0 < o.m)""",
+                    """k AS (SELECT customer_id, deposit_id, max(deposit_amount) - coalesce(sum(amount) FILTER (WHERE ots < its + INTERVAL '24 hours'), 0) AS kept FROM p GROUP BY ALL)""",
+                    body="""SELECT customer_id, deposit_id, withdrawal_id, deposit_amount, amount, CAST(kept AS DECIMAL(18,2)) AS kept,
+ CAST(kept AS DOUBLE) < CAST(deposit_amount AS DOUBLE) * 1e-1 AS rapid FROM p JOIN k USING (customer_id, deposit_id)""")
 SAR004_RETENTION = _with(["txn"], f"""r AS (SELECT txn_id, customer_id,
  CAST(coalesce(sum(CASE WHEN direction = 'INBOUND' THEN amount_usd END) OVER {_over('24h')}, 0) AS DECIMAL(18,2)) AS in_amount_24h,
  CAST(coalesce(sum(CASE WHEN direction = 'OUTBOUND' THEN amount_usd END) OVER {_over('24h')}, 0) AS DECIMAL(18,2)) AS out_amount_24h FROM txn)""",
@@ -238,7 +283,7 @@ SANCTION_ALIASES = _with(["screen_name", "sanction_name"], """all_names AS (SELE
 
 _RANK = "CASE severity WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'CRITICAL' THEN 3 ELSE -1 END"
 _RANK_NAME = "CASE max({r}) WHEN 3 THEN 'CRITICAL' WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END"
-_FIRST = """arg_min(alert_id, {{'a': created_at, 'b': alert_id}}) AS alert_id, arg_min(txn_id, {{'a': created_at, 'b': alert_id}}) AS txn_id,
+_FIRST = """arg_min(rule_desc, {{'a': created_at, 'b': alert_id}}) AS rule_desc, max(score) AS score, arg_min(alert_id, {{'a': created_at, 'b': alert_id}}) AS alert_id, arg_min(txn_id, {{'a': created_at, 'b': alert_id}}) AS txn_id,
  arg_min(alert_type, {{'a': created_at, 'b': alert_id}}) AS alert_type, {name} AS severity, 'NEW' AS status, min(created_at) AS created_at, count(*) AS alert_count""".format(
     name=_RANK_NAME.format(r=_RANK))
 _SLOT = "time_bucket(INTERVAL '30 minutes', created_at, TIMESTAMP '1970-01-01')"
@@ -247,12 +292,15 @@ _TUMBLING = f"""SELECT customer_id, rule_id, {_SLOT} AS window_start, {_SLOT} +
 DEDUP_TUMBLING = _with(["alert_seed"], body=_TUMBLING.replace("created_at", "a.created_at").replace("AS a.created_at", "AS created_at"))
 DEDUP_TUMBLING_CLOSED = _with(["alert_seed"], f"d AS ({_TUMBLING.replace('created_at', 'a.created_at').replace('AS a.created_at', 'AS created_at')})",
                               body="SELECT * FROM d WHERE window_end <= (SELECT max(created_at) FROM alert_seed) - INTERVAL '30 minutes'")
-DEDUP_ANCHORED = _with(["alert_seed"], """anchors AS (SELECT customer_id, rule_id, min(created_at) AS a FROM alert_seed GROUP BY 1, 2
+_ANCHORED = ("""anchors AS (SELECT customer_id, rule_id, min(created_at) AS a FROM alert_seed GROUP BY 1, 2
  UNION ALL SELECT n.customer_id, n.rule_id, min(s.created_at) FROM anchors n JOIN alert_seed s ON s.customer_id = n.customer_id AND s.rule_id = n.rule_id
  AND s.created_at >= n.a + INTERVAL '31 minutes' GROUP BY 1, 2)""",
-                       """placed AS (SELECT s.*, n.a FROM alert_seed s ASOF JOIN anchors n ON s.customer_id = n.customer_id AND s.rule_id = n.rule_id AND s.created_at >= n.a)""",
-                       body=f"SELECT customer_id, rule_id, {_FIRST} FROM placed a GROUP BY customer_id, rule_id, a.a".replace("created_at", "a.created_at").replace("AS a.created_at", "AS created_at"),
-                       recursive=True)
+             """placed AS (SELECT s.*, n.a FROM alert_seed s ASOF JOIN anchors n ON s.customer_id = n.customer_id AND s.rule_id = n.rule_id AND s.created_at >= n.a)""")
+_GROUPS = f"SELECT customer_id, rule_id, {_FIRST} FROM placed a GROUP BY customer_id, rule_id, a.a".replace("created_at", "a.created_at").replace("AS a.created_at", "AS created_at")
+DEDUP_ANCHORED = _with(["alert_seed"], *_ANCHORED, body=_GROUPS, recursive=True)
+# groups whose end the last watermark has passed; no alert of one batch is late
+DEDUP_ANCHORED_CLOSED = _with(["alert_seed"], *_ANCHORED, f"d AS ({_GROUPS})", recursive=True, body="""SELECT *, FALSE AS late FROM d
+ WHERE created_at + INTERVAL '31 minutes' <= (SELECT max(created_at) FROM alert_seed) - INTERVAL '30 minutes'""")
 
 
 def _correlation(party: str) -> str:

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.operators import alerts as al
-from txnwatch.operators import cases, dedup, kyc, packs, ranking, reconcile, reports, risk, rolling, routing, rules, sanctions, trace, versions
+from txnwatch.operators import cases, dedup, flows, kyc, packs, ranking, reconcile, reports, risk, rolling, routing, rules, sanctions, trace, versions
 from txnwatch.operators import normalize as norm
 from txnwatch.plans import oracle as sql
 from txnwatch.plans.mapping import table
 from txnwatch.session import fresh_dir
 from txnwatch.sources.streams import parse_json, to_messages
+from txnwatch.sources.versioned import archive_batch, read_merged
 from txnwatch.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,12 +177,26 @@ _rule("rule_risk001", "RISK-001", _with_risk)
 
 @query("rule_ops_matrix", sql.OPS_MATRIX)
 def rule_ops_matrix(spark, sf):
-    txn = table(spark, sf, "txn").withColumn(
-        "counterparty_opt", F.when(~F.col("counterparty_id").endswith("7"), F.col("counterparty_id")))
+    given = F.map_from_entries(F.array_compact(F.array(
+        F.when(F.col("event_id") % 3 > 0, F.struct(F.lit("device"), F.when(F.col("event_id") % 3 == 1, "mobile").otherwise("desktop"))),
+        F.when(F.col("event_id") % 2 == 0, F.struct(F.lit("attempts"), (F.col("event_id") % 5).cast("string"))))))
+    txn = table(spark, sf, "txn").withColumns({
+        "counterparty_opt": F.when(~F.col("counterparty_id").endswith("7"), F.col("counterparty_id")), "metadata": given})
     found = rules.evaluate_rules(txn, rules.collect_rules(rules.rule_frame(spark, packs.ops_matrix())))
     return found.select("txn_id", "rule_id", "rule_desc")
 
 
+@query("rule_alerts_versioned", sql.RULE_ALERTS_VERSIONED)
+def rule_alerts_versioned(spark, sf):
+    """Three packs: the second replaces the first, the third comes and is deprecated again."""
+    changes = [("V1", "CREATE", "2024-01-01", "2024-01-01"), ("V2", "CREATE", "2024-01-02", "2024-01-10"), ("V3", "CREATE", "2024-01-14", "2024-01-15"),
+               ("V3", "DEPRECATE", "2024-01-20", None)]
+    given = spark.createDataFrame(changes, "version_id string, event string, at string, effective_from string").collect()
+    own = {"V1": packs.lowered_pack(), "V2": packs.stricter_pack("SAR-003", "amount_usd", 7000), "V3": packs.stricter_pack("CTR-001", "amount_usd", 9000)}
+    in_force = [(name, begin, until, rules.collect_rules(rules.rule_frame(spark, own[name]))) for name, begin, until in versions.validity(given)]
+    return rules.alerts_of_their_time(_enriched(spark, sf), in_force).select(*_ALERT, "version_id")
+
+
 @query("rule_nested", sql.NESTED)
 def rule_nested(spark, sf):
     found = rules.evaluate_rules(table(spark, sf, "txn"), rules.collect_rules(rules.rule_frame(spark, packs.NESTED)))
@@ -197,9 +212,8 @@ def bypass_ctr_alerts(spark, sf):
 def sar002_historical(spark, sf):
     txn = table(spark, sf, "txn").select("txn_id", "customer_id", "ts")
     counted = rolling.rolling_features(txn, "customer_id", "ts", {"1h": rolling.HOUR})
-    base = rules.hourly_baseline(txn, _instant("2024-01-16 00:00:00"), 15)
-    late = counted.filter(F.col("ts") >= _instant("2024-01-16 00:00:00"))
-    return rules.frequency_anomaly(late, base).select("txn_id", "customer_id", "txn_count_1h", F.round("mean_hourly", 6).alias("mean_hourly"))
+    found = rules.frequency_anomaly(counted, rules.hourly_baseline(txn))
+    return found.select("txn_id", "customer_id", "txn_count_1h", F.round("mean_hourly", 6).alias("mean_hourly"))
 
 
 @query("sar004_retention", sql.SAR004_RETENTION)
@@ -211,6 +225,12 @@ def sar004_retention(spark, sf):
                                              F.col("out_total_amount_24h").alias("out_amount_24h"))
 
 
+@query("sar004_flow", sql.SAR004_FLOW)
+def sar004_flow(spark, sf):
+    txn = table(spark, sf, "txn").select("txn_id", "customer_id", "ts", "direction", "amount_usd")
+    return flows.rapid_flows(txn).select("customer_id", "deposit_id", "withdrawal_id", "deposit_amount", "amount", "kept", "rapid")
+
+
 @query("rules_effective_asof", sql.VERSION_ASOF)
 def rules_effective_asof(spark, sf):
     return versions.with_effective_version(table(spark, sf, "txn").select("txn_id", "ts"), table(spark, sf, "rule_version")).select("txn_id", "version_id")
@@ -625,6 +645,48 @@ def stream_dedup(spark, sf):
     return _ntz(out, "window_start", "window_end", "created_at")
 
 
+@query("stream_dedup_anchored", sql.DEDUP_ANCHORED_CLOSED)
+def stream_dedup_anchored(spark, sf):
+    base = fresh_dir(spark, "anchored")
+    _drain(jobs.anchored_job(_stream_table(spark, sf, "alert_seed"), f"{base}/out", f"{base}/checkpoint", once=True))
+    return _ntz(spark.read.parquet(f"{base}/out").drop("batch_id"), "created_at")
+
+
+@query("stream_dedup_updates", sql.DEDUP_TUMBLING)
+def stream_dedup_updates(spark, sf):
+    """All windows, also those that the watermark has not passed."""
+    base = fresh_dir(spark, "updates")
+    alerts = _stream_table(spark, sf, "alert_seed")
+    _drain(jobs.aggregate_updates_job(alerts, f"{base}/out", f"{base}/checkpoint", once=True))
+    stamped = table(spark, sf, "alert_seed").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return _ntz(read_merged(spark, f"{base}/out", dedup.dedup_tumbling(stamped).schema), "window_start", "window_end", "created_at")
+
+
+@query("stream_archive", sql.STREAM_ARCHIVE)
+def stream_archive(spark, sf):
+    """The valid rows by day and type, from a batch that ran, ran again with half of its rows, and ran a third time."""
+    base = fresh_dir(spark, "archive")
+    _drain(jobs.normalize_job(_stream_table(spark, sf, "raw_txn"), f"{base}/valid", f"{base}/rejected", f"{base}/checkpoint", once=True, archive=f"{base}/archive"))
+    rows = spark.read.parquet(f"{base}/valid").filter("batch_id = 0").drop("batch_id")
+    for kept in (F.dayofmonth("ts") % 2 == 0, F.lit(True)):
+        archive_batch(rows.filter(kept), f"{base}/archive", 0)
+    return spark.read.parquet(f"{base}/archive").select("txn_id", "customer_id", "amount", F.col("dt").cast("string").alias("dt"), "txn_type")
+
+
+@query("stream_enrich_late", sql.STREAM_ENRICH_LATE)
+def stream_enrich_late(spark, sf):
+    """One row in fifty arrives in a second batch, when most of them are later than the watermark."""
+    base = fresh_dir(spark, "late")
+    txn = table(spark, sf, "txn").select("txn_id", "event_id", "customer_id", "counterparty_id", "ts", "amount_usd")
+    for part in (F.col("event_id") % 50 != 0, F.col("event_id") % 50 == 0):
+        txn.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    stream = spark.readStream.schema(txn.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    _drain(jobs.enrich_job(stream, f"{base}/out", f"{base}/checkpoint", once=True))
+    measures = [f"{m}_{w}" for w in ("1h", "24h") for m in ("txn_count", "total_amount", "max_amount", "unique_counterparties")]
+    return spark.read.parquet(f"{base}/out").select("txn_id", "customer_id", *measures, "late")
+
+
 @query("stream_enrich", sql.STREAM_ENRICH)
 def stream_enrich(spark, sf):
     base = fresh_dir(spark, "enrich")

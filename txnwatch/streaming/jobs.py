@@ -12,21 +12,35 @@ from txnwatch.operators.rules import all_alerts, collect_rules
 from txnwatch.operators.sanctions import sanction_alerts, screen
 from txnwatch.sources.lists import read_rules
 from txnwatch.sources.sinks import batch_partition_writer, overwrite_partitions, start, valid_and_rejected_writer
+from txnwatch.sources.versioned import archive_batch, merge_batch
+from txnwatch.streaming.anchored import dedup_anchored_stream
 from txnwatch.streaming.state import rolling_stream
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def normalize_job(rows: DataFrame, valid_path: str, rejected_path: str, checkpoint: str, once: bool = False):
-    """Valid rows normalized, the rest as dead letters; the source is read once."""
+def _archived(write, path: str, archive: str | None):
+    """``write``, and where ``archive`` names one, the batch's rows in a dated archive, from the files just written."""
+    if archive is None:
+        return write
+
+    def both(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        archive_batch(batch.sparkSession.read.parquet(f"{path}/batch_id={batch_id}"), archive, batch_id)
+    return both
+
+
+def normalize_job(rows: DataFrame, valid_path: str, rejected_path: str, checkpoint: str, once: bool = False, archive: str | None = None):
+    """Valid rows normalized, the rest as dead letters; the source is read once. ``archive`` keeps the valid rows by day and type."""
     write = valid_and_rejected_writer(valid_path, rejected_path, lambda df: normalize(df))
-    return start(rows.writeStream.foreachBatch(write), checkpoint, once)
+    return start(rows.writeStream.foreachBatch(_archived(write, valid_path, archive)), checkpoint, once)
 
 
-def enrich_job(txn: DataFrame, path: str, checkpoint: str, once: bool = False, features: DataFrame | None = None):
+def enrich_job(txn: DataFrame, path: str, checkpoint: str, once: bool = False, features: DataFrame | None = None, archive: str | None = None):
     """Main lane: all columns of the rows, rolling features from keyed state (needs the RocksDB state store, see
-    ``STATE_STORE``) and, where ``features`` is given, customer features as they are when a batch is written."""
-    write = batch_partition_writer(path)
+    ``STATE_STORE``) and, where ``features`` is given, customer features as they are when a batch is written.
+    Late rows whose window can't be known any more have null features and ``late`` set. ``archive`` as in layer 1."""
+    write = _archived(batch_partition_writer(path), path, archive)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         write(batch if features is None else lookup_features(batch, features, BYPASS), batch_id)
@@ -82,3 +96,22 @@ def aggregate_job(alerts: DataFrame, path: str, checkpoint: str, minutes: int =
     timed = alerts.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", watermark)
     merged = dedup_tumbling(timed, minutes)
     return start(merged.writeStream.foreachBatch(batch_partition_writer(path)).outputMode("append"), checkpoint, once)
+
+
+def aggregate_updates_job(alerts: DataFrame, path: str, checkpoint: str, minutes: int = 30, watermark: str = "30 minutes", once: bool = False):
+    """One alert per customer, rule and window as it stands after every batch: groups that a batch changed replace
+    their earlier rows in a versioned table (:func:`txnwatch.sources.versioned.read_merged`), by hours of the window."""
+    timed = alerts.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", watermark)
+    hour = F.date_format("window_start", "yyyy-MM-dd-HH")
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        merge_batch(batch, path, ["customer_id", "rule_id", "window_start"], hour, batch_id)
+
+    return start(dedup_tumbling(timed, minutes).writeStream.foreachBatch(process).outputMode("update"), checkpoint, once)
+
+
+def anchored_job(alerts: DataFrame, path: str, checkpoint: str, minutes: int = 30, watermark: str = "30 minutes", once: bool = False):
+    """One alert per group that starts at its first alert, written when the watermark has passed its end; late alerts
+    each for itself. Needs the RocksDB state store."""
+    groups = dedup_anchored_stream(alerts, minutes, watermark)
+    return start(groups.writeStream.foreachBatch(batch_partition_writer(path)).outputMode("append"), checkpoint, once)
