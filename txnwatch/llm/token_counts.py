@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from txnwatch.llm.common import kept_in_worker, text_slices
 
-KEPT_WORDS, KEPT_WALKS, KEPT_PAIRS = 300_000, 200_000, 500_000
+KEPT_WORDS, KEPT_WALKS, KEPT_PAIRS = 500_000, 200_000, 500_000
 KEPT_LENGTH = 48
 SPACE = "▁"
+_SHORT = (3, 2)
 _SPACES = re.compile("[ ▁]+")
 
 
@@ -46,11 +47,12 @@ class PrefixCounter:
         if spaces and max((self.score[p] for p in spaces if len(p) > 1), default=-np.inf) >= min(ranks):
             raise ValueError("runs of spaces must merge last")
         self.inside = {p[i:i + 2] for p in self.score for i in range(len(p) - 1)}
+        # sizes of tokens of four characters and more by their last four, the longest first
         ends: dict[str, set[int]] = {}
         for p in self.score:
-            if len(p) > 1:
-                ends.setdefault(p[-2:], set()).add(len(p))
-        self.sizes = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
+            if len(p) > 3:
+                ends.setdefault(p[-4:], set()).add(len(p))
+        self.sizes = {e: (*sorted(n, reverse=True), 3, 2) for e, n in ends.items()}
         # tokens that are their own encoding; the others are never reached by merging
         self.whole = {p for p in self.score if self.merge(p) == [p]}
         self.runs: list[int] = [0]
@@ -60,16 +62,25 @@ class PrefixCounter:
         self.pairs: dict[str, dict[str, bool]] = {}
         self.kept_pairs = 0
         self.walks: dict[str, tuple[list[str], list[int]]] = {}
-        self.words: dict[str, bytes] = {}
+        # words in two halves: those asked for since the last change of halves, and before
+        self.words: dict[str, tuple[int, bytes]] = {}
+        self.old_words: dict[str, tuple[int, bytes]] = {}
 
     def merge(self, text: str) -> list[str]:
         """Tokens of a short text: the best pair first, of equal ones the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = max((self.score.get(parts[i] + parts[i + 1], -np.inf), -i) for i in range(len(parts) - 1))
-            if best == -np.inf:
+        parts, score, none = list(text), self.score.get, -np.inf
+        worth = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while worth:
+            best = max(worth)
+            if best == none:
                 break
-            parts[-at:-at + 2] = [parts[-at] + parts[-at + 1]]
+            at = worth.index(best)
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del worth[at]
+            if at:
+                worth[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(worth):
+                worth[at] = score(parts[at] + parts[at + 1], none)
         return parts
 
     def adjoin(self, left: str, right: str) -> bool:
@@ -91,8 +102,8 @@ class PrefixCounter:
     def walk(self, chunk: str) -> tuple[list[str], list[int]]:
         """Last token and count of all prefixes of a chunk but the empty one.
 
-        Candidates for the last token are tried longest first; only sizes of tokens that end in the same two
-        characters come into question.
+        Candidates for the last token are tried longest first; only sizes of tokens that end in the same four
+        characters come into question, and three and two.
         """
         walks = self.walks
         known = walks.get(chunk)
@@ -108,7 +119,7 @@ class PrefixCounter:
             cut, first = 1, piece(chunk[0], chunk[0])
             last, counts = [first], [self.width(first)]
         for end in range(cut + 1, len(chunk) + 1):
-            for size in sizes(chunk[end - 2:end], ()):
+            for size in sizes(chunk[end - 4:end], _SHORT) if end > 3 else _SHORT:
                 if size > end:
                     continue
                 at = end - size
@@ -175,34 +186,47 @@ class PrefixCounter:
         totals[-1:] = [c + (apart if b else joined) for c, b in zip(counts, self.bare(last), strict=True)]
         return array("h", map(sub, totals, [0, *totals])).tobytes() + b"".join(map(self.steps, rest))
 
-    def word(self, word: str) -> bytes:
-        """Changes of the count, a character each, for spaces followed by other characters."""
+    def word(self, word: str) -> tuple[int, bytes]:
+        """Tokens of spaces followed by other characters, and the changes of the count, a character each."""
         known = self.words.get(word)
         if known is None:
-            if word[-1] in ".," and len(word) > 1 and word[-2:] not in self.inside:
-                known = self.word(word[:-1]) + self.word(word[-1])
-            elif word.startswith(SPACE * 2):
-                known = self.after_run(word, word.lstrip(SPACE))
-            else:
-                known = b"".join(map(self.steps, self.chunks(word)))
+            known = self.old_words.get(word)
+            if known is None:
+                known = self.made(word)
             if len(word) <= KEPT_LENGTH:
-                if len(self.words) >= KEPT_WORDS:
-                    self.words.clear()
+                if len(self.words) >= KEPT_WORDS // 2:
+                    self.old_words, self.words = self.words, {}
                 self.words[word] = known
         return known
 
+    def made(self, word: str) -> tuple[int, bytes]:
+        if word[-1] in ".," and len(word) > 1 and word[-2:] not in self.inside:
+            (n, front), (m, back) = self.word(word[:-1]), self.word(word[-1])
+            return n + m, front + back
+        if word.startswith(SPACE * 2):
+            table = self.after_run(word, word.lstrip(SPACE))
+        else:
+            table = b"".join(map(self.steps, self.chunks(word)))
+        return sum(memoryview(table).cast("h")), table
+
+    def entries(self, text: str) -> list[tuple[int, bytes]]:
+        """(tokens, changes) of the words of a text that isn't empty, behind the space that the library puts in front."""
+        plain = SPACE + text.replace(" ", SPACE)
+        if SPACE + SPACE in plain or plain.endswith(SPACE):
+            starts = [m.start() for m in re.finditer(f"(?<!{SPACE}){SPACE}", plain)]
+            return list(map(self.word, [plain[s:e] for s, e in zip(starts, [*starts[1:], None], strict=True)]))
+        get, make = self.words.get, self.word
+        return [get(w) or make(w) for w in map(SPACE.__add__, plain[1:].split(SPACE))]
+
+    def total(self, text: str) -> int:
+        """Tokens of a whole text: the last entry of its table, without joining the table."""
+        return sum([e[0] for e in self.entries(text)]) if text else 0
+
     def changes(self, text: str) -> bytes:
         """The table of a text: little-endian 16-bit changes of the token count, a character each."""
         if not text:
             return b""
-        plain = SPACE + text.replace(" ", SPACE)
-        if SPACE + SPACE in plain or plain.endswith(SPACE):
-            starts = [m.start() for m in re.finditer(f"(?<!{SPACE}){SPACE}", plain)]
-            words = [plain[s:e] for s, e in zip(starts, [*starts[1:], None], strict=True)]
-            table = b"".join(map(self.word, words))
-        else:
-            get, make = self.words.get, self.word
-            table = b"".join([get(w) or make(w) for w in map(SPACE.__add__, plain[1:].split(SPACE))])
+        table = b"".join([e[1] for e in self.entries(text)])
         # the space that the library puts in front has no place in the text
         head = int.from_bytes(table[:2], "little", signed=True) + int.from_bytes(table[2:4], "little", signed=True)
         return head.to_bytes(2, "little", signed=True) + table[4:]
@@ -238,9 +262,7 @@ def token_tables(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     return _texts(docs, text, doc_id).mapInArrow(run, "doc_id long, n_bytes long, changes binary")
 
 
-def _answers(doc_id: pa.Array, n_bytes: pa.Array, tables: list[bytes], budget: int) -> pa.RecordBatch:
-    total = [int(np.frombuffer(c, "<i2").sum(dtype=np.int64)) for c in tables]
-    fits = [truncation_point(c, budget) if n > budget else len(c) // 2 for c, n in zip(tables, total, strict=True)]
+def _answers(doc_id: pa.Array, n_bytes: pa.Array, total: list[int], fits: list[int], budget: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [doc_id, n_bytes, pa.array(total, pa.int64()), pa.array([n > budget for n in total], pa.bool_()), pa.array(fits, pa.int64())],
         ["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
@@ -257,15 +279,23 @@ def budgets(tables: DataFrame, budget: int) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            yield _answers(batch.column("doc_id"), batch.column("n_bytes"), batch.column("changes").to_pylist(), budget)
+            tables = batch.column("changes").to_pylist()
+            total = [int(np.frombuffer(c, "<i2").sum(dtype=np.int64)) for c in tables]
+            fits = [truncation_point(c, budget) if n > budget else len(c) // 2 for c, n in zip(tables, total, strict=True)]
+            yield _answers(batch.column("doc_id"), batch.column("n_bytes"), total, fits, budget)
     return tables.mapInArrow(run, _ANSWERS)
 
 
 def count_tokens(docs: DataFrame, path: str, budget: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """What :func:`budgets` says about the tables of ``docs``, which are used where they are made and not stored."""
+    """What :func:`budgets` says about the tables of ``docs``, which are used where they are made and not stored.
+
+    A text within the budget needs the last entry of its table only, the sum of its words' last entries.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
         for batch in text_slices(batches):
-            tables = [counter.changes(t or "") for t in batch.column("text").to_pylist()]
-            yield _answers(batch.column("doc_id"), batch.column("n_bytes"), tables, budget)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            total = list(map(counter.total, texts))
+            fits = [truncation_point(counter.changes(t), budget) if n > budget else len(t) for t, n in zip(texts, total, strict=True)]
+            yield _answers(batch.column("doc_id"), batch.column("n_bytes"), total, fits, budget)
     return _texts(docs, text, doc_id).mapInArrow(run, _ANSWERS)
