@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import materialize, row_key
+from txnwatch.llm.common import materialize, release, row_key
 
 #: Words of a template window.
 WINDOW = 8
@@ -35,6 +35,8 @@ UNITS = ["mm", "cm", "km", "mg", "kg", "ml", "kwh", "mph", "inches", "inch", "fe
 #: Private-use characters: no letter, digit or mark of any script.
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 _NUMBER = r"[0-9][0-9.,:/]*"
+#: White space behind a number, before a unit perhaps.
+_GAP = rf"{NUMBER}[ \t\n\r]+"
 #: A capitalised word, up to where :data:`_APART` ends it, so that names are as many words with placeholders as without.
 _NAME = rf"(?<![A-Za-z]|[^\x00-\x7f])(?![{NUMBER}{NAME}{UNIT}])\p{{Lu}}(?:[A-Za-z]|[^\x00-\x7f])+"
 _UNIT = rf"(?i)(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![\p{{L}}0-9])"
@@ -45,7 +47,7 @@ _APART = r"[\x00-\x60\x7b-\x7f]+"
 def _marked(text: Column, names: bool) -> Column:
     """The text with placeholders, in the case it had. Marks that stand in the text already are taken out."""
     plain = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   ")
-    numbered = F.when(plain.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(plain, _NUMBER, f" {NUMBER} "), f"{NUMBER}  ", f"{NUMBER} ")).otherwise(plain)
+    numbered = F.when(plain.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(plain, _NUMBER, f" {NUMBER} "), _GAP, f"{NUMBER} ")).otherwise(plain)
     measured = F.when(numbered.contains(NUMBER), F.regexp_replace(numbered, _UNIT, UNIT)).otherwise(numbered)
     return F.regexp_replace(measured, _NAME, f" {NAME} ") if names else measured
 
@@ -63,7 +65,7 @@ def both_forms(text: Column) -> Column:
 def slot_values(text: Column) -> Column:
     """The values behind the placeholders, in the order of the text: numbers first, then names, then units."""
     plain = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "   ")
-    numbered = F.regexp_replace(F.regexp_replace(plain, _NUMBER, f" {NUMBER} "), f"{NUMBER}  ", f"{NUMBER} ")
+    numbered = F.regexp_replace(F.regexp_replace(plain, _NUMBER, f" {NUMBER} "), _GAP, f"{NUMBER} ")
     return F.named_struct(
         F.lit("numbers"), F.transform(F.regexp_extract_all(plain, F.lit(f"({_NUMBER})"), 1), lambda v: F.rtrim(v, F.lit(".,:/"))),
         F.lit("names"), F.regexp_extract_all(F.regexp_replace(numbered, _UNIT, UNIT), F.lit(f"({_NAME})"), 1),
@@ -95,10 +97,11 @@ def _slots(words: str, values: str, start: Column, length: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, version, named, item_words, item_values, length, of, item_at, hash, anchor): the windows of all items.
+    """(item, version, named, item_words, item_values, length, of, item_at, hash, anchors, long_run): the windows of all items.
 
-    An item shorter than a window is one window. ``anchor`` is the hash of the longest ``span`` plain words that
-    stand next to each other in it: three, or one where no three do. A text without them can't hold the window. Windows of placeholders alone say nothing and are left out.
+    An item shorter than a window is one window. ``anchors`` are the hashes of all runs of three plain words in it, or
+    of its single plain words where no three stand next to each other. A text that lacks one of them can't hold the
+    window. Windows of placeholders alone say nothing and are left out.
     """
     whole = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("t")).where("item IS NOT NULL").distinct()
     ready = whole.select("item", F.xxhash64(template_words(F.col("t"), False)).alias("version"), F.explode(both_forms(F.col("t"))).alias("form"),
@@ -109,54 +112,94 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, item_id: str = "it
     # without a name both forms of a window are the same
     every = every.where(~F.col("named") | F.array_contains(F.slice("item_words", F.col("item_at") + 1, F.col("length")), NAME))
     own = F.slice("item_words", F.col("item_at") + 1, F.col("length"))
-    nothing = F.lit(None).cast("struct<n: int, h: bigint>")
 
-    def rank(span: int) -> Column:
+    def runs(span: int) -> Column:
         def one(w: Column, i: Column) -> Column:
             run = [w, *(F.get(own, i + k) for k in range(1, span))]
-            plain = reduce(Column.__and__, map(_plain, run))
-            return F.when(plain, F.named_struct(F.lit("n"), sum(map(F.length, run[1:]), F.length(w)), F.lit("h"), F.xxhash64(*run)))
-        return F.coalesce(F.array_max(F.transform(own, one)), nothing)
-    told = every.withColumn("run", rank(SPAN)).withColumn("anchor", F.coalesce("run.h", rank(1).getField("h")))
-    told = told.withColumn("span", F.when(F.col("run").isNotNull(), SPAN).otherwise(1)).drop("run").where("anchor IS NOT NULL")
+            return F.when(reduce(Column.__and__, map(_plain, run)), F.xxhash64(*run))
+        return F.array_distinct(F.array_compact(F.transform(own, one)))
+    told = every.withColumn("long", runs(SPAN))
+    told = told.withColumn("long_run", F.size("long") > 0).withColumn("anchors", F.when(F.col("long_run"), F.col("long")).otherwise(runs(1)))
+    told = told.drop("long").where("size(anchors) > 0")
     count = told.groupBy("item", "version").agg(F.countDistinct("item_at").alias("of"))
     return told.join(count, ["item", "version"])
 
 
-def _holding(docs: DataFrame, bench: DataFrame, most: int) -> DataFrame:
-    """The distinct rows (doc, text) that hold the anchor of some window: no other row can hold a window."""
-    split = docs.select("doc", "text", F.split(F.lower("text"), _APART).alias("words"))
-    found = None
-    for span in (SPAN, 1):
-        anchors = bench.where(F.col("span") == span).select("anchor").distinct()
-        n = anchors.count()
-        if not n:
-            continue
-        at = split.select("doc", "text", "words", F.posexplode("words").alias("at", "word"))
-        key = F.xxhash64("word", *(F.get("words", F.col("at") + k) for k in range(1, span)))
-        hits = at.withColumn("anchor", key).join(F.broadcast(anchors) if n <= most else anchors, "anchor", "left_semi").select("doc", "text")
-        found = hits if found is None else found.union(hits)
-    return docs.limit(0) if found is None else found.dropDuplicates(["doc"])
+def _anchor_places(docs: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
+    """(doc, anchor): the runs of three words, and the words, of ``docs`` that are candidates. Only keys and hashes move."""
+    at = docs.select("doc", F.split(F.lower("text"), _APART).alias("words")).select("doc", "words", F.posexplode("words").alias("at", "word"))
+    long = F.xxhash64("word", *(F.get("words", F.col("at") + k) for k in range(1, SPAN)))
+    keyed = at.select("doc", long.alias("run"), F.xxhash64("word").alias("single"))
+    own = candidates.select("anchor", "span")
+    own = F.broadcast(own) if own.count() <= most else own
+    runs, singles = own.where(F.col("span") == SPAN).select(F.col("anchor").alias("run"), F.lit(True).alias("is_run")), own.where("span = 1").select(
+        F.col("anchor").alias("single"), F.lit(True).alias("is_single"))
+    met = keyed.join(runs, "run", "left").join(singles, "single", "left").where("is_run OR is_single")
+    both = F.array_compact(F.array(F.when(F.col("is_run"), F.col("run")), F.when(F.col("is_single"), F.col("single"))))
+    return met.select("doc", F.explode(both).alias("anchor"))
+
+
+def _holding(docs: DataFrame, bench: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct rows (doc, text) that hold the anchor of some window, and the windows that some row may hold.
+
+    Each window is looked for by the anchor that stands at the fewest places of all documents. What stands nowhere
+    rules its windows out. One pass over the texts finds the places of all candidates, which are keys and hashes.
+    """
+    candidates = materialize(bench.select(F.explode("anchors").alias("anchor"), F.when(F.col("long_run"), SPAN).otherwise(1).alias("span")).distinct(), "anchor-candidates")
+    places = materialize(_anchor_places(docs, candidates, most), "anchor-places")
+    counts = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    each = bench.select("item", "version", "named", "item_at", F.explode("anchors").alias("anchor")).join(counts, "anchor", "left")
+    window = ["item", "version", "named", "item_at"]
+    rarest = each.groupBy(*window).agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "anchor")).alias("rarest")).where("rarest.n > 0")
+    rarest = materialize(rarest.select(*window, "rarest.anchor"), "rarest-anchors")
+    found = places.join(rarest.select("anchor").distinct(), "anchor", "left_semi").select("doc").distinct()
+    found = materialize(found, "anchored-keys")
+    held = materialize(docs.join(found, "doc", "left_semi").dropDuplicates(["doc"]), "anchored-documents")
+    possible = materialize(bench.join(rarest, window, "left_semi").drop("anchors", "long_run"), "possible-windows")
+    release(candidates, places, rarest, found)
+    return held, possible
+
+
+def _consistent(matches: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The matches all of whose pairs agree with the mapping of their document and item, and the groups that had others."""
+    votes = matches.select(*group, F.explode("pairs").alias("pair")).groupBy(*group, "pair").agg(F.count(F.lit(1)).alias("n"))
+    votes = votes.select(*group, "pair.doc_value", "pair.item_value", "n")
+
+    def first(side: str, other: str) -> Column:
+        return F.row_number().over(Window.partitionBy(*group, side).orderBy(F.desc("n"), other))
+    ranked = votes.withColumns({"of_item": first("item_value", "doc_value"), "of_doc": first("doc_value", "item_value")})
+    stray = materialize(ranked.where("of_item > 1 OR of_doc > 1").select(
+        F.struct(*group, F.struct("doc_value", "item_value").alias("pair")).alias("stray")), "stray-pairs")
+    # a window is its places: pairs go to the few groups that have strays, and only these windows leave
+    window = F.struct(*group, "item_at", "at", "length").alias("window")
+    gone = matches.select(window, F.explode("pairs").alias("pair"), *group).withColumn("stray", F.struct(*group, "pair")).join(stray, "stray", "left_semi").select("window").distinct()
+    kept = matches.withColumn("window", window).join(gone, "window", "left_anti").drop("window")
+    return kept, stray.select(*(F.col(f"stray.{c}").alias(c) for c in group)).distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, text: str = "text", doc_id: str = "doc_id",
           broadcast_windows: int = BROADCAST_WINDOWS, run: int = RUN) -> DataFrame:
-    """(doc, item_id, windows, of, coverage, first_word, last_word, reparameterised) of items that documents hold.
+    """(doc, item_id, windows, of, coverage, first_word, last_word, reparameterised, consistent) of items that documents hold.
 
     ``windows`` of the item's ``of`` windows stand in the document with consistent slots, ``coverage`` is their share;
     ``reparameterised`` tells whether some slot has another value than in the item. A share below ``coverage`` counts
     too where ``run`` adjacent windows of the item stand next to each other in the document.
 
+    Slots are consistent in two ways. Inside a window one value of the item stands for one value of the document and the
+    other way round. Over all windows that a document and an item share, each value goes with the one that most windows
+    pair it with (of equally many the smaller), in both directions; windows with another pair don't count, and
+    ``consistent`` tells whether there were none.
+
     Null and empty texts and items hold nothing; repeated rows are reported once; an item with a null id takes no
     part; items that repeat under one id count as one item if their texts are the same, and each for itself otherwise.
     An item shorter than the window must stand in the document as a whole. Empty tables give an empty table.
     """
-    bench = materialize(benchmark_windows(items, window), "benchmark-windows")
+    every = materialize(benchmark_windows(items, window), "benchmark-windows")
+    slim = docs.select(row_key(doc_id, text).alias("doc"), F.col(text).alias("text"))
+    held, bench = _holding(slim, every, broadcast_windows)
     lengths = [r["length"] for r in bench.select("length").distinct().orderBy("length").collect()]  # no more than ``window``
     hashes = bench.select("hash", "length", "named").distinct()
     wanted = F.broadcast(hashes) if hashes.count() <= broadcast_windows else hashes
-    slim = docs.select(row_key(doc_id, text).alias("doc"), F.col(text).alias("text"))
-    held = materialize(_holding(slim, bench, broadcast_windows), "anchored-documents")
     # the one-element array keeps the words from being worked out again for every window
     words = held.select("doc", F.explode(both_forms(F.col("text"))).alias("form")).select("doc", "form.*")
     per_length = [_placed(_windows(F.col("words"), F.lit(n)), n) for n in lengths]
@@ -175,9 +218,10 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: flo
     pairs = F.array_distinct(F.arrays_zip(F.col("slots").alias("doc_value"), F.col("item_slots").alias("item_value")))
     alike = (F.size(F.array_distinct("slots")) == F.size(pairs)) & (F.size(F.array_distinct("item_slots")) == F.size(pairs))
     met = met.withColumn("pairs", pairs).where((F.size("slots") == F.size("item_slots")) & alike)
-    slim = met.select("doc", "item", "version", "item_at", "of", "at", "length", (F.col("slots") != F.col("item_slots")).alias("other"))
+    slim = met.select("doc", "item", "version", "item_at", "of", "at", "length", (F.col("slots") != F.col("item_slots")).alias("other"), "pairs")
     slim = materialize(slim, "window-matches")
     group = ["doc", "item", "version"]
+    slim, strays = _consistent(slim, group)
     # windows in a row: neighbours in the item stand next to each other in the document
     line = slim.select(*group, (F.col("at") - F.col("item_at")).alias("shift"), "item_at").distinct()
     nth = F.row_number().over(Window.partitionBy(*group, "shift").orderBy("item_at"))
@@ -188,8 +232,10 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: flo
         F.max(F.col("at") + F.col("length") - 1).alias("last_word"), F.max("other").alias("reparameterised")).alias("p")
     same = reduce(Column.__and__, (F.col(f"p.{c}").eqNullSafe(F.col(f"l.{c}")) for c in group))
     share = F.col("windows") / F.col("of")
-    return per_item.join(longest.alias("l"), same).where((share >= coverage) | (F.col("longest") >= run)).select(
-        F.col("p.doc").alias("doc"), F.col("p.item").alias("item_id"), "windows", "of", share.alias("coverage"), "first_word", "last_word", "reparameterised")
+    stray = reduce(Column.__and__, (F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group))
+    found = per_item.join(longest.alias("l"), same).where((share >= coverage) | (F.col("longest") >= run)).join(strays.alias("s"), stray, "left")
+    return found.select(F.col("p.doc").alias("doc"), F.col("p.item").alias("item_id"), "windows", "of", share.alias("coverage"), "first_word", "last_word",
+                        "reparameterised", F.col("s.doc").isNull().alias("consistent"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

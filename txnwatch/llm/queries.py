@@ -76,7 +76,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("doc.id").alias("doc_id"), "item_id", "windows", F.col("of").alias("item_windows"), F.round("coverage", 6).alias("coverage"),
-                        "first_word", "last_word", "reparameterised")
+                        "first_word", "last_word", "reparameterised", "consistent")
 
 
 def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
