@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 from txnwatch.session import fresh_dir
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the job go when the table stands, not only when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.work_path = path
     return table

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import materialize
+from txnwatch.llm.common import materialize, release
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: same orderable type) to (node, root): the root is the smallest node that can be reached.
 
-    Loops, repeated edges and edges with a null end are ignored; nodes without any edge do not appear.
+    Loops, repeated edges and edges with a null end are ignored; nodes without any edge do not appear. The result reads
+    the edge table of the last round, which ``release`` removes; those of the rounds before are gone.
     """
     table = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -42,7 +43,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = table.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
         if now == before or not now[0]:
             break
-        before = now
+        before, old = now, table
         table = materialize(_small_star(_large_star(table)), "edges")
+        release(old)
     roots = table.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(table.select(F.col("b"), F.col("b")).distinct())
+    found = roots.union(table.select(F.col("b"), F.col("b")).distinct())
+    found.work_path = table.work_path
+    return found

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import kept_in_worker, materialize, row_key, text_slices
+from txnwatch.llm.common import kept_in_worker, materialize, release, row_key, text_slices
 from txnwatch.llm.components import connected_components
 
 #: Words of a paragraph window.
@@ -137,47 +137,60 @@ def seeds_of(bands: int, rows: int) -> np.ndarray:
     return _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * _MIX)
 
 
+def _lists(values: list[np.ndarray], kind: np.dtype, arrow: pa.DataType) -> pa.ListArray:
+    """One list per document, without Python objects for the values."""
+    flat = np.concatenate(values).astype(kind) if values else np.empty(0, kind)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(v) for v in values]))), pa.int32()), pa.array(flat, arrow))
+
+
 def _units(bands: int, rows: int, window: int, shingle: int):
-    """Lines with their band keys, and windows, of every document."""
-    seeds = seeds_of(bands, rows)
+    """Per document: places and hashes of its lines, their band keys one after the other, and places and hashes of its windows."""
+    seeds, nothing = seeds_of(bands, rows), np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            at, start, length, unit, keys = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for text in batch.column("text").to_pylist():
                 codes, lines = paragraphs(text or "")
                 bare = codes & ~np.uint64(1)
                 long = [(s, n) for s, n in [*lines, *wrapped(text or "")] if n >= shingle]
-                for k in range(0, len(long), 256):
-                    some = long[k:k + 256]
-                    keys += list(band_keys(bare, some, seeds, bands, rows, shingle))
-                    at += [i] * len(some)
-                    start += [s for s, _ in some]
-                    length += [n for _, n in some]
-                    unit += [xxhash.xxh64_intdigest(bare[s:s + n].tobytes(), n) for s, n in some]
-                if len(codes) < window:
-                    continue
-                ends = (codes[:-1] & np.uint64(1)).astype(bool)
-                first = np.concatenate(([True], ends))
-                first[[s for s, _ in lines]] = True
-                hashes = _runs(bare, window)
-                first = first[:len(hashes)]
-                first[lowest(hashes, SPAN)] = True
-                starts = np.flatnonzero(first)
-                hashes = hashes[starts]
-                at += [i] * len(starts)
-                start += starts.tolist()
-                length += [window] * len(starts)
-                unit += hashes.tolist()
-                keys += [None] * len(starts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(pa.array(at, pa.int32())), pa.array(start, pa.int32()), pa.array(length, pa.int32()),
-                 pa.array(np.array(unit, np.uint64).astype(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc", "start", "length", "unit", "keys"])
+                keys = [band_keys(bare, long[k:k + 256], seeds, bands, rows, shingle).ravel() for k in range(0, len(long), 256)]
+                names = np.array([xxhash.xxh64_intdigest(bare[s:s + n].tobytes(), n) for s, n in long], np.uint64)
+                starts, hashes = nothing, np.empty(0, np.uint64)
+                if len(codes) >= window:
+                    first = np.concatenate(([True], (codes[:-1] & np.uint64(1)).astype(bool)))
+                    first[[s for s, _ in lines]] = True
+                    hashes = _runs(bare, window)
+                    first = first[:len(hashes)]
+                    first[lowest(hashes, SPAN)] = True
+                    starts = np.flatnonzero(first)
+                    hashes = hashes[starts]
+                places = np.array(long, np.int64).reshape(-1, 2)
+                for column, value in zip(out, (places[:, 0], places[:, 1], names.view(np.int64), np.concatenate(keys) if keys else nothing, starts, hashes.view(np.int64)), strict=True):
+                    column.append(value)
+            kinds = [(np.int32, pa.int32()), (np.int32, pa.int32()), (np.int64, pa.int64()), (np.int64, pa.int64()), (np.int32, pa.int32()), (np.int64, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(_lists(c, *k) for c, k in zip(out, kinds, strict=True))],
+                                             ["doc", "line_start", "line_length", "line_unit", "line_keys", "window_start", "window_unit"])
     return run
 
 
-_UNITS = "doc struct<id: bigint, content: bigint>, start int, length int, unit long, keys array<bigint>"
+_UNITS = ("doc struct<id: bigint, content: bigint>, line_start array<int>, line_length array<int>, line_unit array<bigint>, line_keys array<bigint>, "
+          "window_start array<int>, window_unit array<bigint>")
+
+
+def _lines(units: DataFrame, bands: int) -> DataFrame:
+    """(doc, start, length, unit, keys) per line."""
+    each = units.select("doc", "line_keys", F.posexplode(F.arrays_zip("line_start", "line_length", "line_unit")).alias("i", "line"))
+    return each.select("doc", F.col("line.line_start").alias("start"), F.col("line.line_length").alias("length"), F.col("line.line_unit").alias("unit"),
+                       F.slice("line_keys", F.col("i") * bands + 1, F.lit(bands)).alias("keys"))
+
+
+def _places(units: DataFrame, window: int) -> DataFrame:
+    """(doc, start, length, unit, line) per line and per window."""
+    def each(start: str, length: Column, unit: str, line: bool, *more: str) -> DataFrame:
+        return units.select("doc", F.explode(F.arrays_zip(start, unit, *more)).alias("p")).select(
+            "doc", F.col(f"p.{start}").alias("start"), length.alias("length"), F.col(f"p.{unit}").alias("unit"), F.lit(line).alias("line"))
+    return each("line_start", F.col("p.line_length"), "line_unit", True, "line_length").union(each("window_start", F.lit(window), "window_unit", False))
 
 
 def _shingle_sets(shingle: int):
@@ -216,7 +229,9 @@ def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle:
     """
     slots = lines.select("unit", F.explode("keys").alias("key"))
     buckets = slots.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("key", "low")
-    slots = materialize(slots.join(_bounded(materialize(buckets, "buckets")), "key").distinct(), "colliding-lines")
+    shared = materialize(buckets, "buckets")
+    slots = materialize(slots.join(_bounded(shared), "key").distinct(), "colliding-lines")
+    release(shared)
     colliding = materialize(slots.select("unit").distinct(), "colliding-units")
     few = colliding.count() <= BROADCAST_ROWS
     some = lines.select("unit", "doc", "start", "length").join(F.broadcast(colliding) if few else colliding, "unit").groupBy("unit").agg(
@@ -228,6 +243,7 @@ def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle:
     sets = materialize(sets.dropDuplicates(["unit"]), "shingle-sets")
     stars = slots.where("unit > low").select(F.col("low").alias("a"), F.col("unit").alias("b")).distinct()
     links = materialize(_jaccard(stars, sets, similarity), "star-links")
+    release(colliding, wanted)
     roots = connected_components(links)
     rooted = slots.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("unit", "key", F.coalesce("root", "unit").alias("root"))
     rooted = materialize(rooted, "rooted-lines")
@@ -243,7 +259,9 @@ def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle:
             & (F.array_min(F.array_intersect("x_keys", "y_keys")) == minor["key"]) & (both >= similarity * (n_x + n_y - both)))
     minor = minor.where("root <> major").drop("root", "major")
     more = minor.join(other, (minor["key"] == other["key"]) & link).select(F.least("x_unit", "y_unit").alias("a"), F.greatest("x_unit", "y_unit").alias("b")).distinct()
-    return connected_components(links.union(more))
+    found = connected_components(links.union(more))
+    release(slots, sets, links, roots, rooted, mixed)
+    return found
 
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, shingle: int = SHINGLE, window: int = WINDOW) -> DataFrame:
@@ -263,13 +281,15 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     bands, rows = tune_bands(similarity, recall)
     slim = docs.select(row_key().alias("doc"), "text")
     units = materialize(slim.mapInArrow(_units(bands, rows, window, shingle), _UNITS), "units")
-    lines = units.where("keys IS NOT NULL")
-    roots = materialize(similar_units(docs, lines, similarity, shingle), "line-clusters")
-    # most windows stand in one place only: they go before anything else is moved
-    again = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
+    components = similar_units(docs, _lines(units, bands), similarity, shingle)
+    roots = materialize(components, "line-clusters")
+    release(components)
+    # most windows stand in one place only: hashes alone are counted, and only places of repeated ones are written
+    hashes = units.select(F.explode("line_unit").alias("unit")).union(units.select(F.explode("window_unit")))
+    again = hashes.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("unit")
     again = materialize(again.union(roots.select("node")).distinct(), "repeated-units")
-    kept = units.select("doc", "start", "length", "unit", F.col("keys").isNotNull().alias("line")).join(_bounded(again), "unit")
-    kept = materialize(kept, "repeated-places")
+    kept = materialize(_places(units, window).join(_bounded(again), "unit").select("doc", "start", "length", "unit", "line"), "repeated-places")
+    release(units, again)
     named = F.struct(F.when(F.col("line"), "paragraph").otherwise("passage").alias("kind"), F.coalesce("root", "unit").alias("of")).alias("cluster")
     place = F.struct(F.col("doc.id").isNull().alias("none"), "doc", "start").alias("place")
     lined = kept.where("line").join(roots.withColumnRenamed("node", "unit"), "unit", "left")
@@ -280,8 +300,12 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
         "doc", "start", "length", F.col("cluster.kind").alias("kind"), F.col("first.doc").alias("to_doc"), F.col("first.start").alias("to"),
         (F.col("place") != F.col("first")).alias("removed"))
     found = materialize(_joined(found.distinct()), "joined-passages")
-    return _joined(_extended(docs, found)).select("doc", "start", "length", "kind", F.col("to_doc.id").alias("cluster_doc"),
-                                            F.col("to").alias("cluster_start"), "removed")
+    release(kept, roots)
+    longer, sides = _extended(docs, found)
+    result = materialize(_joined(longer).select("doc", "start", "length", "kind", F.col("to_doc.id").alias("cluster_doc"),
+                                                F.col("to").alias("cluster_start"), "removed"), "repeated-passages")
+    release(found, sides)
+    return result
 
 
 def _sides(reach: int):
@@ -304,8 +328,8 @@ def _sides(reach: int):
     return run
 
 
-def _extended(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Removed passages with the words at both ends that agree with the first occurrence.
+def _extended(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Removed passages with the words at both ends that agree with the first occurrence, and the written sides.
 
     A run of equal words goes on for fewer than ``SPAN`` words beyond its first and last common window, for else
     there would be another one: so few words a side are compared.
@@ -326,7 +350,7 @@ def _extended(docs: DataFrame, found: DataFrame) -> DataFrame:
     more = both.withColumn("front", agree("before", "to_before")).withColumn("behind", agree("after", "to_after"))
     more = more.select("doc", (F.col("start") - F.col("front")).alias("start"), (F.col("length") + F.col("front") + F.col("behind")).alias("length"),
                        "kind", "to_doc", (F.col("to") - F.col("front")).alias("to"), "removed")
-    return more.union(found.where("NOT (kind = 'passage' AND removed)").select(more.columns))
+    return more.union(found.where("NOT (kind = 'passage' AND removed)").select(more.columns)), sides
 
 
 def _joined(found: DataFrame) -> DataFrame:
