@@ -26,7 +26,7 @@ SPAN = 3
 COVERAGE = 0.5
 #: Adjacent windows that a document must hold, in the same order, if it holds a smaller share: 13 words in a row.
 RUN = 6
-#: Windows of a benchmark that are sent to all executors; a larger one is joined by a shuffle.
+#: Windows of a benchmark, or keys of documents, that are sent to all executors; more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 #: Units of measure that may follow a number.
 UNITS = ["mm", "cm", "km", "mg", "kg", "ml", "kwh", "mph", "inches", "inch", "feet", "foot", "yards", "miles", "mile",
@@ -139,24 +139,43 @@ def _anchor_places(docs: DataFrame, candidates: DataFrame, most: int) -> DataFra
     return met.select("doc", F.explode(both).alias("anchor"))
 
 
-def _holding(docs: DataFrame, bench: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct rows (doc, text) that hold the anchor of some window, and the windows that some row may hold.
+def _needed(bench: DataFrame, coverage: float, run: int) -> DataFrame:
+    """The windows by whose anchors documents are looked for.
+
+    Windows without a run of three plain words have only words as anchors, which stand in many documents. They are
+    left out where they can't make an item found by themselves: where fewer positions of the item have such a window
+    than ``coverage`` asks for, and fewer than ``run`` of them are adjacent. A document in which such an item is found
+    holds another window of it as well, and so another anchor.
+    """
+    weak = bench.where(~F.col("long_run")).select("item", "version", "item_at", "of").distinct()
+    nth = F.row_number().over(Window.partitionBy("item", "version").orderBy("item_at"))
+    rows = weak.withColumn("row", F.col("item_at") - nth).groupBy("item", "version", "row").agg(F.count(F.lit(1)).alias("n"), F.max("of").alias("of"))
+    alone = rows.groupBy("item", "version").agg(F.sum("n").alias("all"), F.max("n").alias("longest"), F.max("of").alias("of"))
+    alone = alone.where((F.col("all") >= coverage * F.col("of")) | (F.col("longest") >= run)).select("item", "version", F.lit(True).alias("alone"))
+    return bench.join(alone, ["item", "version"], "left").where("long_run OR alone").drop("alone")
+
+
+def _holding(docs: DataFrame, bench: DataFrame, coverage: float, run: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct rows (doc, text) in which an item may be found, and the windows that some row may hold.
 
     Each window is looked for by the anchor that stands at the fewest places of all documents. What stands nowhere
     rules its windows out. One pass over the texts finds the places of all candidates, which are keys and hashes.
     """
-    candidates = materialize(bench.select(F.explode("anchors").alias("anchor"), F.when(F.col("long_run"), SPAN).otherwise(1).alias("span")).distinct(), "anchor-candidates")
+    needed = materialize(_needed(bench, coverage, run).select("item", "version", "named", "item_at", "anchors", F.when(F.col("long_run"), SPAN).otherwise(1).alias("span")), "needed-windows")
+    candidates = materialize(needed.select(F.explode("anchors").alias("anchor"), "span").distinct(), "anchor-candidates")
     places = materialize(_anchor_places(docs, candidates, most), "anchor-places")
     counts = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    each = bench.select("item", "version", "named", "item_at", F.explode("anchors").alias("anchor")).join(counts, "anchor", "left")
     window = ["item", "version", "named", "item_at"]
-    rarest = each.groupBy(*window).agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "anchor")).alias("rarest")).where("rarest.n > 0")
-    rarest = materialize(rarest.select(*window, "rarest.anchor"), "rarest-anchors")
-    found = places.join(rarest.select("anchor").distinct(), "anchor", "left_semi").select("doc").distinct()
+    each = needed.select(*window, F.explode("anchors").alias("anchor")).join(counts, "anchor", "left")
+    rarest = each.groupBy(*window).agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "anchor")).alias("rarest"))
+    rarest = materialize(rarest.select(*window, "rarest.anchor", F.col("rarest.n").alias("n")), "rarest-anchors")
+    found = places.join(rarest.where("n > 0").select("anchor").distinct(), "anchor", "left_semi").select("doc").distinct()
     found = materialize(found, "anchored-keys")
-    held = materialize(docs.join(found, "doc", "left_semi").dropDuplicates(["doc"]), "anchored-documents")
-    possible = materialize(bench.join(rarest, window, "left_semi").drop("anchors", "long_run"), "possible-windows")
-    release(candidates, places, rarest, found)
+    # keys of two numbers: sent to all executors up to a counted size
+    keys = F.broadcast(found) if found.count() <= most else found
+    held = materialize(docs.join(keys, "doc", "left_semi").dropDuplicates(["doc"]), "anchored-documents")
+    possible = materialize(bench.join(rarest.where("n = 0"), window, "left_anti").drop("anchors", "long_run"), "possible-windows")
+    release(needed, candidates, places, rarest, found)
     return held, possible
 
 
@@ -196,7 +215,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: flo
     """
     every = materialize(benchmark_windows(items, window), "benchmark-windows")
     slim = docs.select(row_key(doc_id, text).alias("doc"), F.col(text).alias("text"))
-    held, bench = _holding(slim, every, broadcast_windows)
+    held, bench = _holding(slim, every, coverage, run, broadcast_windows)
     lengths = [r["length"] for r in bench.select("length").distinct().orderBy("length").collect()]  # no more than ``window``
     hashes = bench.select("hash", "length", "named").distinct()
     wanted = F.broadcast(hashes) if hashes.count() <= broadcast_windows else hashes
