@@ -262,6 +262,11 @@ _PARTY_BEST = (_candidates("SELECT counterparty_name AS name FROM txn_party"), _
 SANCTION_ALERTS = _with(_PARTY, *_PARTY_BEST, body="""SELECT sha256(concat_ws('|', t.txn_id, 'SAN-001')) AS alert_id, t.txn_id, t.customer_id, 'SANCTION' AS alert_type,
  'CRITICAL' AS severity, 'SAN-001' AS rule_id, concat('Sanctions match: ''', matched_name, ''' (similarity: ', printf('%.2f', similarity), ')') AS rule_desc,
  round(CAST(similarity AS FLOAT), 4) AS score, 'NEW' AS status, t.ts AS created_at FROM txn_party t JOIN best b ON t.counterparty_name = b.name""")
+ALL_ALERTS = _with([*_FEATURE_VIEWS, *_PARTY], _CANON, _PROFILE, _FEATURES, _LOOKUP, _ENRICHED, *_PARTY_BEST,
+                   "u AS (" + "\nUNION ALL\n".join([*(_rule_alerts("enr", r) for r in _RULES), _bypass("enr"), _alert(
+                       "(SELECT n.*, b.matched_name, b.similarity FROM canon n JOIN txn_party t ON n.txn_id = t.txn_id JOIN best b ON t.counterparty_name = b.name)", "SAN-001", "SANCTION",
+                       "CRITICAL", "similarity", "concat('Sanctions match: ''', matched_name, ''' (similarity: ', printf('%.2f', similarity), ')')", "TRUE")]) + ")",
+                   body="SELECT * REPLACE (round(score, 4) AS score) FROM u")
 SANCTION_HITS = _with(_PARTY, *_PARTY_BEST, body="""SELECT t.txn_id, t.customer_id, t.counterparty_id, matched_name, list_source, round(similarity, 6) AS similarity,
  t.ts AS created_at FROM txn_party t JOIN best b ON t.counterparty_name = b.name""")
 SANCTION_EXACT = _with(["screen_name", "sanction_name"], body=f"""SELECT name, {_norm('name')} AS norm FROM screen_name
@@ -495,3 +500,6 @@ BATCH_DEPOSITS = _with(["txn"], body="""SELECT customer_id, counterparty_id, CAS
  min(ts) AS first_ts, max(ts) AS last_ts, concat_ws('|', customer_id, counterparty_id, CAST(CAST(ts AS DATE) AS VARCHAR)) AS batch_id
 FROM txn GROUP BY 1, 2, 3 HAVING count(*) > 1""")
 STREAM_JSON = _with(["txn"], body="SELECT txn_id, customer_id, amount_usd, channel FROM txn")
+KYC_CHANGE_REJECTS = _with(["kyc_seed", "kyc_change"], "p AS (SELECT customer_id FROM kyc_seed WHERE next_review_date IS NOT NULL)",
+                           body="""SELECT customer_id, seq, change, risk_level, risk_points, change_at FROM kyc_change c WHERE change <> 'UPSERT'
+ AND customer_id NOT IN (SELECT customer_id FROM p) AND NOT EXISTS (SELECT 1 FROM kyc_change u WHERE u.customer_id = c.customer_id AND u.change = 'UPSERT')""")

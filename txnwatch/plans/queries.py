@@ -149,6 +149,20 @@ def rule_alerts(spark, sf):
     return rules.all_alerts(_enriched(spark, sf), _pack(spark)).select(*_ALERT)
 
 
+def _named(spark, sf, rows: DataFrame) -> DataFrame:
+    """Transactions with the names of their counterparties."""
+    names = table(spark, sf, "txn_party").select(F.col("txn_id").alias("__txn"), "counterparty_name")
+    return rows.join(names, F.col("txn_id") == F.col("__txn"), "left").drop("__txn")
+
+
+@query("all_alerts", sql.ALL_ALERTS)
+def all_alerts(spark, sf):
+    """Bypass, rule and sanction alerts as one table."""
+    rows = _named(spark, sf, _enriched(spark, sf))
+    hits = sanctions.sanction_alerts(sanctions.screen(rows, table(spark, sf, "sanction_name"), "counterparty_name"))
+    return rules.all_alerts(rows, _pack(spark), hits).select(*_ALERT).withColumn("score", F.round("score", 4))
+
+
 def _rule(name: str, rule_id: str, prepare: Callable[[SparkSession, str], DataFrame]) -> None:
     @query(name, sql.one_rule(rule_id))
     def run(spark, sf):
@@ -405,6 +419,14 @@ def entity_snapshot(spark, sf):
     return out.select("customer_id", "name", "customer_type", "risk_level", "risk_score", "txn_count_30d", "alert_count_total", "dt")
 
 
+@query("kyc_change_rejects", sql.KYC_CHANGE_REJECTS)
+def kyc_change_rejects(spark, sf):
+    """Changes of customers without a profile, where those without a review date have none."""
+    profiles = table(spark, sf, "kyc_seed").filter(F.col("next_review_date").isNotNull())
+    found = kyc.unknown_customers(profiles, table(spark, sf, "kyc_change"))
+    return found.select("customer_id", "seq", "change", "risk_level", "risk_points", "change_at")
+
+
 @query("kyc_review", sql.KYC_REVIEW)
 def kyc_review(spark, sf):
     now = _instant(NOW)
@@ -726,6 +748,19 @@ def stream_pipeline_alerts(spark, sf):
     return _ntz(spark.read.parquet(f"{base}/out").select(*_ALERT), "created_at")
 
 
+@query("stream_all_alerts", sql.ALL_ALERTS)
+def stream_all_alerts(spark, sf):
+    """From the feed to bypass, rule and sanction alerts."""
+    base = fresh_dir(spark, "all")
+    rules.rule_frame(spark, packs.lowered_pack()).coalesce(1).write.json(f"{base}/rules")
+    rows = _named(spark, sf, norm.normalize(norm.valid_rows(_stream_table(spark, sf, "raw_txn"))))
+    _drain(jobs.enrich_job(rows, f"{base}/enriched", f"{base}/checkpoint-1", once=True, features=_features(spark, sf)))
+    schema = spark.read.parquet(f"{base}/enriched").schema
+    enriched = spark.readStream.schema(schema).parquet(f"{base}/enriched")
+    _drain(jobs.detect_job(spark, enriched, f"{base}/rules", f"{base}/out", f"{base}/checkpoint-2", table(spark, sf, "sanction_name"), "counterparty_name", once=True))
+    return _ntz(spark.read.parquet(f"{base}/out").select(*_ALERT).withColumn("score", F.round("score", 4)), "created_at")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Transactions to alerts: validate, normalize, enrich, evaluate every rule, add the bypass lane."""
     return rule_alerts(spark, sf)

@@ -56,19 +56,26 @@ def enrich_hot_lane(txn: DataFrame, history_path: str, path: str, checkpoint: st
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        timed = batch.filter(F.col("ts").isNotNull())
-        dated = timed.withColumns({"dt": F.date_format("ts", "yyyy-MM-dd"), "batch": F.lit(batch_id)})
-        # a batch without any time has nothing to write to the history, which may not exist yet
-        lo, hi = timed.select(F.date_sub(F.to_date(F.min("ts")), 1).cast("string"), F.to_date(F.max("ts")).cast("string")).head()
-        if lo is None:
-            write(rolling_transactions(batch, grain=grain), batch_id)
-            return
-        overwrite_partitions(dated, history_path, ["dt", "batch"])
-        history = spark.read.schema(dated.schema).parquet(history_path)
-        near = history.filter((F.col("dt") >= lo) & (F.col("dt") <= hi) & (F.col("batch") <= batch_id))
-        rolled = rolling_transactions(near, grain=grain).filter(F.col("batch") == batch_id).drop("dt", "batch")
-        measures = [F.lit(None).cast(rolled.schema[c].dataType).alias(c) for c in rolled.columns if c not in batch.columns]
-        write(rolled.unionByName(batch.filter(F.col("ts").isNull()).select("*", *measures)), batch_id)
+        kept = batch.persist()  # its span, its customers, the history and the rows without time read the same rows
+        try:
+            timed = kept.filter(F.col("ts").isNotNull())
+            dated = timed.withColumns({"dt": F.date_format("ts", "yyyy-MM-dd"), "batch": F.lit(batch_id)})
+            # a batch without any time has nothing to write to the history, which may not exist yet
+            lo, hi = timed.select(F.date_sub(F.to_date(F.min("ts")), 1).cast("string"), F.to_date(F.max("ts")).cast("string")).head()
+            if lo is None:
+                write(rolling_transactions(kept, grain=grain), batch_id)
+                return
+            overwrite_partitions(dated, history_path, ["dt", "batch"])
+            history = spark.read.schema(dated.schema).parquet(history_path)
+            near = history.filter((F.col("dt") >= lo) & (F.col("dt") <= hi) & (F.col("batch") <= batch_id))
+            # only customers of the batch, and of each only from a day before its first row to its last one
+            spans = timed.groupBy(F.struct("customer_id").alias("__who")).agg((F.min("ts") - F.expr("INTERVAL 1 DAY")).alias("__from"), F.max("ts").alias("__to"))
+            own = (F.struct("customer_id") == F.col("__who")) & (F.col("ts") >= F.col("__from")) & (F.col("ts") <= F.col("__to"))
+            rolled = rolling_transactions(near.join(spans, own, "left_semi"), grain=grain).filter(F.col("batch") == batch_id).drop("dt", "batch")
+            measures = [F.lit(None).cast(rolled.schema[c].dataType).alias(c) for c in rolled.columns if c not in batch.columns]
+            write(rolled.unionByName(kept.filter(F.col("ts").isNull()).select("*", *measures)), batch_id)
+        finally:
+            kept.unpersist()
 
     return start(txn.writeStream.foreachBatch(process), checkpoint, once)
 
