@@ -52,19 +52,21 @@ def tune_bands(similarity: float = SIMILARITY, recall: float = RECALL, backgroun
     raise ValueError("no banding meets these figures")
 
 
+class _Codes(dict):
+    """Codes by word; the memory is emptied when it is full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        bare = word.lower().strip(_EDGES) or word
+        code = self[word] = xxhash.xxh64_intdigest(bare.encode()) & ~1 | (word.rstrip("\"')]")[-1:] in {".", "!", "?"})
+        return code
+
+
 def _word_codes(words: list[str]) -> np.ndarray:
     """64-bit code per word without case and edge punctuation; the lowest bit tells whether a sentence ends there."""
-    known = kept_in_worker("paragraph words", dict)
-    get, out = known.get, []
-    for w in words:
-        code = get(w)
-        if code is None:
-            if len(known) >= KEPT_WORDS:
-                known.clear()
-            bare = w.lower().strip(_EDGES) or w
-            code = known[w] = xxhash.xxh64_intdigest(bare.encode()) & ~1 | (w.rstrip("\"')]")[-1:] in {".", "!", "?"})
-        out.append(code)
-    return np.array(out, np.uint64)
+    known = kept_in_worker("paragraph words", _Codes)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -120,12 +122,33 @@ def lowest(hashes: np.ndarray, span: int) -> np.ndarray:
     return np.unique(np.arange(len(view)) + view.argmin(axis=1))
 
 
+#: Numbers that are mixed at once.
+_AT_ONCE = 4_000_000
+
+
+def _lows(hashes: np.ndarray, begins: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The smallest hash under each seed in every range, which may overlap: a row per seed."""
+    cuts = np.stack([begins, ends], axis=1).ravel()
+    padded = np.append(hashes, np.uint64(0))
+    out = []
+    step = max(1, _AT_ONCE // len(padded))
+    for k in range(0, len(seeds), step):
+        mixed = _mixed(padded[None, :] ^ seeds[k:k + step, None])
+        mixed[:, -1] = np.uint64(2**64 - 1)
+        out.append(np.minimum.reduceat(mixed, cuts, axis=1)[:, ::2])
+    return np.concatenate(out)
+
+
 def band_keys(codes: np.ndarray, lines: list[tuple[int, int]], seeds: np.ndarray, bands: int, rows: int, shingle: int) -> np.ndarray:
     """A row of band keys per line: the smallest shingle hash for each seed, ``rows`` of them and the band to a key."""
-    counts = np.array([max(n - shingle, 0) + 1 for _, n in lines])
-    cuts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    hashes = np.concatenate([_runs(codes[s:s + n], min(shingle, n)) for s, n in lines])
-    lows = np.stack([np.minimum.reduceat(_mixed(hashes ^ seed), cuts) for seed in seeds])
+    starts, sizes = np.array(lines, np.int64).reshape(-1, 2).T
+    if (sizes >= shingle).all():  # lines may overlap: their shingles are hashed once
+        hashes, begins, ends = _runs(codes, shingle), starts, starts + sizes - shingle + 1
+    else:
+        counts = np.maximum(sizes - shingle, 0) + 1
+        ends = np.cumsum(counts)
+        hashes, begins = np.concatenate([_runs(codes[s:s + n], min(shingle, n)) for s, n in lines]), ends - counts
+    lows = _lows(hashes, begins, ends, seeds)
     total = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
     for r in range(rows):
         total = total * _MIX + lows[r::rows]
@@ -154,7 +177,7 @@ def _units(bands: int, rows: int, window: int, shingle: int):
                 codes, lines = paragraphs(text or "")
                 bare = codes & ~np.uint64(1)
                 long = [(s, n) for s, n in [*lines, *wrapped(text or "")] if n >= shingle]
-                keys = [band_keys(bare, long[k:k + 256], seeds, bands, rows, shingle).ravel() for k in range(0, len(long), 256)]
+                keys = band_keys(bare, long, seeds, bands, rows, shingle).ravel() if long else nothing
                 names = np.array([xxhash.xxh64_intdigest(bare[s:s + n].tobytes(), n) for s, n in long], np.uint64)
                 starts, hashes = nothing, np.empty(0, np.uint64)
                 if len(codes) >= window:
@@ -166,7 +189,7 @@ def _units(bands: int, rows: int, window: int, shingle: int):
                     starts = np.flatnonzero(first)
                     hashes = hashes[starts]
                 places = np.array(long, np.int64).reshape(-1, 2)
-                for column, value in zip(out, (places[:, 0], places[:, 1], names.view(np.int64), np.concatenate(keys) if keys else nothing, starts, hashes.view(np.int64)), strict=True):
+                for column, value in zip(out, (places[:, 0], places[:, 1], names.view(np.int64), keys, starts, hashes.view(np.int64)), strict=True):
                     column.append(value)
             kinds = [(np.int32, pa.int32()), (np.int32, pa.int32()), (np.int64, pa.int64()), (np.int64, pa.int64()), (np.int32, pa.int32()), (np.int64, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(_lists(c, *k) for c, k in zip(out, kinds, strict=True))],
@@ -223,13 +246,15 @@ def _bounded(slim: DataFrame) -> DataFrame:
 def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(node, root) for distinct lines, or other units of the documents, that are similar to others, directly or through others.
 
-    Buckets never list their pairs. First every line meets the smallest of its bucket; the links that hold give
-    components. Then only lines of a bucket's minor components meet the bucket's lines of other components, so that
-    no link between components is lost while a bucket full of near copies costs one comparison a line.
+    Buckets never list their pairs. First every line meets three centres of its bucket, the smallest, the largest and
+    one by hash; the links that hold give components. Then, in buckets of more lines than that compares, only lines of a
+    bucket's minor components meet the bucket's lines of other components, so that no link between components is lost
+    while a bucket full of near copies costs three comparisons a line.
     """
     slots = lines.select("unit", F.explode("keys").alias("key"))
-    buckets = slots.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low < high").select("key", "low")
-    shared = materialize(buckets, "buckets")
+    some = F.min_by("unit", F.xxhash64("unit"))
+    buckets = slots.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high"), some.alias("some")).where("low < high")
+    shared = materialize(buckets.select("key", F.array_distinct(F.array("low", "high", "some")).alias("centres")), "buckets")
     slots = materialize(slots.join(_bounded(shared), "key").distinct(), "colliding-lines")
     release(shared)
     colliding = materialize(slots.select("unit").distinct(), "colliding-units")
@@ -241,16 +266,20 @@ def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle:
     texts = docs.select(row_key().alias("doc"), "text").join(F.broadcast(wanted) if few else wanted, "doc")
     sets = texts.select("text", "wanted").mapInArrow(_shingle_sets(shingle), "unit long, sh array<bigint>")
     sets = materialize(sets.dropDuplicates(["unit"]), "shingle-sets")
-    stars = slots.where("unit > low").select(F.col("low").alias("a"), F.col("unit").alias("b")).distinct()
+    stars = slots.select("unit", F.explode("centres").alias("centre")).where("unit <> centre").select(
+        F.least("unit", "centre").alias("a"), F.greatest("unit", "centre").alias("b")).distinct()
     links = materialize(_jaccard(stars, sets, similarity), "star-links")
     release(colliding, wanted)
     roots = connected_components(links)
-    rooted = slots.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select("unit", "key", F.coalesce("root", "unit").alias("root"))
+    rooted = slots.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select(
+        "unit", "key", F.coalesce("root", "unit").alias("root"), F.size("centres").alias("n_centres"))
     rooted = materialize(rooted, "rooted-lines")
-    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("key").agg(F.max_by("root", "n").alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", "major")
+    # a bucket with no more than one line besides its centres has been compared already
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max("n_centres").alias("n_centres"))
+    major = sizes.groupBy("key").agg(F.max_by("root", "n").alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("n_centres").alias("n_centres"))
+    major = major.where("kinds > 1 AND n > n_centres + 1").select("key", "major")
     told = slots.groupBy("unit").agg(F.collect_list("key").alias("keys")).join(sets, "unit")
-    mixed = materialize(rooted.join(major, "key").join(told, "unit"), "mixed-buckets")
+    mixed = materialize(rooted.drop("n_centres").join(major, "key").join(told, "unit"), "mixed-buckets")
     minor, other = (mixed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("unit", "root", "keys", "sh")], *more)
                     for side, more in (("x", ["root", "major"]), ("y", [])))
     n_x, n_y, both = F.size("x_sh"), F.size("y_sh"), F.size(F.array_intersect("x_sh", "y_sh"))
