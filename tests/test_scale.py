@@ -85,8 +85,8 @@ def test_newest_n(spark, skewed):
     assert sorted(want.collect()) == sorted(got.collect())
 
 
-@pytest.mark.parametrize("hot_instants", [1_000_000, 200, 5])
-def test_anchored_dedup_equals_fold(spark, hot_instants):
+@pytest.mark.parametrize("block_spans", [1_000, 64, 5, 1])
+def test_anchored_dedup_equals_fold(spark, block_spans):
     rng = random.Random(3)
     rows = []
     for i in range(1500):
@@ -109,7 +109,7 @@ def test_anchored_dedup_equals_fold(spark, hot_instants):
                 first, n = r, 0
             n += 1
         want.add((*key, first[0], n))
-    got = {(r.customer_id, r.rule_id, r.alert_id, r.alert_count) for r in dedup.dedup_anchored(alerts, hot_instants=hot_instants).collect()}
+    got = {(r.customer_id, r.rule_id, r.alert_id, r.alert_count) for r in dedup.dedup_anchored(alerts, block_spans=block_spans).collect()}
     assert got == want
 
 
@@ -188,7 +188,7 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     from txnwatch.streaming.state import RollingState
 
     path = tmp_path / "f.pickle"
-    path.write_bytes(cloudpickle.dumps((jaro_winkler_block, dedup._anchor_scan(60), dedup._block_exits(60), RollingState)))
+    path.write_bytes(cloudpickle.dumps((jaro_winkler_block, dedup._block_exits(60), dedup._block_anchors(60), RollingState)))
     code = f"import pickle; f = pickle.load(open({str(path)!r}, 'rb')); import pandas as pd; print(f[0](pd.Series(['abc']), pd.Series(['abd']))[0] > 0.8)"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin"}, check=False)
     assert done.stdout.strip() == "True", done.stderr

@@ -44,113 +44,109 @@ def dedup_tumbling(alerts: DataFrame, minutes: int = 30) -> DataFrame:
 
 
 KEYS = ["customer_id", "rule_id"]
-# A key with more distinct instants than this is worked on in time blocks, by many tasks.
-HOT_INSTANTS = 1_000_000
-BLOCK_SPANS = 16
-
-
-def _chain(t: np.ndarray, begin: int, span: int) -> list[int]:
-    """Positions of the anchors in ascending instants, from position ``begin`` on."""
-    out = []
-    while begin < len(t):
-        out.append(begin)
-        begin = int(np.searchsorted(t, t[begin] + span))
-    return out
-
-
-def _same(a, b) -> bool:
-    return b is not None and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
-
-
-def _anchor_scan(span: int):
-    """Walks sorted (customer, rule, instant) rows and emits the group anchors; only the end of the last
-    group is kept between batches."""
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, limit = None, 0
-        for batch in batches:
-            out = []
-            for key, run in batch.groupby(KEYS, sort=False, dropna=False):
-                t = run["t"].to_numpy()
-                found = _chain(t, int(np.searchsorted(t, limit)) if _same(key, last_key) else 0, span)
-                if found or not _same(key, last_key):
-                    limit = int(t[found[-1]]) + span
-                out += [(*key, int(t[i])) for i in found]
-                last_key = key
-            yield pd.DataFrame(out, columns=[*KEYS, "anchor"])
-    return scan
-
-
-def _block_exits(span: int):
-    """For one block of a hot key: every instant the walk can enter it by, and the time it leaves after.
-
-    The walk reaches a block less than one span after its start, or else by the first instant there is; all
-    entries jump through the block together.
+#: Time blocks are as long as so many groups can be at most.
+BLOCK_SPANS = 64
+
+
+def _whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows sorted by key and block, in whole runs of one key and block, with the number of each row's run."""
+    held: pd.DataFrame | None = None
+    for batch in _and_end(batches):
+        rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if rows is None or rows.empty:
+            continue
+        new = np.ones(len(rows), bool)
+        new[1:] = False
+        for c in (*KEYS, "block"):
+            values = rows[c].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        # the last run of a batch may go on in the next one
+        cut = len(rows) if batch is None else int(np.flatnonzero(new)[-1])
+        held = None if batch is None else rows.iloc[cut:].reset_index(drop=True)
+        if cut:
+            yield rows.iloc[:cut], np.cumsum(new[:cut]) - 1
+
+
+def _and_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from batches
+    yield None
+
+
+def _places(rows: pd.DataFrame, run: np.ndarray, span: int, spans: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the block, place over all runs, next anchor) per row: -1 where the next anchor lies behind the block."""
+    offset = rows["t"].to_numpy(np.int64) - rows["block"].to_numpy(np.int64) * span * spans
+    place = run * (span * (spans + 2)) + offset
+    onward = np.searchsorted(place, place + span)
+    inside = (onward < len(run)) & (run[np.minimum(onward, len(run) - 1)] == run)
+    return offset, place, np.where(inside, onward, -1)
+
+
+def _block_exits(span: int, spans: int = BLOCK_SPANS):
+    """For each block of a key: every instant a walk can enter it by, and the time it leaves after.
+
+    The walk reaches a block less than one span after its start, or else by the first instant there is; all entries of
+    all blocks jump together, at most once for each group that fits into a block.
     """
-    def exits(block: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(block["t"].to_numpy())
-        entries = int(np.searchsorted(t, int(block["block"].iloc[0]) * span * BLOCK_SPANS + span)) + 1
-        at = np.arange(min(entries, len(t)))
-        leaves = t[at] + span
-        while True:
-            onward = np.searchsorted(t, leaves)
-            inside = onward < len(t)
-            if not inside.any():
-                break
-            leaves = np.where(inside, t[np.minimum(onward, len(t) - 1)] + span, leaves)
-        return pd.DataFrame({**{k: block[k].iloc[0] for k in (*KEYS, "block")}, "entry": t[at], "leaves": leaves})
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, run in _whole_runs(batches):
+            offset, _, onward = _places(rows, run, span, spans)
+            before = np.where(np.diff(run, prepend=-1) > 0, -1, np.roll(offset, 1))
+            entries = np.flatnonzero(before < span)  # up to the first one that is a span behind the block's start
+            at = entries
+            while (onward[at] >= 0).any():
+                at = np.where(onward[at] >= 0, onward[at], at)
+            t = rows["t"].to_numpy(np.int64)
+            yield pd.DataFrame({**{k: rows[k].to_numpy()[entries] for k in (*KEYS, "block")}, "entry": t[entries], "leaves": t[at] + span})
     return exits
 
 
 def _walk_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Follows each key from block to block over the sorted entries and emits the entry used in each block."""
-    last_key, last_block, limit = None, None, 0
+    last, done, limit = None, None, 0
     for batch in batches:
         out = []
-        for (c, r, block), run in batch.groupby([*KEYS, "block"], sort=False, dropna=False):
-            if not _same((c, r), last_key):
-                last_key, last_block, limit = (c, r), None, run["entry"].iloc[0]
-            if block == last_block:
-                continue
-            at = int(np.searchsorted(run["entry"].to_numpy(), limit))
-            if at < len(run):
-                out.append((c, r, block, int(run["entry"].iloc[at])))
-                last_block, limit = block, int(run["leaves"].iloc[at])
+        for c, r, block, entry, leaves in zip(*(batch[n].tolist() for n in (*KEYS, "block", "entry", "leaves"))):
+            if (c, r) != last:
+                last, done, limit = (c, r), None, entry
+            if block != done and entry >= limit:
+                out.append((c, r, block, entry))
+                done, limit = block, leaves
         yield pd.DataFrame(out, columns=[*KEYS, "block", "entry"])
 
 
-def _block_anchors(span: int):
-    def anchors(block: pd.DataFrame, entered: pd.DataFrame) -> pd.DataFrame:
-        if block.empty or entered.empty:
-            return pd.DataFrame({**{k: pd.Series(dtype=object) for k in KEYS}, "anchor": pd.Series(dtype="int64")})
-        t = np.sort(block["t"].to_numpy())
-        found = _chain(t, int(np.searchsorted(t, int(entered["entry"].iloc[0]))), span)
-        return pd.DataFrame({**{k: block[k].iloc[0] for k in KEYS}, "anchor": t[found]})
+def _block_anchors(span: int, spans: int = BLOCK_SPANS):
+    """The anchors of each block from its entry on; blocks that no walk enters have none."""
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, run in _whole_runs(batches):
+            _, _, onward = _places(rows, run, span, spans)
+            t = rows["t"].to_numpy(np.int64)
+            at = np.flatnonzero(t == rows["entry"].to_numpy(np.int64))
+            found = [at]
+            while len(at := onward[at][onward[at] >= 0]):
+                found.append(at)
+            every = np.concatenate(found)
+            yield pd.DataFrame({**{k: rows[k].to_numpy()[every] for k in KEYS}, "anchor": t[every]})
     return anchors
 
 
-def _anchors(instants: DataFrame, span: int, hot_instants: int) -> DataFrame:
-    """Group anchors per (customer, rule).
+def _anchors(instants: DataFrame, span: int, spans: int) -> DataFrame:
+    """Group anchors per (customer, rule), for keys of any size alike.
 
-    Ordinary keys are scanned by one task each. A hot key is cut into time blocks: what a block does to the
-    walk is worked out for all blocks at once, the walk itself then only visits the blocks' entries (a small
-    part of the instants), and the anchors are again found in all blocks at once.
+    Keys are cut into time blocks. What a block does to the walk from anchor to anchor is worked out for all blocks at
+    once; the walk itself then only visits the blocks' entries, a small part of the instants, and the anchors are again
+    found in all blocks at once.
     """
-    out_type = "customer_id string, rule_id string, anchor bigint"
-    both = F.struct(*KEYS)
-    hot = instants.groupBy(both.alias("hot")).count().filter(F.col("count") > hot_instants).select("hot")
-    calm = instants.join(hot, both == F.col("hot"), "left_anti")
-    scanned = calm.repartition(*KEYS).sortWithinPartitions(*KEYS, "t").mapInPandas(_anchor_scan(span), out_type)
-    busy = instants.join(hot, both == F.col("hot"), "left_semi").withColumn("block", F.floor(F.col("t") / F.lit(span * BLOCK_SPANS)))
+    blocks = instants.withColumn("block", F.floor(F.col("t") / F.lit(span * spans)))
     by_block = [*KEYS, "block"]
-    exits = busy.groupBy(*by_block).applyInPandas(
-        _block_exits(span), "customer_id string, rule_id string, block bigint, entry bigint, leaves bigint")
-    entered = exits.repartition(*KEYS).sortWithinPartitions(*by_block, "entry").mapInPandas(
-        _walk_blocks, "customer_id string, rule_id string, block bigint, entry bigint")
-    found = busy.groupBy(*by_block).cogroup(entered.groupBy(*by_block)).applyInPandas(_block_anchors(span), out_type)
-    return scanned.unionByName(found)
+    keyed = "customer_id string, rule_id string"
+    exits = blocks.repartition(*by_block).sortWithinPartitions(*by_block, "t").mapInPandas(_block_exits(span, spans), f"{keyed}, block bigint, entry bigint, leaves bigint")
+    entered = exits.repartition(*KEYS).sortWithinPartitions(*by_block, "entry").mapInPandas(_walk_blocks, f"{keyed}, block bigint, entry bigint")
+    key = F.struct(*by_block)
+    met = blocks.join(entered.select(key.alias("__b"), "entry"), key == F.col("__b")).drop("__b")
+    return met.repartition(*by_block).sortWithinPartitions(*by_block, "t").mapInPandas(_block_anchors(span, spans), f"{keyed}, anchor bigint")
 
 
-def dedup_anchored(alerts: DataFrame, minutes: int = 30, hot_instants: int = HOT_INSTANTS) -> DataFrame:
+def dedup_anchored(alerts: DataFrame, minutes: int = 30, block_spans: int = BLOCK_SPANS) -> DataFrame:
     """Alerts of a customer and rule join the group whose first alert is at most ``minutes`` whole minutes
     before; the next one starts a new group.
 
@@ -162,7 +158,7 @@ def dedup_anchored(alerts: DataFrame, minutes: int = 30, hot_instants: int = HOT
     timed = alerts.withColumn("t", F.unix_micros(F.col("created_at").cast("timestamp")))
     instants = timed.filter(F.col("t").isNotNull()).select(*KEYS, "t").distinct()
     slot = F.floor(F.col("anchor") / F.lit(span))
-    placed = _anchors(instants, span, hot_instants).select(
+    placed = _anchors(instants, span, block_spans).select(
         F.explode(F.array(slot, slot + 1)).alias("s"), F.struct(*KEYS).alias("g"), "anchor")
     t = F.col("t")
     same = ((F.struct(*[F.col(k) for k in KEYS]) == F.col("g")) & (F.floor(t / F.lit(span)) == F.col("s"))

@@ -22,6 +22,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOUR, DAY = 3600, 86_400
 WINDOWS = {"1h": HOUR, "24h": DAY}
@@ -243,3 +244,30 @@ def tumbling_stats(txn: DataFrame, length: str, approximate: bool = False) -> Da
         F.max("amount_usd").alias("max_amount"), parties.alias("unique_counterparties"),
     ).select("customer_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
              "txn_count", "total_amount", "max_amount", "unique_counterparties")
+
+
+#: Log2 of the registers of a distinct-count sketch. Counts up to a few hundred are exact; beyond, the standard error is
+#: 1.04 / sqrt(2^12) = 1.7 percent, and 99 in 100 estimates are within three times that, however many sketches were merged.
+SKETCH_LOG2 = 12
+
+
+def hourly_sketches(txn: DataFrame, length: str = "1 hour") -> DataFrame:
+    """Per customer and hour: count, total, maximum and a mergeable sketch of the counterparties; also on a stream."""
+    # a cast would hide the watermark of a stream's time column
+    ts = F.col("ts") if isinstance(txn.schema["ts"].dataType, T.TimestampType) else F.col("ts").cast("timestamp")
+    grouped = txn.groupBy("customer_id", F.window(ts, length).alias("hour"))
+    return grouped.agg(F.count(F.lit(1)).alias("txn_count"), F.sum(_cents(F.col("amount_usd"))).alias("cents"), F.max("amount_usd").alias("max_amount"),
+                       F.hll_sketch_agg("counterparty_id", F.lit(SKETCH_LOG2)).alias("parties"))
+
+
+def merged_windows(hours: DataFrame, length: str = "24 hours") -> DataFrame:
+    """Longer windows from hourly rows: sums, maxima and merged sketches, without a second look at the transactions.
+
+    ``unique_counterparties`` is the sketch's estimate, see :data:`SKETCH_LOG2`; null counterparties are not counted. On a
+    stream the hourly rows may come from :func:`hourly_sketches` in the same query: a day is given out when all its hours have been.
+    """
+    grouped = hours.groupBy("customer_id", F.window(F.window_time("hour"), length).alias("w"))
+    return grouped.agg(
+        F.sum("txn_count").alias("txn_count"), _money(F.sum("cents")).alias("total_amount"), F.max("max_amount").alias("max_amount"),
+        F.hll_sketch_estimate(F.hll_union_agg("parties")).alias("unique_counterparties"),
+    ).select("customer_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "txn_count", "total_amount", "max_amount", "unique_counterparties")

@@ -227,3 +227,50 @@ def with_aliases(listed: DataFrame, aliases: DataFrame) -> DataFrame:
 def expected_floor(len_a: int, len_b: int, threshold: float = THRESHOLD) -> int:
     """Plain-number twin of the shared-character floor, for tests."""
     return math.ceil(_floor_factor(threshold) * len_a * len_b / (len_a + len_b) - _EPS)
+
+
+#: Log2 of the places of the name set's bitmap: 16 MB at most, whatever the lists hold.
+SET_LOG2 = 27
+
+
+def _place(norm: Column, log2: int = SET_LOG2) -> Column:
+    return F.pmod(F.xxhash64(norm), F.lit(2 ** log2)) + 1
+
+
+def name_set(listed: DataFrame) -> DataFrame:
+    """(list_source, norm, bucket) of the distinct names of lists (name, list_source), by the bucket of their bitmap place."""
+    named = listed.select("list_source", match_key(F.col("name")).alias("norm")).filter("norm IS NOT NULL")
+    return named.distinct().withColumn("bucket", F.bitmap_bucket_number(_place(F.col("norm"))))
+
+
+def set_bits(names: DataFrame) -> DataFrame:
+    """(list_source, bucket, bits): which places of a bucket have a name. A row per source and bucket, 4 KB each."""
+    return names.groupBy("list_source", "bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position(_place(F.col("norm")))).alias("bits"))
+
+
+def change_set(names: DataFrame, bits: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names and bitmaps after additions and removals (list_source, name, op: ADD or REMOVE; several of a name: the last by ``seq``).
+
+    Bitmaps of buckets without a change stay as they are; only the names of changed buckets are read to make theirs anew.
+    """
+    last = changes.select("list_source", match_key(F.col("name")).alias("norm"), "op", "seq").filter("norm IS NOT NULL").groupBy("list_source", "norm").agg(
+        F.max_by("op", "seq").alias("op")).withColumn("bucket", F.bitmap_bucket_number(_place(F.col("norm"))))
+    stay = names.join(last, ["list_source", "norm"], "left_anti")
+    now = stay.select("list_source", "norm", "bucket").unionByName(last.filter("op = 'ADD'").select("list_source", "norm", "bucket"))
+    touched = last.select("list_source", "bucket").distinct()
+    anew = set_bits(now.join(touched, ["list_source", "bucket"], "left_semi"))
+    return now, bits.join(touched, ["list_source", "bucket"], "left_anti").unionByName(anew)
+
+
+def merged_bits(bits: DataFrame) -> DataFrame:
+    """(bucket, bits): the bitmaps of all sources in one."""
+    return bits.groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def set_members(probes: DataFrame, names: DataFrame, bits: DataFrame) -> DataFrame:
+    """``probes`` (name, …) whose normalized name is in the set: first by a bit of the merged bitmap, then by the name itself."""
+    norm = match_key(F.col("name"))
+    placed = probes.withColumns({"norm": norm, "bucket": F.bitmap_bucket_number(_place(norm)), "__at": F.bitmap_bit_position(_place(norm))})
+    byte = F.conv(F.hex(F.expr("substring(bits, CAST(__at div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    hit = placed.join(merged_bits(bits), "bucket").filter(byte.bitwiseAND(F.expr("CAST(shiftleft(1, CAST(__at % 8 AS INT)) AS INT)")) > 0)
+    return hit.join(names.select("norm").distinct(), "norm", "left_semi").select(*probes.columns, "norm")

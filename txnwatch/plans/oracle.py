@@ -80,6 +80,9 @@ def tumbling(length: str) -> str:
 FROM txn GROUP BY 1, 2, 3""")
 
 
+TUMBLING_CLOSED = f"SELECT * FROM ({tumbling('24 hours')}) WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'"
+
+
 NEWEST = _with(["txn"], body="""SELECT txn_id, customer_id, ts, row_number() OVER (PARTITION BY customer_id ORDER BY ts DESC, txn_id DESC) AS recency
 FROM txn QUALIFY recency <= 50""")
 TOP_EDGES = _with(["txn"], body="""SELECT customer_id, counterparty_id AS party, txn_id, amount_usd,
@@ -503,3 +506,7 @@ STREAM_JSON = _with(["txn"], body="SELECT txn_id, customer_id, amount_usd, chann
 KYC_CHANGE_REJECTS = _with(["kyc_seed", "kyc_change"], "p AS (SELECT customer_id FROM kyc_seed WHERE next_review_date IS NOT NULL)",
                            body="""SELECT customer_id, seq, change, risk_level, risk_points, change_at FROM kyc_change c WHERE change <> 'UPSERT'
  AND customer_id NOT IN (SELECT customer_id FROM p) AND NOT EXISTS (SELECT 1 FROM kyc_change u WHERE u.customer_id = c.customer_id AND u.change = 'UPSERT')""")
+_KEY = _norm("name")
+SANCTION_SET = _with(["sanction_name", "screen_name"], f"""s AS (SELECT {_KEY} AS norm FROM sanction_name GROUP BY 1 HAVING bool_or(pos % 4 = 0) OR NOT bool_or(pos % 2 = 0)
+ UNION SELECT {_KEY} FROM screen_name)""", "p AS (SELECT p_name AS name FROM part UNION SELECT c_name FROM customer)",
+                     body=f"SELECT name, {_KEY} AS norm FROM p WHERE {_KEY} IN (SELECT norm FROM s)")

@@ -291,6 +291,20 @@ def sanction_exact(spark, sf):
     return sanctions.exact_matches(table(spark, sf, "screen_name"), table(spark, sf, "sanction_name")).select("name", "norm")
 
 
+@query("sanction_set_merged", sql.SANCTION_SET)
+def sanction_set_merged(spark, sf):
+    """Names in a set of two lists, of which one lost and one gained names after it was built."""
+    names_a, names_b = table(spark, sf, "sanction_name"), table(spark, sf, "screen_name").select("name", F.lit("LIST-B").alias("list_source"))
+    late = F.length("name") % 3 == 0
+    names = sanctions.name_set(names_a.select("name", "list_source").unionByName(names_b.filter(~late)))
+    gone = names_a.filter(F.col("pos") % 2 == 0).select("list_source", "name", F.lit("REMOVE").alias("op"), F.lit(1).alias("seq"))
+    back = names_a.filter(F.col("pos") % 4 == 0).select("list_source", "name", F.lit("ADD").alias("op"), F.lit(2).alias("seq"))
+    come = names_b.filter(late).select("list_source", "name", F.lit("ADD").alias("op"), F.lit(1).alias("seq"))
+    names, bits = sanctions.change_set(names, sanctions.set_bits(names), gone.unionByName(back).unionByName(come))
+    probes = table(spark, sf, "part").select(F.col("p_name").alias("name")).unionByName(table(spark, sf, "customer").select(F.col("c_name").alias("name"))).distinct()
+    return sanctions.set_members(probes, names, bits).select("name", "norm")
+
+
 @query("sanction_levenshtein", sql.SANCTION_LEVENSHTEIN)
 def sanction_levenshtein(spark, sf):
     found = sanctions.close_spellings(table(spark, sf, "screen_name"), table(spark, sf, "sanction_name"))
@@ -709,6 +723,19 @@ def stream_enrich_late(spark, sf):
     return spark.read.parquet(f"{base}/out").select("txn_id", "customer_id", *measures, "late")
 
 
+@query("tumbling_24h_merged", sql.tumbling("24 hours"))
+def tumbling_24h_merged(spark, sf):
+    """From hourly rows; a customer's counterparties of a day are few enough here for exact estimates."""
+    return _ntz(rolling.merged_windows(rolling.hourly_sketches(table(spark, sf, "txn"))), "window_start", "window_end")
+
+
+@query("stream_tumbling_24h", sql.TUMBLING_CLOSED)
+def stream_tumbling_24h(spark, sf):
+    base = fresh_dir(spark, "tumbling")
+    _drain(jobs.tumbling_job(_stream_table(spark, sf, "txn"), f"{base}/out", f"{base}/checkpoint", once=True))
+    return _ntz(spark.read.parquet(f"{base}/out").drop("batch_id"), "window_start", "window_end")
+
+
 @query("stream_enrich", sql.STREAM_ENRICH)
 def stream_enrich(spark, sf):
     base = fresh_dir(spark, "enrich")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from txnwatch.operators.dedup import dedup_tumbling
 from txnwatch.operators.normalize import BYPASS, normalize
-from txnwatch.operators.rolling import lookup_features, rolling_transactions
+from txnwatch.operators.rolling import hourly_sketches, lookup_features, merged_windows, rolling_transactions
 from txnwatch.operators.rules import all_alerts, collect_rules
 from txnwatch.operators.sanctions import sanction_alerts, screen
 from txnwatch.sources.lists import read_rules
@@ -122,3 +122,10 @@ def anchored_job(alerts: DataFrame, path: str, checkpoint: str, minutes: int = 3
     each for itself. Needs the RocksDB state store."""
     groups = dedup_anchored_stream(alerts, minutes, watermark)
     return start(groups.writeStream.foreachBatch(batch_partition_writer(path)).outputMode("append"), checkpoint, once)
+
+
+def tumbling_job(txn: DataFrame, path: str, checkpoint: str, length: str = "24 hours", watermark: str = "1 hour", once: bool = False):
+    """Fixed windows per customer, merged from hourly sketches in the same query, written when the watermark has passed them."""
+    timed = txn.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    merged = merged_windows(hourly_sketches(timed), length)
+    return start(merged.writeStream.foreachBatch(batch_partition_writer(path)).outputMode("append"), checkpoint, once)
