@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from txnwatch.functions.columns import utc_day
 from txnwatch.operators.normalize import rejected_rows, valid_rows
 
 
@@ -44,6 +45,12 @@ def append_jdbc(df: DataFrame, url: str, dbtable: str, properties: dict[str, str
     df.write.jdbc(url, dbtable, mode="append", properties=properties or {})
 
 
+def archive(df: DataFrame, path: str, ts: str = "ts") -> None:
+    """Dated copy of a table, by ``dt`` and transaction type. Micro-batches use ``versioned.archive_batch``."""
+    dated = df.withColumn("dt", utc_day(F.col(ts)))
+    overwrite_partitions(dated, path, ["dt", "txn_type"])
+
+
 def batch_partition_writer(path: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: each batch owns one folder, so a repeated batch replaces itself, also by nothing."""
     def write(batch: DataFrame, batch_id: int) -> None:
