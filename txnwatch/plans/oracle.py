@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from txnwatch.operators.packs import HIGH_RISK_COUNTRIES
 from txnwatch.plans.mapping import ctes
+from txnwatch.schemas import CURRENCIES
 
 NOW, AS_OF, SLA_NOW = "2024-02-01 00:00:00", "2024-01-30", "2024-01-30 12:00:00"
 
@@ -13,8 +15,7 @@ def _with(views: tuple[str, ...] | list[str], *own: str, body: str, recursive: b
 
 
 _VALID = "coalesce(txn_id, '') <> '' AND amount > 0 AND coalesce(customer_id, '') <> ''"
-_STRICT_CURRENCIES = ("'USD','EUR','GBP','JPY','CNY','CHF','AUD','CAD','HKD','SGD','SEK','NOK','DKK','NZD','KRW','INR',"
-                      "'BRL','RUB','ZAR','MXN','TRY','THB','MYR','IDR','PHP','PLN','CZK','HUF','RON','BGN'")
+_STRICT_CURRENCIES = ",".join(f"'{c}'" for c in CURRENCIES)
 
 
 def _normalized(src: str, where: str = "TRUE") -> str:
@@ -128,7 +129,7 @@ def _alert(src: str, rule: str, kind: str, severity: str, score: str, text: str,
  '{rule}' AS rule_id, {text} AS rule_desc, CAST({score} AS FLOAT) AS score, 'NEW' AS status, ts AS created_at FROM {src} WHERE {where}"""
 
 
-_HIGH_RISK = "('IR','KP','SY','CU','MM','SD','VE')"
+_HIGH_RISK = "(" + ",".join(f"'{c}'" for c in HIGH_RISK_COUNTRIES) + ")"
 # rule: (type, severity, score, message, condition), limits as in the lowered pack.
 _RULES = {
     "CTR-001": ("CTR", "HIGH", "0.8", "concat('CTR: Large cash transaction $', amount_usd, ' via $', channel)",
