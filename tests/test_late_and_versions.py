@@ -128,6 +128,18 @@ def test_state_is_dropped_when_idle(spark, tmp_path, rocks):
 # --- tables that batches change ---
 
 
+def test_an_hour_of_updates_is_not_cut_by_every_task(spark, tmp_path):
+    rows = [alert(i, f"c{i % 50}", 60 * (i % 40)) for i in range(2000)]
+    stream, batch = as_files(spark, [rows], ALERTS, str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    jobs.aggregate_updates_job(stream, out, str(tmp_path / "cp"), once=True).awaitTermination()
+    hours, tasks = len(list((tmp_path / "out" / "data").glob("*/slot=*"))), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert hours == 40 and len(list((tmp_path / "out" / "data").rglob("*.parquet"))) <= hours + tasks
+    want = dedup.dedup_tumbling(batch)
+    found = versioned.read_merged(spark, out, want.schema)
+    assert Counter(map(str, found.collect())) == Counter(map(str, want.select(*found.columns).collect()))
+
+
 def test_updates_are_readable_after_every_batch(spark, tmp_path):
     rng = random.Random(3)
     rows = [alert(i, rng.choice(["a", "b"]), rng.randrange(0, 200)) for i in range(120)]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import AtomicType
 
 from txnwatch.functions.columns import utc_day
 from txnwatch.operators.normalize import rejected_rows, valid_rows
@@ -17,16 +18,25 @@ def overwrite_day(df: DataFrame, path: str, day: str) -> None:
     df.drop("dt").write.mode("overwrite").parquet(f"{path}/dt={day}")
 
 
+def side_by_side(df: DataFrame, by: list[str]) -> DataFrame:
+    """Small partitions share a task, a large one is cut into many, so that a write makes few files.
+
+    Spark rebalances by the partition columns with adaptive execution only, and ignores the hint without; stateful
+    streams turn it off in their batches. There the rows are dealt by ranges, inside a partition by their hash.
+    """
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return df.hint("rebalance", *by)
+    return df.repartitionByRange(*by, F.xxhash64(*[f.name for f in df.schema if isinstance(f.dataType, AtomicType)]))
+
+
 def overwrite_partitions(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """Replaces only the partitions present in ``df``; columns are matched by name.
 
     A partition that has no rows any more isn't known here and stays; where a day can become empty, use
     :func:`overwrite_day`.
-
-    Spark rebalances by the partition columns: small days share a task, a large day is cut into many.
     """
     by = by or ["dt"]
-    (df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
+    (side_by_side(df, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
 
 
 def sorted_store(df: DataFrame, path: str, order: list[str], month_of: str) -> None:

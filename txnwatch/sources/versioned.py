@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.functions.columns import utc_day
+from txnwatch.sources.sinks import side_by_side
 
 
 def _fs(spark: SparkSession, path: str):
@@ -71,7 +72,7 @@ def merge_batch(changed: DataFrame, path: str, keys: list[str], slot: Column, ba
             held = _slots(spark, path, schema, known.join(touched, "slot", "left_semi"))
             gone = fresh.select(key.alias("__k"))
             merged = held.join(gone, key == F.col("__k"), "left_anti").select(*fresh.columns).unionByName(fresh)
-        merged.withColumn("version", F.lit(batch_id).cast("long")).hint("rebalance", "slot").write.mode("overwrite").option(
+        side_by_side(merged.withColumn("version", F.lit(batch_id).cast("long")), ["slot"]).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("version", "slot").parquet(f"{path}/data")
         named = stay.unionByName(touched.select("slot", F.lit(batch_id).cast("long").alias("version"))).coalesce(1)
         named.write.mode("overwrite").parquet(f"{path}/manifest/batch={batch_id}")
@@ -131,7 +132,7 @@ def archive_batch(rows: DataFrame, path: str, batch_id: int, ts: str = "ts") ->
     now = {(r["dt"], r["txn_type"]) for r in spark.read.schema("dt string, txn_type string").parquet(note).collect()}
     if now:
         by = ["dt", "txn_type", "batch"]
-        dated.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+        side_by_side(dated, by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     for row in earlier:
         if (row["dt"], row["txn_type"]) not in now:
             _remove(spark, f"{path}/dt={_escaped(spark, row['dt'])}/txn_type={_escaped(spark, row['txn_type'])}/batch={batch_id}")
