@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from txnwatch.llm import substrings
+from txnwatch.llm import similar, substrings
 
 
 def test_near_copy_stage_equals_all_pairs(spark):
@@ -50,3 +50,23 @@ def test_short_units_have_band_keys():
     seeds = substrings.seeds_of(3, 2)
     keys = substrings.band_keys(codes, [(0, 2), (2, 7), (0, 2)], seeds, 3, 2, 5)
     assert keys.shape == (3, 3) and (keys[0] == keys[2]).all() and (keys[0] != keys[1]).all()
+
+
+def test_neighbours_by_fingerprint_are_compared(spark):
+    """With hardly any band keys, all links between fingerprints within the radius are found, and no others are made."""
+    rng, texts = random.Random(5), []
+    for _ in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(300)]
+        own = words.copy()
+        own[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(own)]
+    codes = [substrings.paragraphs(t)[0] & ~np.uint64(1) for t in texts]
+    prints = [similar.fingerprint(c) for c in codes]
+    hashes = substrings.shingles(codes[0]).tolist()  # all distinct here
+    assert len(hashes) == 296 and prints[0] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    near = [i for i in range(0, 120, 2) if ((prints[i] ^ prints[i + 1]) % 2**64).bit_count() <= similar.RADIUS]
+    assert len(near) > 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc.id: r.root for r in similar.near_copies(docs, recall=0.001).collect()}
+    assert all(root[i] == root[i + 1] for i in near) and len(set(root.values())) <= 120 - len(near)
+    assert all(root[i] != root[j] for i in range(120) for j in range(i) if i // 2 != j // 2)

@@ -74,7 +74,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _runs(codes: np.ndarray, length: int) -> np.ndarray:
+def runs(codes: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of ``length`` codes."""
     n = len(codes) - length + 1
     total = np.zeros(n, np.uint64)
@@ -85,7 +85,7 @@ def _runs(codes: np.ndarray, length: int) -> np.ndarray:
 
 def shingles(codes: np.ndarray, length: int = SHINGLE) -> np.ndarray:
     """Distinct shingle hashes; a shorter paragraph is one shingle."""
-    return np.unique(_runs(codes, min(length, len(codes)))) if len(codes) else np.empty(0, np.uint64)
+    return np.unique(runs(codes, min(length, len(codes)))) if len(codes) else np.empty(0, np.uint64)
 
 
 def paragraphs(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -143,11 +143,11 @@ def band_keys(codes: np.ndarray, lines: list[tuple[int, int]], seeds: np.ndarray
     """A row of band keys per line: the smallest shingle hash for each seed, ``rows`` of them and the band to a key."""
     starts, sizes = np.array(lines, np.int64).reshape(-1, 2).T
     if (sizes >= shingle).all():  # lines may overlap: their shingles are hashed once
-        hashes, begins, ends = _runs(codes, shingle), starts, starts + sizes - shingle + 1
+        hashes, begins, ends = runs(codes, shingle), starts, starts + sizes - shingle + 1
     else:
         counts = np.maximum(sizes - shingle, 0) + 1
         ends = np.cumsum(counts)
-        hashes, begins = np.concatenate([_runs(codes[s:s + n], min(shingle, n)) for s, n in lines]), ends - counts
+        hashes, begins = np.concatenate([runs(codes[s:s + n], min(shingle, n)) for s, n in lines]), ends - counts
     lows = _lows(hashes, begins, ends, seeds)
     total = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(lines), axis=1)
     for r in range(rows):
@@ -183,7 +183,7 @@ def _units(bands: int, rows: int, window: int, shingle: int):
                 if len(codes) >= window:
                     first = np.concatenate(([True], (codes[:-1] & np.uint64(1)).astype(bool)))
                     first[[s for s, _ in lines]] = True
-                    hashes = _runs(bare, window)
+                    hashes = runs(bare, window)
                     first = first[:len(hashes)]
                     first[lowest(hashes, SPAN)] = True
                     starts = np.flatnonzero(first)
@@ -243,15 +243,18 @@ def _bounded(slim: DataFrame) -> DataFrame:
     return F.broadcast(slim) if slim.count() <= BROADCAST_ROWS else slim
 
 
-def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle: int, more: DataFrame | None = None) -> DataFrame:
     """(node, root) for distinct lines, or other units of the documents, that are similar to others, directly or through others.
 
+    Lines that share a key are a bucket; ``more`` (unit, key) names further buckets, in which a line stands once.
+
     Buckets never list their pairs. First every line meets three centres of its bucket, the smallest, the largest and
     one by hash; the links that hold give components. Then, in buckets of more lines than that compares, only lines of a
     bucket's minor components meet the bucket's lines of other components, so that no link between components is lost
     while a bucket full of near copies costs three comparisons a line.
     """
     slots = lines.select("unit", F.explode("keys").alias("key"))
+    slots = slots if more is None else slots.union(more)
     some = F.min_by("unit", F.xxhash64("unit"))
     buckets = slots.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high"), some.alias("some")).where("low < high")
     shared = materialize(buckets.select("key", F.array_distinct(F.array("low", "high", "some")).alias("centres")), "buckets")
