@@ -179,6 +179,18 @@ def test_no_cartesian_products(spark, sf_dir):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
+def test_screening_does_not_roll_again(spark, sf_dir):
+    from txnwatch.plans import queries
+
+    def windows(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Window [")
+
+    rows = queries._named(spark, sf_dir, queries._canonical(spark, sf_dir))
+    screened = sanctions.screen(rows, table(spark, sf_dir, "sanction_name"), "counterparty_name")
+    rolled = windows(queries.rule_alerts(spark, sf_dir))
+    assert rolled > 0 and windows(queries.all_alerts(spark, sf_dir)) == rolled + windows(screened)
+
+
 def test_workers_need_no_copy_of_the_package(tmp_path):
     import subprocess
     import sys
