@@ -96,6 +96,25 @@ def test_prefix_counts_equal_the_library():
         assert counts[cut] <= 5 and all(c > 5 for c in counts[cut + 1:])
 
 
+def test_counting_walks_equal_beginnings_once():
+    """Words with a common beginning cost their ends; totals and cuts are those of the tables, for any spaces."""
+    class Asked(dict):
+        times = 0
+
+        def get(self, *a):
+            self.times += 1
+            return super().get(*a)
+    counter, tables = token_counts.PrefixCounter(PIECES), token_counts.PrefixCounter(PIECES)
+    counter.sizes = Asked(counter.sizes)
+    words = ["entionhestreing" * 2 + a + b for a in "abcdefgh" for b in "ijklmnop"]
+    texts = [" ".join(words), *words, " ".join(words[:9]) + "  " + words[9], "x " + "hest" * 20 + ".", words[0] + ", " + words[1] + ".", " ", ""]
+    assert len(counter.answers(texts[:65], 4096)) == 65
+    assert counter.sizes.times < 300  # 64 words of 33 characters
+    found = counter.answers(texts, 9)
+    counts = [token_counts.prefix_counts(tables.changes(t)) for t in texts]
+    assert found == [(int(c[-1]), int(np.flatnonzero(c <= 9)[-1])) for c in counts]
+
+
 def test_token_budgets(docs, rows, nothing):
     import sentencepiece
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)

@@ -65,6 +65,9 @@ class PrefixCounter:
         # words in two halves: those asked for since the last change of halves, and before
         self.words: dict[str, tuple[int, bytes]] = {}
         self.old_words: dict[str, tuple[int, bytes]] = {}
+        # tokens of a space and a word, by the word; in two halves too
+        self.counted: dict[str, int] = {}
+        self.old_counted: dict[str, int] = {}
 
     def merge(self, text: str) -> list[str]:
         """Tokens of a short text: the best pair first, of equal ones the leftmost."""
@@ -99,26 +102,18 @@ class PrefixCounter:
         """Tokens that a token of the walk counts for: a character outside the vocabulary is written as its bytes."""
         return 1 if token in self.score else len(token.encode())
 
-    def walk(self, chunk: str) -> tuple[list[str], list[int]]:
-        """Last token and count of all prefixes of a chunk but the empty one.
+    def onward(self, chunk: str, last: list[str], counts: list[int]) -> None:
+        """Adds the last token and the count of the prefixes of a chunk that are longer than those given.
 
         Candidates for the last token are tried longest first; only sizes of tokens that end in the same four
         characters come into question, and three and two.
         """
-        walks = self.walks
-        known = walks.get(chunk)
-        if known is not None:
-            return known
-        piece, sizes, pairs = self.piece.get, self.sizes.get, self.pairs.get
-        # a shorter chunk that was walked before is where this one starts
-        for cut in range(len(chunk) - 1, max(1, len(chunk) - 6), -1):
-            if (known := walks.get(chunk[:cut])) is not None:
-                last, counts = known[0].copy(), known[1].copy()
-                break
-        else:
-            cut, first = 1, piece(chunk[0], chunk[0])
-            last, counts = [first], [self.width(first)]
-        for end in range(cut + 1, len(chunk) + 1):
+        piece, sizes, pairs, score = self.piece.get, self.sizes.get, self.pairs.get, self.score
+        if not last:
+            first = piece(chunk[0], chunk[0])
+            last.append(first)
+            counts.append(self.width(first))
+        for end in range(len(last) + 1, len(chunk) + 1):
             for size in sizes(chunk[end - 4:end], _SHORT) if end > 3 else _SHORT:
                 if size > end:
                     continue
@@ -139,7 +134,22 @@ class PrefixCounter:
                 at = end - 1
                 token = piece(chunk[at], chunk[at])
             last.append(token)
-            counts.append((counts[at - 1] if at else 0) + (1 if token in self.score else self.width(token)))
+            counts.append((counts[at - 1] if at else 0) + (1 if token in score else self.width(token)))
+
+    def walk(self, chunk: str) -> tuple[list[str], list[int]]:
+        """Last token and count of all prefixes of a chunk but the empty one."""
+        walks = self.walks
+        known = walks.get(chunk)
+        if known is not None:
+            return known
+        # a shorter chunk that was walked before is where this one starts
+        for cut in range(len(chunk) - 1, max(1, len(chunk) - 6), -1):
+            if (known := walks.get(chunk[:cut])) is not None:
+                last, counts = known[0].copy(), known[1].copy()
+                break
+        else:
+            last, counts = [], []
+        self.onward(chunk, last, counts)
         if len(chunk) <= KEPT_LENGTH:
             if len(walks) >= KEPT_WALKS:
                 walks.clear()
@@ -218,9 +228,68 @@ class PrefixCounter:
         get, make = self.words.get, self.word
         return [get(w) or make(w) for w in map(SPACE.__add__, plain[1:].split(SPACE))]
 
-    def total(self, text: str) -> int:
-        """Tokens of a whole text: the last entry of its table, without joining the table."""
-        return sum([e[0] for e in self.entries(text)]) if text else 0
+    def totals(self, chunks: list[str]) -> Iterator[int]:
+        """Tokens of chunks in sorted order: each walk goes on where it parts from the one before."""
+        before, last, counts = "", [], []
+        for chunk in chunks:
+            same = 0
+            for a, b in zip(before, chunk, strict=False):
+                if a != b:
+                    break
+                same += 1
+            del last[same:], counts[same:]
+            self.onward(chunk, last, counts)
+            before = chunk
+            yield counts[-1]
+
+    def count(self, words: set[str]) -> dict[str, int]:
+        """Tokens of a space and each of the words, which hold no spaces; the others in the result are from before."""
+        if len(self.counted) >= KEPT_WORDS // 2:
+            self.old_counted, self.counted = self.counted, {}
+        known, old, inside = self.counted, self.old_counted, self.inside
+        fresh, bare, marked = words - known.keys(), [], []
+        for word in fresh:
+            if (n := old.get(word)) is not None:
+                known[word] = n
+            elif len(word) > 1 and word[-1] in ".," and word[-2:] not in inside:
+                marked.append(word)
+            else:
+                bare.append(word)
+        bare = sorted({*bare, *[w[:-1] for w in marked if w[:-1] not in known]})
+        known.update(zip(bare, self.totals([SPACE + w for w in bare]), strict=True))
+        known.update([(w, known[w[:-1]] + self.width(w[-1])) for w in marked])
+        return known
+
+    def answers(self, texts: list[str], budget: int) -> list[tuple[int, int]]:
+        """(tokens, characters of the longest prefix within the budget) per text.
+
+        A whole text needs the last entries of its words only, the place of the cut the entries of one word besides.
+        """
+        # words behind single spaces; texts with other spaces are counted each for itself
+        split = [t.split(" ") if t and SPACE not in t and "  " not in t and t[0] != " " and t[-1] != " " else None for t in texts]
+        known = self.count({w for words in split if words for w in words})
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            each = [e[0] for e in self.entries(text)] if words is None and text else list(map(known.__getitem__, words or ()))
+            total = sum(each)
+            if total <= budget:
+                out.append((total, len(text)))
+            elif words is None:
+                out.append((total, truncation_point(self.changes(text), budget)))
+            else:
+                out.append((total, self.cut(words, each, budget)))
+        for word in [w for words in split if words for w in words if len(w) > KEPT_LENGTH]:
+            known.pop(word, None)
+        return out
+
+    def cut(self, words: list[str], each: list[int], budget: int) -> int:
+        """Characters of the longest prefix within the budget; every prefix of a word and its space has a token or more."""
+        before = np.cumsum([0, *each])
+        for i in range(int(np.searchsorted(before[:-1], budget)) - 1, -1, -1):
+            within = np.flatnonzero(before[i] + prefix_counts(self.word(SPACE + words[i])[1])[1:] <= budget)
+            if len(within):
+                return sum(map(len, words[:i])) + i + int(within[-1])
+        return 0
 
     def changes(self, text: str) -> bytes:
         """The table of a text: little-endian 16-bit changes of the token count, a character each."""
@@ -289,13 +358,11 @@ def budgets(tables: DataFrame, budget: int) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str, budget: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """What :func:`budgets` says about the tables of ``docs``, which are used where they are made and not stored.
 
-    A text within the budget needs the last entry of its table only, the sum of its words' last entries.
+    The words of many texts are walked in sorted order, so that equal beginnings are walked once.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
         for batch in text_slices(batches):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            total = list(map(counter.total, texts))
-            fits = [truncation_point(counter.changes(t), budget) if n > budget else len(t) for t, n in zip(texts, total, strict=True)]
-            yield _answers(batch.column("doc_id"), batch.column("n_bytes"), total, fits, budget)
+            found = counter.answers([t or "" for t in batch.column("text").to_pylist()], budget)
+            yield _answers(batch.column("doc_id"), batch.column("n_bytes"), [n for n, _ in found], [f for _, f in found], budget)
     return _texts(docs, text, doc_id).mapInArrow(run, _ANSWERS)
