@@ -292,3 +292,57 @@ def test_rows_meet_the_pack_of_their_time(spark):
     found = rules.alerts_of_their_time(frame, [("V1", "2024-01-02", "2024-01-04", pack(0)), ("V2", "2024-01-05", None, pack(60))]).collect()
     assert {(r.txn_id, r.version_id, r.rule_desc) for r in found} == {("T1", "V1", "10 d"), ("T2", "V1", "20 ${meta.device}"), ("T6", "V2", "60 ${meta.device}"),
                                                                      ("T7", None, "Auto-CTR: Large transaction 70 bypass lane")}
+
+
+def test_anchored_state_is_called_by_bucket(monkeypatch):
+    """As many calls to the state for 500 keys as for one, however its values are cut."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from txnwatch.streaming import anchored
+
+    class Handle:
+        calls, kept, timers = 0, [], []
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return iter(self.kept)
+
+        def put(self, values):
+            self.calls += 1
+            self.kept = values
+
+        def clear(self):
+            self.put([])
+
+        def listTimers(self):
+            self.calls += 1
+            return iter(self.timers)
+
+        def deleteTimer(self, at):
+            self.calls += 1
+            self.timers = [t for t in self.timers if t != at]
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers = [*self.timers, at]
+
+    monkeypatch.setattr(anchored, "ROWS_AT_ONCE", 2)
+
+    def at(watermark):
+        return SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+    handle, state, minute = Handle(), anchored.AnchoredState(31 * 60_000_000), 60_000_000
+    state.init(handle)
+    rows = [(f"C{i % 500}" if i % 500 else None, "R", (100 + i // 500 * 20) * minute, f"A{i:04d}", None, "SAR", None, 1 if i % 3 else None, 0.5 if i % 2 else None) for i in range(1500)]
+    frame = pd.DataFrame(rows, columns=[*anchored.KEYS, *anchored.FIELDS])
+    assert sum(map(len, state.handleInputRows((7,), iter([frame[:700], frame[700:]]), at(0)))) == 0
+    assert handle.calls <= 4 and len(handle.timers) == 1
+    (closed,) = state.handleExpiredTimer((7,), at(131 * 60_000), None)
+    # the alerts of minutes 100 and 120 are a group that is over; that of minute 140 waits
+    assert len(closed) == 500 and set(closed["alert_count"]) == {2} and set(closed["t"]) == {100 * minute} and handle.timers == [171 * 60_000 + 1]
+    (closed,) = state.handleExpiredTimer((7,), at(200 * 60_000), None)
+    assert len(closed) == 500 and set(closed["alert_count"]) == {1} and handle.kept == [] and handle.timers == []
