@@ -391,3 +391,17 @@ def test_shards_are_equal_and_whole(spark, nothing):
         placed.setdefault(r["text_crc32"], set()).add(r["shard"])
     assert sum(len(s) > 1 for s in placed.values()) <= 1
     assert sharding.kd_shards(nothing).count() == 0
+
+
+def test_gray_rank_stays_one_expression(spark):
+    """The same positions, without a copy of the fingerprint for every way through the steps: that grew beyond what can be compiled."""
+    rng = random.Random(4)
+    values = [rng.getrandbits(64) - 2**63 for _ in range(300)] + [0, -1, 1, -2**63, 2**63 - 1]
+    ranked = spark.createDataFrame([(v,) for v in values], "print long").select("print", simhash.gray_rank(F.col("print")).alias("rank"))
+    assert ranked._jdf.queryExecution().analyzed().toString().count("print#") <= 5
+    for row in ranked.collect():
+        gray = row["print"] % 2**64
+        want = 0
+        while gray:
+            want, gray = want ^ gray, gray >> 1
+        assert row["rank"] % 2**64 == want

@@ -10,7 +10,6 @@ fingerprints hang together, never its pairs; components of these links are the g
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +73,11 @@ def segment_masks(radius: int) -> list[int]:
 
 
 def gray_rank(bits: Column) -> Column:
-    """Position of a bit pattern in the reflected Gray code."""
-    return reduce(lambda x, by: x.bitwiseXOR(F.shiftrightunsigned(x, by)), (1, 2, 4, 8, 16, 32), bits)
+    """Position of a bit pattern in the reflected Gray code.
+
+    Folded over the widths: written out, each step would name the one before twice, 64 copies of ``bits`` in the plan.
+    """
+    return F.aggregate(F.array(*map(F.lit, (1, 2, 4, 8, 16, 32))), bits, lambda x, by: x.bitwiseXOR(F.call_function("shiftrightunsigned", x, by)))
 
 
 def _signed(mask: int) -> int:
