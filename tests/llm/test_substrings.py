@@ -42,3 +42,34 @@ def test_lowest_of_every_span():
     found = substrings.lowest(hashes, 27)
     assert found.tolist() == sorted({i + int(hashes[i:i + 27].argmin()) for i in range(274)})
     assert len(substrings.lowest(hashes[:0], 27)) == 0 and len(substrings.lowest(hashes[:5], 27)) == 1
+
+
+def test_equal_places_become_one(spark):
+    place = "struct<id: bigint, content: bigint>"
+    rows = [((2, 7), 3, 9, "paragraph", (1, 5), 0, True)] * 2 + [((2, 7), 3, 9, "paragraph", (1, 5), 40, True), ((2, 7), 3, 8, "paragraph", (1, 5), 0, True)]
+    rows += [((2, 7), at, 24, "passage", (1, 5), at + 4, True) for at in (0, 0, 20, 44, 90)]
+    found = spark.createDataFrame(rows, f"doc {place}, start int, length int, kind string, to_doc {place}, to int, removed boolean")
+    joined = sorted((r["kind"], r["start"], r["length"], r["to"]) for r in substrings._joined(found).collect())
+    assert joined == [("paragraph", 3, 8, 0), ("paragraph", 3, 9, 0), ("paragraph", 3, 9, 40), ("passage", 0, 68, 4), ("passage", 90, 24, 94)]
+
+
+def test_pairs_are_compared_once_and_by_size_first(spark):
+    rng = random.Random(4)
+    sets = {u: sorted(rng.sample(range(14), rng.randrange(1, 14))) for u in range(60)}
+    frame = spark.createDataFrame([(u, s, len(s)) for u, s in sets.items()], "unit long, sh array<bigint>, n int")
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    for similarity in (0.5, 0.8, 1.0):
+        found = substrings._jaccard(spark.createDataFrame(pairs, "a long, b long"), frame, similarity)
+        assert "array_intersect" in (plan := found._jdf.queryExecution().optimizedPlan().toString())
+        assert plan.count("array_intersect") == 1
+        both = {p: len(set(sets[p[0]]) & set(sets[p[1]])) for p in pairs}
+        assert {(r["a"], r["b"]) for r in found.collect()} == {
+            (a, b) for (a, b), n in both.items() if n >= similarity * (len(sets[a]) + len(sets[b]) - n)}
+
+
+def test_places_of_a_cluster_are_not_tied_to_its_first(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(substrings, "materialize", lambda df, label, do=substrings.materialize: written.append(label) or do(df, label))
+    table = [(i, plain(i, 30) + "\n" + plain(999, 60)) for i in range(4)]
+    found = substrings.repeated_passages(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert "first-places" in written and {r["doc"]["id"] for r in found if r["removed"]} == {1, 2, 3}

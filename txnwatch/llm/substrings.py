@@ -70,16 +70,20 @@ def _word_codes(words: list[str]) -> np.ndarray:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+    out = x >> np.uint64(31)
+    out ^= x
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def runs(codes: np.ndarray, length: int) -> np.ndarray:
-    """Hash of every run of ``length`` codes."""
-    n = len(codes) - length + 1
-    total = np.zeros(n, np.uint64)
-    for i in range(length):
-        total = total * _MIX + codes[i:i + n]
+    """Hash of every run of ``length`` codes: a polynomial in them, built by doubling the run."""
+    total, width = codes, 1
+    for bit in f"{length:b}"[1:]:
+        total, width = total[:-width] * np.uint64(pow(int(_MIX), width, 2**64)) + total[width:], 2 * width
+        if bit == "1":
+            total, width = total[:-1] * _MIX + codes[width:], width + 1
     return _mixed(total)
 
 
@@ -88,23 +92,32 @@ def shingles(codes: np.ndarray, length: int = SHINGLE) -> np.ndarray:
     return np.unique(runs(codes, min(length, len(codes)))) if len(codes) else np.empty(0, np.uint64)
 
 
-def paragraphs(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Word codes of a text, and (first word, words) of its lines."""
+def split_lines(text: str) -> list[list[str]]:
+    """The words of every line."""
+    return [line.split() for line in text.split("\n")]
+
+
+def coded(split: list[list[str]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Word codes of split lines, and (first word, words) of those that have any."""
     words: list[str] = []
     lines = []
-    for line in text.split("\n"):
-        own = line.split()
+    for own in split:
         if own:
             lines.append((len(words), len(own)))
             words += own
     return _word_codes(words), lines
 
 
-def wrapped(text: str) -> list[tuple[int, int]]:
+def paragraphs(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Word codes of a text, and (first word, words) of its lines."""
+    return coded(split_lines(text))
+
+
+def wrapped(split: list[list[str]]) -> list[tuple[int, int]]:
     """(first word, words) of the paragraphs of two lines or more, which blank lines part."""
     found, at, start, lines = [], 0, 0, 0
-    for line in [*text.split("\n"), ""]:
-        n = len(line.split())
+    for own in [*split, []]:
+        n = len(own)
         if n:
             at, lines = at + n, lines + 1
         else:
@@ -174,9 +187,10 @@ def _units(bands: int, rows: int, window: int, shingle: int):
         for batch in text_slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for text in batch.column("text").to_pylist():
-                codes, lines = paragraphs(text or "")
+                split = split_lines(text or "")
+                codes, lines = coded(split)
                 bare = codes & ~np.uint64(1)
-                long = [(s, n) for s, n in [*lines, *wrapped(text or "")] if n >= shingle]
+                long = [(s, n) for s, n in [*lines, *wrapped(split)] if n >= shingle]
                 keys = band_keys(bare, long, seeds, bands, rows, shingle).ravel() if long else nothing
                 names = np.array([xxhash.xxh64_intdigest(bare[s:s + n].tobytes(), n) for s, n in long], np.uint64)
                 starts, hashes = nothing, np.empty(0, np.uint64)
@@ -230,12 +244,28 @@ def _shingle_sets(shingle: int):
     return run
 
 
+def _alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets of shingles reach the similarity: they share at least as many as sets of their sizes must.
+
+    That number is the smallest that holds in ``n >= similarity * (sizes - n)``, so that the sets are intersected once.
+    """
+    sizes = F.size(a) + F.size(b)
+    near = F.floor(similarity * sizes / (1 + similarity)).cast("int")
+    least = near + 2
+    for n in (near + 1, near, near - 1):
+        least = F.when(n >= similarity * (sizes - n), n).otherwise(least)
+    return F.size(F.array_intersect(a, b)) >= least
+
+
 def _jaccard(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) whose shingle sets reach the similarity."""
+    """Pairs (a, b) whose shingle sets (unit, sh, n of them) reach the similarity.
+
+    Sizes alone rule pairs out before any set moves.
+    """
+    n_a, n_b = (sets.select(F.col("unit").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    pairs = pairs.join(n_a, "a").join(n_b, "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b")
     left, right = (sets.select(F.col("unit").alias(c), F.col("sh").alias(f"sh_{c}")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("sh_a", "sh_b"))
-    return (pairs.join(left, "a").join(right, "b")
-            .where(both >= similarity * (F.size("sh_a") + F.size("sh_b") - both)).select("a", "b"))
+    return pairs.join(left, "a").join(right, "b").where(_alike("sh_a", "sh_b", similarity)).select("a", "b")
 
 
 def _bounded(slim: DataFrame) -> DataFrame:
@@ -268,11 +298,11 @@ def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle:
     # ``wanted`` lists every colliding line once
     texts = docs.select(row_key().alias("doc"), "text").join(F.broadcast(wanted) if few else wanted, "doc")
     sets = texts.select("text", "wanted").mapInArrow(_shingle_sets(shingle), "unit long, sh array<bigint>")
-    sets = materialize(sets.dropDuplicates(["unit"]), "shingle-sets")
+    sets = materialize(sets.dropDuplicates(["unit"]).withColumn("n", F.size("sh")), "shingle-sets")
+    release(colliding, wanted)
     stars = slots.select("unit", F.explode("centres").alias("centre")).where("unit <> centre").select(
         F.least("unit", "centre").alias("a"), F.greatest("unit", "centre").alias("b")).distinct()
     links = materialize(_jaccard(stars, sets, similarity), "star-links")
-    release(colliding, wanted)
     roots = connected_components(links)
     rooted = slots.join(roots.withColumnRenamed("node", "unit"), "unit", "left").select(
         "unit", "key", F.coalesce("root", "unit").alias("root"), F.size("centres").alias("n_centres"))
@@ -281,14 +311,14 @@ def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle:
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.max("n_centres").alias("n_centres"))
     major = sizes.groupBy("key").agg(F.max_by("root", "n").alias("major"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.max("n_centres").alias("n_centres"))
     major = major.where("kinds > 1 AND n > n_centres + 1").select("key", "major")
-    told = slots.groupBy("unit").agg(F.collect_list("key").alias("keys")).join(sets, "unit")
+    told = slots.groupBy("unit").agg(F.collect_list("key").alias("keys")).join(sets.drop("n"), "unit")
     mixed = materialize(rooted.drop("n_centres").join(major, "key").join(told, "unit"), "mixed-buckets")
     minor, other = (mixed.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("unit", "root", "keys", "sh")], *more)
                     for side, more in (("x", ["root", "major"]), ("y", [])))
-    n_x, n_y, both = F.size("x_sh"), F.size("y_sh"), F.size(F.array_intersect("x_sh", "y_sh"))
+    n_x, n_y = F.size("x_sh"), F.size("y_sh")
     # a pair is compared in the first bucket it shares, and inside the join: only links come out
     link = ((F.col("x_root") != F.col("y_root")) & (F.least(n_x, n_y) >= similarity * F.greatest(n_x, n_y))
-            & (F.array_min(F.array_intersect("x_keys", "y_keys")) == minor["key"]) & (both >= similarity * (n_x + n_y - both)))
+            & (F.array_min(F.array_intersect("x_keys", "y_keys")) == minor["key"]) & _alike("x_sh", "y_sh", similarity))
     minor = minor.where("root <> major").drop("root", "major")
     more = minor.join(other, (minor["key"] == other["key"]) & link).select(F.least("x_unit", "y_unit").alias("a"), F.greatest("x_unit", "y_unit").alias("b")).distinct()
     found = connected_components(links.union(more))
@@ -322,17 +352,19 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     again = materialize(again.union(roots.select("node")).distinct(), "repeated-units")
     kept = materialize(_places(units, window).join(_bounded(again), "unit").select("doc", "start", "length", "unit", "line"), "repeated-places")
     release(units, again)
-    named = F.struct(F.when(F.col("line"), "paragraph").otherwise("passage").alias("kind"), F.coalesce("root", "unit").alias("of")).alias("cluster")
     place = F.struct(F.col("doc.id").isNull().alias("none"), "doc", "start").alias("place")
     lined = kept.where("line").join(roots.withColumnRenamed("node", "unit"), "unit", "left")
-    placed = lined.select("doc", "start", "length", named, place).union(
-        kept.where("NOT line").withColumn("root", F.lit(None).cast("long")).select("doc", "start", "length", named, place))
-    first = placed.groupBy("cluster").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("cluster", "first")
-    found = placed.join(first, "cluster").select(
-        "doc", "start", "length", F.col("cluster.kind").alias("kind"), F.col("first.doc").alias("to_doc"), F.col("first.start").alias("to"),
-        (F.col("place") != F.col("first")).alias("removed"))
-    found = materialize(_joined(found.distinct()), "joined-passages")
-    release(kept, roots)
+    # a number leads every key that is sorted by: structs and strings are slow to compare
+    placed = lined.select(F.coalesce("root", "unit").alias("of"), "line", "doc", "start", "length", place).union(
+        kept.where("NOT line").select(F.col("unit").alias("of"), "line", "doc", "start", "length", place))
+    first = placed.groupBy("of", "line").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("of", "line", "first")
+    # written, so that the places of one frequent cluster are not tied to the task that found its first
+    first = materialize(first, "first-places")
+    found = placed.join(first, ["of", "line"]).select(
+        "doc", "start", "length", F.when(F.col("line"), "paragraph").otherwise("passage").alias("kind"), F.col("first.doc").alias("to_doc"),
+        F.col("first.start").alias("to"), (F.col("place") != F.col("first")).alias("removed"))
+    found = materialize(_joined(found), "joined-passages")
+    release(kept, roots, first)
     longer, sides = _extended(docs, found)
     result = materialize(_joined(longer).select("doc", "start", "length", "kind", F.col("to_doc.id").alias("cluster_doc"),
                                                 F.col("to").alias("cluster_start"), "removed"), "repeated-passages")
@@ -369,12 +401,15 @@ def _extended(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     passages = found.where("kind = 'passage' AND removed")
     ends = passages.select("doc", "start", "length").union(passages.select(F.col("to_doc").alias("doc"), F.col("to").alias("start"), "length")).distinct()
     ends = ends.groupBy("doc").agg(F.collect_list(F.struct("start", "length")).alias("places"))
-    texts = docs.select(row_key().alias("doc"), "text").dropDuplicates(["doc"]).join(ends, "doc")
+    one = Window.partitionBy("doc").orderBy(F.lit(1))
+    texts = docs.select(row_key().alias("doc"), "text").join(ends, "doc").withColumn("nth", F.row_number().over(one)).where("nth = 1")
     sides = texts.select("doc", "text", "places").mapInArrow(
         _sides(SPAN), "doc struct<id: bigint, content: bigint>, start int, length int, before array<bigint>, after array<bigint>")
     sides = materialize(sides, "passage-sides")
-    other = sides.select(F.col("doc").alias("to_doc"), F.col("start").alias("to"), "length", F.col("before").alias("to_before"), F.col("after").alias("to_after"))
-    both = passages.join(sides, ["doc", "start", "length"]).join(other, ["to_doc", "to", "length"])
+    own = sides.withColumn("at", F.xxhash64("doc", "start", "length"))
+    other = own.select("at", F.col("doc").alias("to_doc"), F.col("start").alias("to"), "length", F.col("before").alias("to_before"), F.col("after").alias("to_after"))
+    both = passages.withColumn("at", F.xxhash64("doc", "start", "length")).join(own, ["at", "doc", "start", "length"]).drop("at")
+    both = both.withColumn("at", F.xxhash64("to_doc", "to", "length")).join(other, ["at", "to_doc", "to", "length"])
 
     def agree(a: str, b: str) -> Column:
         stop = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
@@ -386,15 +421,18 @@ def _extended(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _joined(found: DataFrame) -> DataFrame:
-    """Overlapping runs of a document with the same source at the same distance become one."""
+    """Overlapping runs of a document with the same source at the same distance become one, and so do equal rows."""
     found = found.withColumn("shift", F.when(F.col("kind") == "passage", F.col("to") - F.col("start")))
     key = ["doc", "kind", "to_doc", "removed", "shift"]
-    order = Window.partitionBy(*key).orderBy("start")
+    key = ["run", *key]
+    found = found.withColumn("run", F.xxhash64(*key[1:]))  # sorted by first
+    order = Window.partitionBy(*key).orderBy("start", "length", "to")
+    again = (F.lag("start").over(order) == F.col("start")) & (F.lag("length").over(order) == F.col("length")) & (F.lag("to").over(order) == F.col("to"))
     reach = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = found.withColumn("new", (F.col("shift").isNull() | (F.coalesce(reach, F.lit(-1)) < F.col("start"))).cast("int"))
+    fresh = found.withColumn("new", F.when(F.col("shift").isNull(), ~F.coalesce(again, F.lit(False))).otherwise(F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
     island = fresh.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*key, "island").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).cast("int").alias("length"),
-                                              F.min("to").alias("to"))
+                                              F.min("to").alias("to")).drop("run")
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
