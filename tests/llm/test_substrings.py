@@ -73,3 +73,29 @@ def test_places_of_a_cluster_are_not_tied_to_its_first(spark, monkeypatch):
     table = [(i, plain(i, 30) + "\n" + plain(999, 60)) for i in range(4)]
     found = substrings.repeated_passages(spark.createDataFrame(table, "doc_id long, text string")).collect()
     assert "first-places" in written and {r["doc"]["id"] for r in found if r["removed"]} == {1, 2, 3}
+
+
+def test_python_gets_few_texts_at_once_and_only_keys_are_broadcast(spark, monkeypatch):
+    sent = []
+
+    def watched(make):
+        def made(*args):
+            run = make(*args)
+
+            def bounded(batches):
+                def checked():
+                    for batch in batches:
+                        assert batch.num_rows <= 256, batch.num_rows
+                        yield batch
+                yield from run(checked())
+            return bounded
+        return made
+    for name in ("_units", "_shingle_sets", "_sides"):
+        monkeypatch.setattr(substrings, name, watched(getattr(substrings, name)))
+    monkeypatch.setattr(substrings, "_bounded", lambda slim, do=substrings._bounded: sent.append(slim.columns) or do(slim))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    table = [(i, f"{plain(i, 30)} {plain(10**6 + i // 2, 60)}\n{plain(2 * 10**6 + i // 2, 8)}") for i in range(1200)]
+    frame = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    removed = substrings.repeated_passages(frame).where("removed").select("doc.id", "kind").collect()
+    assert {(r["id"], r["kind"]) for r in removed} == {(i, kind) for i in range(1, 1200, 2) for kind in ("paragraph", "passage")}
+    assert sent == [["key"], ["unit"]] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

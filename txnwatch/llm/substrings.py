@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnwatch.llm.common import kept_in_worker, materialize, release, row_key, text_slices
+from txnwatch.llm.common import arrow_rows, kept_in_worker, materialize, release, row_key, text_slices
 from txnwatch.llm.components import connected_components
 
 #: Words of a paragraph window.
@@ -34,6 +34,8 @@ BACKGROUND, COLLISIONS = 0.01, 20
 KEPT_WORDS = 400_000
 #: Rows of two or three numbers that are sent to all executors; larger tables are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Texts that Python gets at once.
+TEXTS_AT_ONCE = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EDGES = " .,;:!?\"'()[]"
 _TOKEN = re.compile(r"\S+")
@@ -288,7 +290,9 @@ def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle:
     some = F.min_by("unit", F.xxhash64("unit"))
     buckets = slots.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high"), some.alias("some")).where("low < high")
     shared = materialize(buckets.select("key", F.array_distinct(F.array("low", "high", "some")).alias("centres")), "buckets")
-    slots = materialize(slots.join(_bounded(shared), "key").distinct(), "colliding-lines")
+    # only keys go to every executor; the centres meet the few lines that are left
+    slots = slots.join(_bounded(shared.select("key")), "key", "left_semi").distinct()
+    slots = materialize(slots.join(shared, "key").select("key", "unit", "centres"), "colliding-lines")
     release(shared)
     colliding = materialize(slots.select("unit").distinct(), "colliding-units")
     few = colliding.count() <= BROADCAST_ROWS
@@ -298,7 +302,8 @@ def similar_units(docs: DataFrame, lines: DataFrame, similarity: float, shingle:
     # ``wanted`` lists every colliding line once
     texts = docs.select(row_key().alias("doc"), "text").join(F.broadcast(wanted) if few else wanted, "doc")
     sets = texts.select("text", "wanted").mapInArrow(_shingle_sets(shingle), "unit long, sh array<bigint>")
-    sets = materialize(sets.dropDuplicates(["unit"]).withColumn("n", F.size("sh")), "shingle-sets")
+    with arrow_rows(docs.sparkSession, TEXTS_AT_ONCE):
+        sets = materialize(sets.dropDuplicates(["unit"]).withColumn("n", F.size("sh")), "shingle-sets")
     release(colliding, wanted)
     stars = slots.select("unit", F.explode("centres").alias("centre")).where("unit <> centre").select(
         F.least("unit", "centre").alias("a"), F.greatest("unit", "centre").alias("b")).distinct()
@@ -342,7 +347,8 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     """
     bands, rows = tune_bands(similarity, recall)
     slim = docs.select(row_key().alias("doc"), "text")
-    units = materialize(slim.mapInArrow(_units(bands, rows, window, shingle), _UNITS), "units")
+    with arrow_rows(docs.sparkSession, TEXTS_AT_ONCE):
+        units = materialize(slim.mapInArrow(_units(bands, rows, window, shingle), _UNITS), "units")
     components = similar_units(docs, _lines(units, bands), similarity, shingle)
     roots = materialize(components, "line-clusters")
     release(components)
@@ -405,7 +411,8 @@ def _extended(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select(row_key().alias("doc"), "text").join(ends, "doc").withColumn("nth", F.row_number().over(one)).where("nth = 1")
     sides = texts.select("doc", "text", "places").mapInArrow(
         _sides(SPAN), "doc struct<id: bigint, content: bigint>, start int, length int, before array<bigint>, after array<bigint>")
-    sides = materialize(sides, "passage-sides")
+    with arrow_rows(docs.sparkSession, TEXTS_AT_ONCE):
+        sides = materialize(sides, "passage-sides")
     own = sides.withColumn("at", F.xxhash64("doc", "start", "length"))
     other = own.select("at", F.col("doc").alias("to_doc"), F.col("start").alias("to"), "length", F.col("before").alias("to_before"), F.col("after").alias("to_after"))
     both = passages.withColumn("at", F.xxhash64("doc", "start", "length")).join(own, ["at", "doc", "start", "length"]).drop("at")
