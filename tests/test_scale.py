@@ -211,3 +211,19 @@ def test_equal_first_columns_use_many_ranges(spark):
     got = ranking.range_row_number(rows, [F.col("minute"), F.col("id").desc()])
     assert got.filter(F.col("rank") != 20_000 - F.col("id")).count() == 0 and got.count() == 20_000
     assert rows.repartitionByRange(8, F.col("minute"), F.col("id").desc()).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_timeline_lists_an_alert_in_two_slots(spark):
+    from txnwatch.operators import alerts as al
+    rng, hour = random.Random(2), 3_600_000_000
+    begin = dt.datetime(1969, 12, 31, 12)
+    times = [None, *(begin + dt.timedelta(hours=h) for h in range(0, 30, 2)), *(begin + dt.timedelta(microseconds=rng.randrange(30 * hour)) for _ in range(40))]
+    at = [(f"A-{i}", rng.choice("PQ"), t) for i, t in enumerate(times)] + [("A-none", None, begin)]
+    near = [(f"T-{i}", c, t + dt.timedelta(hours=h, microseconds=us) if t else None, 1.0) for i, (_, c, t) in enumerate(at) for h in (-2, 0, 2) for us in (-1, 0, 1)]
+    alerts = spark.createDataFrame(at, "alert_id string, customer_id string, created_at timestamp_ntz")
+    txn = spark.createDataFrame(near, "txn_id string, customer_id string, ts timestamp_ntz, amount_usd double")
+    found = sorted((r["alert_id"], r["txn_id"], r["ts"], r["offset_us"]) for r in al.alert_timeline(alerts, txn, 2).collect())
+    expected = sorted((a, x, t, (t - c) // dt.timedelta(microseconds=1)) for a, p, c in at for x, q, t, _ in near if p and p == q and c and t and abs(t - c) <= dt.timedelta(hours=2))
+    assert expected and found == expected
+    slots = al.reached_slots(F.unix_micros(F.col("created_at").cast("timestamp")), 2 * hour, 4 * hour)
+    assert {r[0] for r in alerts.where("created_at IS NOT NULL").select(F.size(slots)).collect()} == {2}
